@@ -155,3 +155,128 @@ ORACLES: dict[str, str] = {
     "questions": f"WITH {QUESTIONS_CTE} SELECT * FROM questions",
     "eval_sheets": f"WITH {SHEETS_CTE} SELECT * FROM sheets",
 }
+
+
+DIRECTORY_CTE = """
+drows AS (
+  SELECT o_orderkey AS row_id, c_name AS company_name,
+    'C' || CAST(c_custkey AS VARCHAR) AS company_code, c_mktsegment AS industry,
+    CASE WHEN o_orderstatus = 'P' THEN ''
+         ELSE 'Customer with order status ' || o_orderstatus || ', priority ' || o_orderpriority
+    END AS description
+  FROM orders JOIN customer ON o_custkey = c_custkey
+),
+ddedup AS (
+  SELECT row_id, company_name, company_code, industry, description FROM (
+    SELECT *, row_number() OVER (PARTITION BY company_code, company_name ORDER BY row_id) AS rn
+    FROM drows) t WHERE rn = 1
+),
+doverrides AS (
+  SELECT 'C' || CAST(c_custkey AS VARCHAR) AS company_code,
+    'Account in debit (' || c_mktsegment || ')' AS short_description
+  FROM customer WHERE c_acctbal < 0
+),
+directory AS (
+  SELECT d.row_id, d.company_name, d.company_code, d.industry, d.description,
+    coalesce(o.short_description, d.description) AS short_description
+  FROM ddedup d LEFT JOIN doverrides o ON d.company_code = o.company_code
+),
+dsearch AS (
+  SELECT * FROM directory WHERE
+    coalesce(contains(lower(company_name), 'building'), false)
+    OR coalesce(contains(lower(company_code), 'building'), false)
+    OR coalesce(contains(lower(industry), 'building'), false)
+    OR coalesce(contains(lower(description), 'building'), false)
+    OR coalesce(contains(lower(short_description), 'building'), false)
+)"""
+
+_CHART = "(" + " OR ".join(f"contains(lower(question), '{k}')" for k in
+                           ("chart", "plot", "graph", "visualize")) + ")"
+
+ROUTE_CTE = f"""
+routed AS (
+  SELECT question_id, question, {_CHART} AS is_chart,
+    contains(question, '2024') OR NOT (contains(question, '2024') OR contains(question, '2025')) AS show_2024,
+    contains(question, '2025') OR NOT (contains(question, '2024') OR contains(question, '2025')) AS show_2025
+  FROM questions
+),
+routes AS (
+  SELECT *, CASE WHEN show_2024 AND show_2025 THEN 'both' WHEN show_2025 THEN '2025' ELSE '2024' END AS mode
+  FROM routed
+),
+cnames AS (
+  SELECT company_name AS name, min(row_id) AS first_row FROM companies
+  WHERE company_name IS NOT NULL GROUP BY company_name
+),
+detected AS (
+  SELECT question_id, arg_min(name, first_row) AS company
+  FROM questions LEFT JOIN cnames ON contains(lower(question), lower(name))
+  GROUP BY question_id
+),
+req AS (
+  SELECT r.question_id, d.company, r.show_2024, r.show_2025, r.mode
+  FROM routes r JOIN detected d ON r.question_id = d.question_id WHERE r.is_chart
+),
+cand AS (
+  SELECT q.question_id, c.row_id, c.company_name, c.rev_fy_2024, c.rev_fy_2025,
+    CASE q.mode WHEN '2025' THEN c.rev_fy_2025 WHEN '2024' THEN c.rev_fy_2024
+      ELSE greatest(c.rev_fy_2024, c.rev_fy_2025) END AS k
+  FROM req q JOIN companies c
+    ON q.company IS NULL OR contains(lower(c.company_name), lower(q.company))
+),
+bars AS (
+  SELECT * FROM (SELECT *, CAST(row_number() OVER (PARTITION BY question_id
+      ORDER BY k DESC NULLS LAST, row_id) AS INTEGER) AS rank FROM cand) t
+  WHERE rank <= 5
+)"""
+
+_Q_ALL = f"WITH {COMPANIES_CTE}, {QUESTIONS_CTE}, {ROUTE_CTE}"
+
+ORACLES.update({
+    "directory_prune": f"WITH {COMPANIES_CTE} SELECT row_id, company_name, company_code, "
+                       "industry, description FROM companies",
+    "directory_dedup": f"WITH {DIRECTORY_CTE} SELECT * FROM ddedup",
+    "directory_override": f"WITH {DIRECTORY_CTE} SELECT * FROM directory",
+    "directory_sorted": f"WITH {DIRECTORY_CTE} SELECT * FROM directory "
+                        "ORDER BY company_name NULLS LAST, company_code NULLS LAST, row_id",
+    "directory_search": f"WITH {DIRECTORY_CTE} SELECT * FROM dsearch",
+    "directory_count": f"WITH {DIRECTORY_CTE} SELECT count(*) AS n_records FROM dsearch",
+    "directory_cards": f"""WITH {DIRECTORY_CTE}
+SELECT row_id,
+  coalesce(company_name, '?') || ' (' || coalesce(company_code, '?') || ')' AS title,
+  'Industry: ' || coalesce(industry, '—') AS caption,
+  coalesce(nullif(short_description, ''), nullif(description, ''), 'No description provided.') AS body
+FROM directory""",
+    "clean_text": r"""SELECT doc_id,
+  trim(regexp_replace(coalesce(text, ''), '[\s\x{0B}\x{1c}-\x{1f}\x{85}\p{Z}]+', ' ', 'g')) AS cleaned
+FROM documents""",
+    "route_questions": f"{_Q_ALL} SELECT question_id, is_chart, show_2024, show_2025, mode FROM routes",
+    "detect_company": f"{_Q_ALL} SELECT question_id, company FROM detected",
+    "distinct_companies": f"{_Q_ALL} SELECT name, first_row FROM cnames",
+    "chart_answer": f"""{_Q_ALL},
+nb AS (SELECT question_id, count(*) AS n FROM bars GROUP BY question_id)
+SELECT q.question_id, q.company, q.show_2024, q.show_2025,
+  CASE WHEN coalesce(n, 0) > 0 THEN 'ok' ELSE 'no_data' END AS status,
+  CASE WHEN coalesce(n, 0) > 0 THEN 'Here is the bar chart you requested 📊'
+       ELSE 'Sorry, I couldn’t generate a chart for that query.' END AS message,
+  CAST(coalesce(n, 0) AS BIGINT) AS n_bars
+FROM req q LEFT JOIN nb ON q.question_id = nb.question_id""",
+    "chart_series": f"""{_Q_ALL}
+SELECT b.question_id, b.rank, b.row_id, b.company_name, 'Revenue in 2024' AS series, b.rev_fy_2024 AS value
+FROM bars b JOIN req q ON b.question_id = q.question_id WHERE q.show_2024
+UNION ALL
+SELECT b.question_id, b.rank, b.row_id, b.company_name, 'Revenue in 2025' AS series, b.rev_fy_2025 AS value
+FROM bars b JOIN req q ON b.question_id = q.question_id WHERE q.show_2025""",
+    "chart_half_year": f"""{_Q_ALL},
+specs AS (SELECT DISTINCT company, show_2024, show_2025 FROM req),
+hrows AS (
+  SELECT s.company, s.show_2024, s.show_2025, c.row_id, c.company_name, c.rev_h1_2024, c.rev_h1_2025
+  FROM specs s JOIN companies c
+    ON s.company IS NULL OR contains(lower(c.company_name), lower(s.company))
+)
+SELECT company, show_2024, show_2025, row_id, company_name, 'Revenue H1 2024' AS series, rev_h1_2024 AS value
+FROM hrows WHERE show_2024
+UNION ALL
+SELECT company, show_2024, show_2025, row_id, company_name, 'Revenue H1 2025' AS series, rev_h1_2025 AS value
+FROM hrows WHERE show_2025""",
+})

@@ -26,3 +26,65 @@ QUERIES: dict[str, Query] = {
     "questions": standins.questions,
     "eval_sheets": standins.eval_sheets,
 }
+
+
+# ---- directory (Q6) -------------------------------------------------------
+from ..functions import text as tx  # noqa: E402
+from ..operators import charts, directory, entity  # noqa: E402
+from pyspark.sql import functions as F  # noqa: E402
+
+DIRECTORY_SEARCH = "building"
+
+
+def _directory(spark, sf_dir):
+    return directory.directory(standins.directory_rows(spark, sf_dir),
+                               standins.directory_overrides(spark, sf_dir))
+
+
+QUERIES.update({
+    "directory_prune": lambda s, d: directory.prune(standins.companies(s, d)),
+    "directory_dedup": lambda s, d: directory.dedup_first(
+        standins.directory_rows(s, d), ["company_code", "company_name"]),
+    "directory_override": _directory,
+    "directory_sorted": lambda s, d: directory.sort_directory(_directory(s, d)),
+    "directory_search": lambda s, d: directory.search(_directory(s, d), DIRECTORY_SEARCH),
+    "directory_count": lambda s, d: directory.count_rows(
+        directory.search(_directory(s, d), DIRECTORY_SEARCH)),
+    "directory_cards": lambda s, d: directory.cards(_directory(s, d)),
+})
+
+
+# ---- text scalars, routing and charts ---------------------------------------
+def _clean_text(spark, sf_dir):
+    from ..sources.tables import Tables
+    docs = Tables(spark, sf_dir).documents
+    return docs.select("doc_id", tx.clean("text").alias("cleaned"))
+
+
+def _routes(spark, sf_dir):
+    return charts.route(standins.questions(spark, sf_dir)).drop("question")
+
+
+def _detect(spark, sf_dir):
+    return entity.detect_company(standins.questions(spark, sf_dir).select("question_id", "question"),
+                                 standins.companies(spark, sf_dir))
+
+
+def _chart(part):
+    def run(spark, sf_dir):
+        answers, series = charts.chart_answers(standins.questions(spark, sf_dir),
+                                               standins.companies(spark, sf_dir))
+        return answers if part == "answers" else series
+    return run
+
+
+QUERIES.update({
+    "clean_text": _clean_text,
+    "route_questions": _routes,
+    "detect_company": _detect,
+    "distinct_companies": lambda s, d: entity.first_seen_names(standins.companies(s, d)),
+    "chart_answer": _chart("answers"),
+    "chart_series": _chart("series"),
+    "chart_half_year": lambda s, d: charts.half_year_charts(standins.questions(s, d),
+                                                            standins.companies(s, d)),
+})

@@ -163,3 +163,32 @@ def eval_sheets(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(is_outkb, outkb(3)).otherwise(k3).alias("pred_k3"),
         F.when(is_outkb, outkb(5)).otherwise(k5).alias("pred_k5"),
     )
+
+
+def directory_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Directory sheet with repeated companies: one row per order, carrying
+    the ordering customer. Descriptions differ between a customer's rows
+    (so keep-first matters) and are empty for pending orders."""
+    t = Tables(spark, sf_dir)
+    o = t.orders.select("o_orderkey", "o_custkey", "o_orderstatus", "o_orderpriority")
+    c = t.customer.select("c_custkey", "c_name", "c_mktsegment")
+    return o.join(c, F.col("o_custkey") == F.col("c_custkey"), "inner").select(
+        F.col("o_orderkey").alias("row_id"),
+        F.col("c_name").alias("company_name"),
+        F.concat(F.lit("C"), F.col("c_custkey").cast("string")).alias("company_code"),
+        F.col("c_mktsegment").alias("industry"),
+        F.when(F.col("o_orderstatus") == "P", F.lit(""))
+         .otherwise(F.concat(F.lit("Customer with order status "), F.col("o_orderstatus"),
+                             F.lit(", priority "), F.col("o_orderpriority")))
+         .alias("description"),
+    )
+
+
+def directory_overrides(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Short descriptions for customers in debit (company_code → text)."""
+    t = Tables(spark, sf_dir)
+    return t.customer.where(F.col("c_acctbal") < 0).select(
+        F.concat(F.lit("C"), F.col("c_custkey").cast("string")).alias("company_code"),
+        F.concat(F.lit("Account in debit ("), F.col("c_mktsegment"), F.lit(")"))
+         .alias("short_description"),
+    )
