@@ -280,3 +280,121 @@ UNION ALL
 SELECT company, show_2024, show_2025, row_id, company_name, 'Revenue H1 2025' AS series, rev_h1_2025 AS value
 FROM hrows WHERE show_2025""",
 })
+
+
+# ---- retrieval ---------------------------------------------------------------
+from ..constants import DOC_FIRST_LINE, DOC_LINES, PROMPT_TEMPLATE  # noqa: E402
+from ..functions.embed import DEFAULT_DIM  # noqa: E402
+
+
+def _sql_str(s: str) -> str:
+    return "'" + s.replace("'", "''") + "'"
+
+
+def _doc_sql() -> str:
+    p0, f0, p1, f1, p2 = DOC_FIRST_LINE
+    parts = [f"{_sql_str(p0)} || coalesce({f0}, 'nan') || {_sql_str(p1)} || "
+             f"coalesce({f1}, 'nan') || {_sql_str(p2)}"]
+    for label, field in DOC_LINES:
+        parts.append(f"{_sql_str(label)} || coalesce(CAST({field} AS VARCHAR), 'nan')")
+    return " || chr(10) || ".join(parts)
+
+
+DOCS_CTE = f"""
+docs AS (
+  SELECT CAST(row_id AS VARCHAR) AS doc_id, row_id, company_code, industry,
+    {_doc_sql()} AS content
+  FROM companies
+)"""
+
+
+def _hash_vectors(name: str, src: str, id_col: str, text_col: str) -> str:
+    return f"""
+{name}_tok AS (
+  SELECT {id_col} AS id, unnest(string_split_regex(lower(coalesce({text_col}, '')), '[^a-z0-9]+')) AS tok
+  FROM {src}
+),
+{name}_cnt AS (
+  SELECT id, CAST(('0x' || substr(md5(tok), 1, 8))::BIGINT % {DEFAULT_DIM} AS INTEGER) AS b,
+    CAST(count(*) AS DOUBLE) AS c
+  FROM {name}_tok WHERE tok <> '' GROUP BY 1, 2
+),
+{name}_vec AS (
+  SELECT id, b, c / sqrt(sum(c * c) OVER (PARTITION BY id)) AS w FROM {name}_cnt
+)"""
+
+
+def _hash_knn(qsrc: str, qid: str, qtext: str, dsrc: str, did: str, dtext: str,
+              k: int = 5) -> str:
+    return f"""{_hash_vectors('hq', qsrc, qid, qtext)},
+{_hash_vectors('hd', dsrc, did, dtext)},
+hsc AS (
+  SELECT q.id AS qid, d.id AS did, sum(q.w * d.w) AS s
+  FROM hq_vec q JOIN hd_vec d ON q.b = d.b GROUP BY 1, 2
+),
+hall AS (
+  SELECT q.{qid} AS qid, d.{did} AS did, round(coalesce(hsc.s, 0), 9) AS score
+  FROM {qsrc} q CROSS JOIN {dsrc} d
+  LEFT JOIN hsc ON hsc.qid = q.{qid} AND hsc.did = d.{did}
+),
+hits AS (
+  SELECT * FROM (
+    SELECT qid, did, score,
+      CAST(row_number() OVER (PARTITION BY qid ORDER BY score DESC, did) AS INTEGER) AS rank
+    FROM hall) t WHERE rank <= {k}
+)"""
+
+
+TEXTQ_CTE = f"""
+textq AS (SELECT question_id, question FROM questions WHERE NOT {_CHART})"""
+
+_RAG = (f"WITH {COMPANIES_CTE}, {QUESTIONS_CTE}, {TEXTQ_CTE}, {DOCS_CTE}, "
+        f"{_hash_knn('textq', 'question_id', 'question', 'docs', 'row_id', 'content')},"
+        """
+hd AS (
+  SELECT h.qid AS question_id, h.did AS row_id, h.score, h.rank, d.company_code, d.industry, d.content
+  FROM hits h LEFT JOIN docs d ON h.did = d.row_id
+),
+ctx AS (
+  SELECT question_id,
+    string_agg('[Doc ' || CAST(rank AS VARCHAR) || '] Company Code: ' || coalesce(company_code, '?')
+      || ' | Industry: ' || coalesce(industry, '?') || chr(10) || coalesce(content, ''),
+      chr(10) || chr(10) || '---' || chr(10) || chr(10) ORDER BY rank) AS context,
+    arg_min(content, rank) AS top
+  FROM hd GROUP BY question_id
+)""")
+
+_P_HEAD, _P_REST = PROMPT_TEMPLATE.split("{reviews}")
+_P_MID, _P_TAIL = _P_REST.split("{question}")
+
+ORACLES.update({
+    "render_documents": f"WITH {COMPANIES_CTE}, {DOCS_CTE} SELECT * FROM docs",
+    "knn_dense": """
+SELECT query_id, vec_id, score, rank FROM (
+  SELECT q.vec_id AS query_id, d.vec_id AS vec_id,
+    round(list_inner_product(CAST(q.embedding AS DOUBLE[]), CAST(d.embedding AS DOUBLE[])), 9) AS score,
+    CAST(row_number() OVER (PARTITION BY q.vec_id ORDER BY
+      round(list_inner_product(CAST(q.embedding AS DOUBLE[]), CAST(d.embedding AS DOUBLE[])), 9) DESC,
+      d.vec_id) AS INTEGER) AS rank
+  FROM embeddings q CROSS JOIN embeddings d) t
+WHERE rank <= 5""",
+    "doc_search": "WITH " + _hash_knn("benchmark", "item_id", "text", "documents", "doc_id", "text")
+                  + " SELECT qid AS item_id, did AS doc_id, score, rank FROM hits",
+    "knn_k_sweep": _RAG + """,
+ks AS (SELECT unnest([1, 3, 5]) AS k)
+SELECT question_id, k, rank, row_id, score FROM hd JOIN ks ON rank <= k""",
+    "build_context": _RAG + " SELECT question_id, context FROM ctx",
+    "retrieved_records": _RAG + """
+SELECT question_id, rank, row_id, coalesce(company_code, '?') AS company_code,
+  coalesce(industry, '?') AS industry,
+  'Doc ' || CAST(rank AS VARCHAR) || ' — Company Code: ' || coalesce(company_code, '?')
+    || ' | Industry: ' || coalesce(industry, '?') AS header,
+  substring(coalesce(content, ''), 1, 1200) AS preview
+FROM hd""",
+    "rag_answers": _RAG + f"""
+SELECT q.question_id, q.question, c.context,
+  {_sql_str(_P_HEAD)} || coalesce(c.context, '') || {_sql_str(_P_MID)} || coalesce(q.question, '')
+    || {_sql_str(_P_TAIL)} AS prompt,
+  coalesce(split_part(c.top, chr(10), 1), '') AS answer
+FROM textq q LEFT JOIN ctx c ON q.question_id = c.question_id""",
+})

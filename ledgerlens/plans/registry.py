@@ -88,3 +88,44 @@ QUERIES.update({
     "chart_half_year": lambda s, d: charts.half_year_charts(standins.questions(s, d),
                                                             standins.companies(s, d)),
 })
+
+
+# ---- retrieval (J2, W1, W4, A10, P2/P3, Q1, Q7) -----------------------------
+from ..functions.embed import hashing_embed  # noqa: E402
+from ..operators import knn as knn_op  # noqa: E402
+from ..operators import render, retrieval  # noqa: E402
+from ..sources.tables import Tables  # noqa: E402
+from . import qa  # noqa: E402
+
+
+def _knn_dense(spark, sf_dir):
+    emb = Tables(spark, sf_dir).embeddings
+    q = emb.select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q_vec"))
+    return knn_op.knn(q, "query_id", "q_vec", emb.select("vec_id", "embedding"),
+                      "vec_id", "embedding", 5)
+
+
+def _doc_search(spark, sf_dir):
+    t = Tables(spark, sf_dir)
+    q = hashing_embed(t.benchmark, "text", "q_vec")
+    d = hashing_embed(t.documents.select("doc_id", "text"), "text", "d_vec")
+    return knn_op.knn(q.select("item_id", "q_vec"), "item_id", "q_vec",
+                      d.select("doc_id", "d_vec"), "doc_id", "d_vec", 5)
+
+
+def _hits(spark, sf_dir):
+    return qa.retrieval_hits(standins.questions(spark, sf_dir),
+                             standins.companies(spark, sf_dir))[2]
+
+
+QUERIES.update({
+    "render_documents": lambda s, d: render.render_documents(standins.companies(s, d)),
+    "knn_dense": _knn_dense,
+    "doc_search": _doc_search,
+    "knn_k_sweep": lambda s, d: retrieval.depth_sweep(_hits(s, d)).select(
+        "question_id", "k", "rank", "row_id", "score"),
+    "build_context": lambda s, d: retrieval.build_context(_hits(s, d)).drop("_top"),
+    "retrieved_records": lambda s, d: retrieval.retrieved_records(_hits(s, d)),
+    "rag_answers": lambda s, d: qa.rag_answers(standins.questions(s, d),
+                                               standins.companies(s, d)),
+})
