@@ -398,3 +398,111 @@ SELECT q.question_id, q.question, c.context,
   coalesce(split_part(c.top, chr(10), 1), '') AS answer
 FROM textq q LEFT JOIN ctx c ON q.question_id = c.question_id""",
 })
+
+
+# ---- evaluation ----------------------------------------------------------------
+from ..constants import (ALIASES_INFERRED, ALIASES_KNOWN, ALIASES_OUT_OF_KB,  # noqa: E402
+                         REFUSAL_PATTERNS)
+
+
+def _clean_sql(x: str) -> str:
+    return (rf"trim(regexp_replace(coalesce({x}, ''), "
+            r"'[\s\x{0B}\x{1c}-\x{1f}\x{85}\p{Z}]+', ' ', 'g'))")
+
+
+def _norm_sql(x: str) -> str:
+    return f"regexp_replace(lower(trim({x})), '[^a-z0-9]+', '', 'g')"
+
+
+def _tokens_sql(x: str) -> str:
+    return (f"list_filter(string_split(regexp_replace(lower({x}), '[^a-z0-9]+', ' ', 'g'), ' '), "
+            "lambda t: t <> '')")
+
+
+def _lcs_sql(a: str, b: str) -> str:
+    """LCS length by Hunt–Szymanski thresholds: for each token of b, the
+    positions where a has it (descending) lower the first threshold ≥ pos."""
+    pos = "list_position(list_transform(T2, lambda x: x >= t), true)"
+    return f"""len(list_reduce({b},
+  lambda T, tok: list_reduce(list_reverse(list_filter(range(1, len({a}) + 1), lambda i: {a}[i] = tok)),
+     lambda T2, t: CASE WHEN {pos} IS NULL THEN list_append(T2, t)
+       ELSE list_concat(list_slice(T2, 1, {pos} - 1), [t], list_slice(T2, {pos} + 1, len(T2))) END,
+     T),
+  CAST([] AS BIGINT[])))"""
+
+
+_ALIAS_ROWS = ", ".join(f"({_sql_str(c)}, {i}, {_sql_str(a)})"
+                        for c, al in (("Known", ALIASES_KNOWN), ("Inferred", ALIASES_INFERRED),
+                                      ("Out of KB", ALIASES_OUT_OF_KB))
+                        for i, a in enumerate(al))
+_REFUSAL_RE = _sql_str("|".join(f"(?:{p})" for p in REFUSAL_PATTERNS))
+
+EVAL_CTE = f"""{SHEETS_CTE},
+present AS (SELECT sheet, min(row_id) AS first_row FROM sheets GROUP BY sheet),
+latest AS (SELECT {_norm_sql('sheet')} AS norm, arg_max(sheet, first_row) AS sheet FROM present GROUP BY 1),
+aliases AS (SELECT * FROM (VALUES {_ALIAS_ROWS}) t(cohort, alias_order, alias)),
+resolved AS (
+  SELECT arg_min(l.sheet, a.alias_order) AS sheet, a.cohort
+  FROM aliases a JOIN latest l ON {_norm_sql('a.alias')} = l.norm GROUP BY a.cohort
+),
+tagged AS (SELECT s.*, r.cohort FROM sheets s JOIN resolved r ON s.sheet = r.sheet),
+elong AS (
+  SELECT sheet, row_id, query, expected_company, gold, cohort, 1 AS k, pred_k1 AS pred FROM tagged
+  UNION ALL SELECT sheet, row_id, query, expected_company, gold, cohort, 3, pred_k3 FROM tagged
+  UNION ALL SELECT sheet, row_id, query, expected_company, gold, cohort, 5, pred_k5 FROM tagged
+),
+ki AS (
+  SELECT cohort, row_id, k, {_clean_sql('query')} AS query,
+    {_clean_sql('expected_company')} AS expected_company,
+    {_clean_sql('gold')} AS gold, {_clean_sql('pred')} AS pred
+  FROM elong WHERE cohort <> 'Out of KB'
+),
+ki_tok AS (SELECT *, {_tokens_sql('gold')} AS tr, {_tokens_sql('pred')} AS tp FROM ki),
+ki_lcs AS (SELECT *, {_lcs_sql('tr', 'tp')} AS lcs FROM ki_tok),
+ki_rouge AS (
+  SELECT *, CASE WHEN gold = '' OR pred = '' OR len(tp) = 0 OR len(tr) = 0 OR lcs = 0 THEN 0.0
+    ELSE 2 * (lcs / len(tp)) * (lcs / len(tr)) / ((lcs / len(tp)) + (lcs / len(tr))) END AS rougeL
+  FROM ki_lcs
+),
+{_hash_vectors('cp', 'ki', "cohort || ':' || CAST(row_id AS VARCHAR) || ':' || CAST(k AS VARCHAR)", 'pred')},
+{_hash_vectors('cg', 'ki', "cohort || ':' || CAST(row_id AS VARCHAR) || ':' || CAST(k AS VARCHAR)", 'gold')},
+cos AS (SELECT p.id, sum(p.w * g.w) AS s FROM cp_vec p JOIN cg_vec g ON p.id = g.id AND p.b = g.b GROUP BY p.id),
+ki_scored AS (
+  SELECT r.*, CASE WHEN gold = '' OR pred = '' THEN 0.0 ELSE round(coalesce(c.s, 0), 9) END AS semantic_cosine
+  FROM ki_rouge r LEFT JOIN cos c
+    ON c.id = r.cohort || ':' || CAST(r.row_id AS VARCHAR) || ':' || CAST(r.k AS VARCHAR)
+),
+okb AS (
+  SELECT row_id, k, {_clean_sql('pred')} AS pred,
+    regexp_matches(lower({_clean_sql('pred')}), {_REFUSAL_RE}) AS refusal
+  FROM elong WHERE cohort = 'Out of KB'
+),
+per_query AS (
+  SELECT rougeL, semantic_cosine, CAST(NULL AS DOUBLE) AS good_refusal,
+    CAST(NULL AS DOUBLE) AS hallucination_rate, cohort, CAST(row_id AS BIGINT) AS row_id,
+    CAST(k AS INTEGER) AS k, query, expected_company, gold, pred
+  FROM ki_scored
+  UNION ALL
+  SELECT CAST(NULL AS DOUBLE), CAST(NULL AS DOUBLE), CAST(refusal AS DOUBLE),
+    CAST(pred <> '' AND NOT refusal AS DOUBLE), 'Out of KB', CAST(row_id AS BIGINT),
+    CAST(k AS INTEGER), '', '', '', pred
+  FROM okb
+)"""
+
+_EV = f"WITH {EVAL_CTE}"
+
+ORACLES.update({
+    "cohort_alias": f"{_EV} SELECT sheet, cohort FROM resolved",
+    "eval_unpivot": f"{_EV} SELECT sheet, row_id, query, expected_company, gold, cohort, "
+                    "CAST(k AS INTEGER) AS k, pred FROM elong",
+    "refusal_flag": f"{_EV} SELECT row_id, CAST(k AS INTEGER) AS k, "
+                    f"regexp_matches(lower({_clean_sql('pred')}), {_REFUSAL_RE}) AS refusal FROM elong",
+    "rouge_l_nostem": f"{_EV} SELECT row_id, CAST(k AS INTEGER) AS k, rougeL FROM ki_rouge",
+    "semantic_cosine": f"{_EV} SELECT row_id, CAST(k AS INTEGER) AS k, semantic_cosine FROM ki_scored",
+    "score_outkb": f"{_EV} SELECT * FROM per_query WHERE cohort = 'Out of KB'",
+    "eval_union": f"{_EV} SELECT * FROM per_query",
+    "metrics_by_cohort": f"""{_EV}
+SELECT cohort, k, avg(rougeL) AS rougeL, avg(semantic_cosine) AS semantic_cosine,
+  avg(good_refusal) AS good_refusal, avg(hallucination_rate) AS hallucination_rate
+FROM per_query GROUP BY cohort, k ORDER BY cohort, k""",
+})

@@ -129,3 +129,48 @@ QUERIES.update({
     "rag_answers": lambda s, d: qa.rag_answers(standins.questions(s, d),
                                                standins.companies(s, d)),
 })
+
+
+# ---- evaluation (Q4: S3, U2, F1, F2, F7–F10, U1, A1) --------------------------
+from ..functions.rouge import rouge_l_col  # noqa: E402
+from ..operators import evaluation as ev  # noqa: E402
+from ..constants import COHORT_OUT_OF_KB  # noqa: E402
+
+
+def _long(spark, sf_dir):
+    sheets = standins.eval_sheets(spark, sf_dir)
+    return ev.unpivot_answers(sheets.join(F.broadcast(ev.resolve_sheets(sheets)), "sheet"))
+
+
+def _known(spark, sf_dir):
+    return _long(spark, sf_dir).where(F.col("cohort") != COHORT_OUT_OF_KB)
+
+
+def _rouge(stem):
+    def run(spark, sf_dir):
+        k = _known(spark, sf_dir)
+        g, p = tx.clean("gold"), tx.clean("pred")
+        return k.select("row_id", "k", F.when((g == "") | (p == ""), F.lit(0.0))
+                        .otherwise(rouge_l_col(p, g, stem)).alias("rougeL"))
+    return run
+
+
+def _per_query(stem):
+    return lambda s, d: ev.per_query_metrics(standins.eval_sheets(s, d), stem=stem)
+
+
+QUERIES.update({
+    "cohort_alias": lambda s, d: ev.resolve_sheets(standins.eval_sheets(s, d)),
+    "eval_unpivot": _long,
+    "refusal_flag": lambda s, d: _long(s, d).select(
+        "row_id", "k", tx.looks_like_refusal(F.col("pred")).alias("refusal")),
+    "rouge_l_nostem": _rouge(False),
+    "rouge_l": _rouge(True),
+    "semantic_cosine": lambda s, d: ev.score_known_inferred(
+        _known(s, d), "x", stem=False).select("row_id", "k", "semantic_cosine"),
+    "score_outkb": lambda s, d: ev.score_out_of_kb(
+        _long(s, d).where(F.col("cohort") == COHORT_OUT_OF_KB)),
+    "eval_union": _per_query(False),
+    "metrics_by_cohort": lambda s, d: ev.metrics_by_cohort(_per_query(False)(s, d)),
+    "metrics_by_cohort_stemmed": lambda s, d: ev.metrics_by_cohort(_per_query(True)(s, d)),
+})
