@@ -506,3 +506,79 @@ SELECT cohort, k, avg(rougeL) AS rougeL, avg(semantic_cosine) AS semantic_cosine
   avg(good_refusal) AS good_refusal, avg(hallucination_rate) AS hallucination_rate
 FROM per_query GROUP BY cohort, k ORDER BY cohort, k""",
 })
+
+
+# ---- trends ----------------------------------------------------------------------
+TREND_CTE = f"""{EVAL_CTE},
+pq AS (
+  SELECT CASE WHEN cohort = 'Infered' THEN 'Inferred' ELSE cohort END AS cohort,
+    row_id, k, rougeL, semantic_cosine FROM per_query
+),
+mlong AS (
+  SELECT 'rougeL' AS metric, cohort, row_id, k, rougeL AS value FROM pq WHERE rougeL IS NOT NULL
+  UNION ALL
+  SELECT 'semantic_cosine', cohort, row_id, k, semantic_cosine FROM pq WHERE semantic_cosine IS NOT NULL
+),
+tstats AS (
+  SELECT metric, cohort, k, avg(value) AS mean, stddev_samp(value) AS std,
+    CAST(count(value) AS BIGINT) AS n
+  FROM mlong GROUP BY metric, cohort, k HAVING count(value) > 0
+),
+tci AS (
+  SELECT *, CAST(1.96 AS DOUBLE) * (std / NULLIF(sqrt(CAST(n AS DOUBLE)), 0)) AS ci95 FROM tstats
+)"""
+
+_TR = f"WITH {TREND_CTE}"
+
+ORACLES.update({
+    "label_fix": f"{_EV} SELECT CASE WHEN cohort = 'Infered' THEN 'Inferred' ELSE cohort END AS cohort, "
+                 "row_id, k FROM per_query",
+    "trend_stats": f"{_TR} SELECT metric, cohort, k, mean, std, n, ci95, mean - ci95 AS lo, "
+                   "mean + ci95 AS hi FROM tci",
+    "panel_order": f"""{_TR},
+base AS (SELECT metric, cohort, avg(CASE WHEN k = 1 THEN value END) AS baseline
+         FROM mlong GROUP BY metric, cohort)
+SELECT metric, cohort, baseline,
+  CAST(row_number() OVER (PARTITION BY metric ORDER BY baseline ASC NULLS LAST, cohort) AS INTEGER) AS panel
+FROM base""",
+    "axis_range": f"""{_TR},
+ranked AS (
+  SELECT metric, value,
+    row_number() OVER (PARTITION BY metric ORDER BY value, cohort, row_id, k) - 1 AS rnk,
+    count(*) OVER (PARTITION BY metric) AS n
+  FROM mlong
+),
+qs AS (SELECT unnest(CAST([0.02, 0.98] AS DOUBLE[])) AS q),
+tg AS (SELECT DISTINCT metric, n FROM ranked),
+t2 AS (
+  SELECT metric, q, (n - 1) * q AS h, floor((n - 1) * q) AS lo,
+    least(ceil((n - 1) * q), n - 1) AS hi
+  FROM tg CROSS JOIN qs
+),
+quant AS (
+  SELECT t2.metric, t2.q, a.value + (t2.h - t2.lo) * (b.value - a.value) AS quantile
+  FROM t2 JOIN ranked a ON a.metric = t2.metric AND a.rnk = t2.lo
+          JOIN ranked b ON b.metric = t2.metric AND b.rnk = t2.hi
+),
+wide AS (
+  SELECT metric, max(CASE WHEN q = CAST(0.02 AS DOUBLE) THEN quantile END) AS q_lo,
+    max(CASE WHEN q = CAST(0.98 AS DOUBLE) THEN quantile END) AS q_hi
+  FROM quant GROUP BY metric
+)
+SELECT metric, q_lo, q_hi,
+  greatest(CAST(0.0 AS DOUBLE), q_lo - CAST(0.08 AS DOUBLE) * CASE WHEN q_hi > q_lo THEN q_hi - q_lo ELSE 1.0 END) AS y_min,
+  least(CAST(1.0 AS DOUBLE), q_hi + CAST(0.08 AS DOUBLE) * CASE WHEN q_hi > q_lo THEN q_hi - q_lo ELSE 1.0 END) AS y_max
+FROM wide""",
+    "delta_k": f"""{_TR},
+d AS (
+  SELECT metric, cohort, max(CASE WHEN k = 1 THEN mean END) AS m1,
+    max(CASE WHEN k = 5 THEN mean END) AS m5, arg_max(mean, k) AS last_mean, max(k) AS last_k
+  FROM tstats GROUP BY metric, cohort
+),
+d2 AS (SELECT *, CASE WHEN isfinite(m1) AND isfinite(m5) THEN m5 - m1 END AS delta_1_5 FROM d)
+SELECT metric, cohort, delta_1_5, last_mean, last_k,
+  CASE WHEN delta_1_5 IS NOT NULL THEN 'Δ(1→5) = ' || printf('%.2f', delta_1_5) END AS delta_label,
+  printf('%.2f', last_mean) AS last_label
+FROM d2""",
+    "trend_labels": f"{_TR} SELECT metric, cohort, k, 'n=' || CAST(n AS VARCHAR) AS n_label FROM tstats",
+})

@@ -174,3 +174,22 @@ QUERIES.update({
     "metrics_by_cohort": lambda s, d: ev.metrics_by_cohort(_per_query(False)(s, d)),
     "metrics_by_cohort_stemmed": lambda s, d: ev.metrics_by_cohort(_per_query(True)(s, d)),
 })
+
+
+# ---- trends (Q5) -----------------------------------------------------------------
+from ..operators import trends  # noqa: E402
+
+
+def _mlong(spark, sf_dir):
+    return trends.metric_long(_per_query(False)(spark, sf_dir))
+
+
+QUERIES.update({
+    "label_fix": lambda s, d: trends.fix_labels(_per_query(False)(s, d)).select(
+        "cohort", "row_id", "k"),
+    "trend_stats": lambda s, d: trends.trend_stats(_mlong(s, d)),
+    "panel_order": lambda s, d: trends.panel_order(_mlong(s, d)),
+    "axis_range": lambda s, d: trends.axis_range(_mlong(s, d)),
+    "delta_k": lambda s, d: trends.deltas(trends.trend_stats(_mlong(s, d))),
+    "trend_labels": lambda s, d: trends.trend_labels(trends.trend_stats(_mlong(s, d))),
+})
