@@ -582,3 +582,45 @@ SELECT metric, cohort, delta_1_5, last_mean, last_k,
 FROM d2""",
     "trend_labels": f"{_TR} SELECT metric, cohort, k, 'n=' || CAST(n AS VARCHAR) AS n_label FROM tstats",
 })
+
+
+# ---- sources, sinks, streaming -------------------------------------------------------
+_STREAM = f"""{_RAG}, {ROUTE_CTE},
+nb AS (SELECT question_id, count(*) AS n FROM bars GROUP BY question_id),
+chartmsg AS (
+  SELECT q.question_id,
+    CASE WHEN coalesce(nb.n, 0) > 0 THEN 'Here is the bar chart you requested 📊'
+         ELSE 'Sorry, I couldn’t generate a chart for that query.' END AS answer
+  FROM req q LEFT JOIN nb ON q.question_id = nb.question_id
+),
+textans AS (
+  SELECT q.question_id, coalesce(split_part(c.top, chr(10), 1), '') AS answer
+  FROM textq q LEFT JOIN ctx c ON q.question_id = c.question_id
+),
+allans AS (SELECT * FROM chartmsg UNION ALL SELECT * FROM textans),
+answered AS (
+  SELECT qs.question_id, qs.session_id, qs.turn, qs.question, r.is_chart, a.answer
+  FROM questions qs JOIN routes r ON qs.question_id = r.question_id
+  LEFT JOIN allans a ON qs.question_id = a.question_id
+)"""
+
+ORACLES.update({
+    "eval_scan": f"WITH {SHEETS_CTE} SELECT sheet, row_id, query, expected_company, gold, "
+                 "pred_k1, pred_k3, pred_k5 FROM sheets",
+    "eval_csv_roundtrip": f"""{_EV}
+SELECT rougeL, semantic_cosine, good_refusal, hallucination_rate, nullif(cohort, '') AS cohort,
+  row_id, k, nullif(query, '') AS query, nullif(expected_company, '') AS expected_company,
+  nullif(gold, '') AS gold, nullif(pred, '') AS pred
+FROM per_query""",
+    "stream_answers": f"{_STREAM} SELECT * FROM answered",
+    "chat_replay": f"""{_STREAM},
+msgs AS (
+  SELECT session_id, question_id, 0 AS seq, 'user' AS role, question AS content FROM answered
+  UNION ALL
+  SELECT session_id, question_id, 1, 'assistant', coalesce(answer, '') FROM answered
+)
+SELECT session_id,
+  CAST(row_number() OVER (PARTITION BY session_id ORDER BY question_id, seq) AS INTEGER) AS position,
+  role, content, question_id
+FROM msgs""",
+})

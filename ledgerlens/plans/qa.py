@@ -34,6 +34,18 @@ def rag_answers(questions: DataFrame, companies: DataFrame, k: int = DEFAULT_TOP
     a prompt column to an answer column (e.g. a ``predict_batch_udf``);
     the default is the extractive stand-in."""
     tq, _, hd = retrieval_hits(questions, companies, k)
+    return _answer(tq, hd, generator)
+
+
+def rag_answers_from_index(questions: DataFrame, index: DataFrame, k: int = DEFAULT_TOP_K,
+                           generator=None) -> DataFrame:
+    """As ``rag_answers`` against a persisted index."""
+    tq = text_questions(questions)
+    hits = retrieval.retrieve(tq, index, k)
+    return _answer(tq, retrieval.with_documents(hits, index), generator)
+
+
+def _answer(tq: DataFrame, hd: DataFrame, generator) -> DataFrame:
     ctx = retrieval.build_context(hd)
     out = tq.join(ctx, "question_id", "left")
     prompt = retrieval.render_prompt(F.col("context"), F.col("question"))

@@ -193,3 +193,66 @@ QUERIES.update({
     "delta_k": lambda s, d: trends.deltas(trends.trend_stats(_mlong(s, d))),
     "trend_labels": lambda s, d: trends.trend_labels(trends.trend_stats(_mlong(s, d))),
 })
+
+
+# ---- sources, sinks, index, streaming (S2, S5–S10, ST1, ST2, W3) ---------------
+from ..operators.render import render_documents  # noqa: E402
+from ..session import scratch_path  # noqa: E402
+from ..sources import index as idx  # noqa: E402
+from ..sources import sheets as sh  # noqa: E402
+from ..streaming import answers as st  # noqa: E402
+
+
+def _eval_scan(spark, sf_dir):
+    root = scratch_path(spark, "sheets")
+    sh.write_sheets(standins.eval_sheets(spark, sf_dir), root)
+    return sh.read_sheets(spark, root)
+
+
+def _csv_roundtrip(spark, sf_dir):
+    path = scratch_path(spark, "metrics_per_query")
+    sh.write_csv(_per_query(False)(spark, sf_dir), path)
+    return sh.read_csv(spark, path, sh.PER_QUERY_SCHEMA)
+
+
+def _index(spark, sf_dir):
+    path = scratch_path(spark, "index")
+    idx.build_index(render_documents(standins.companies(spark, sf_dir)), path)
+    return idx.open_index(spark, path)
+
+
+def _stream_run(spark, sf_dir):
+    """Runs the question stream once; returns (answers, chat) paths."""
+    companies_path = scratch_path(spark, "companies")
+    standins.companies(spark, sf_dir).write.parquet(companies_path)
+    companies = spark.read.parquet(companies_path)
+    index_path = scratch_path(spark, "index")
+    idx.build_index(render_documents(companies), index_path)
+    index = idx.open_index(spark, index_path)
+    source = scratch_path(spark, "question-stream")
+    # questions arrive as a few files in question order
+    (standins.questions(spark, sf_dir).repartitionByRange(4, "question_id")
+     .write.parquet(source))
+    answers, chat = scratch_path(spark, "answers"), scratch_path(spark, "chat")
+    st.run_question_stream(spark, source, companies, index, answers, chat,
+                           scratch_path(spark, "stream-ckpt"))
+    return answers, chat
+
+
+def _stream_answers(spark, sf_dir):
+    answers, _ = _stream_run(spark, sf_dir)
+    return spark.read.parquet(answers).drop("batch_id")
+
+
+def _chat_replay(spark, sf_dir):
+    _, chat = _stream_run(spark, sf_dir)
+    return st.replay_chat(spark.read.parquet(chat))
+
+
+QUERIES.update({
+    "eval_scan": _eval_scan,
+    "eval_csv_roundtrip": _csv_roundtrip,
+    "index_build": _index,
+    "stream_answers": _stream_answers,
+    "chat_replay": _chat_replay,
+})
