@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from ..constants import (CHART_FAIL_MESSAGE, CHART_OK_MESSAGE, SERIES_FY, SERIES_H1,
                          TOP_COMPANIES)
 from ..functions.text import is_chart_question, year_flags
-from ..session import bounded_broadcast
+from ..session import bounded_broadcast, cut_lineage
 from .entity import detect_company, substring_matches
 from .topk import row_max, top_n
 
@@ -92,7 +92,8 @@ def chart_answers(questions: DataFrame, companies: DataFrame,
     answers: question_id, company, show_2024, show_2025, status, message,
     n_bars — status 'no_data' when a named company matches nothing (P5).
     series: question_id, rank, row_id, company_name, series, value (P18)."""
-    req = chart_requests(questions, companies)
+    # requests feed the company match, the bars and the answers: store once
+    req = cut_lineage(chart_requests(questions, companies))
     bars = _bars(companies, req, n)
     # null-safe spec key: (company or '', mode)
     spec = lambda c: F.concat_ws("\u0001", F.coalesce(F.col(c), F.lit("")), F.col("mode"))
@@ -131,7 +132,7 @@ def half_year_charts(questions: DataFrame, companies: DataFrame) -> DataFrame:
     top-n). One chart per distinct (company, years) spec; questions refer to
     a spec through ``chart_requests``.
     Output: company, show_2024, show_2025, row_id, company_name, series, value."""
-    req = chart_requests(questions, companies)
+    req = cut_lineage(chart_requests(questions, companies))
     specs = req.select("company", "show_2024", "show_2025").distinct()
     comp = companies.select("row_id", "company_name", "rev_h1_2024", "rev_h1_2025")
     named = (_company_matches(req, companies)

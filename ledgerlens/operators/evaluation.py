@@ -87,11 +87,13 @@ def with_text_cosine(df: DataFrame, a: str, b: str, out: str,
     return e.withColumn(out, F.round(dot(F.col("_ea"), F.col("_eb")), 9)).drop("_ea", "_eb")
 
 
-def score_known_inferred(df: DataFrame, cohort: str, stem: bool = True) -> DataFrame:
-    """F9 on unpivoted rows: ROUGE-L and cosine; reliability metrics null."""
+def score_known_inferred(df: DataFrame, cohort: str | None = None,
+                         stem: bool = True) -> DataFrame:
+    """F9 on unpivoted rows: ROUGE-L and cosine; reliability metrics null.
+    The cohort label comes from ``cohort`` or else the ``cohort`` column."""
     gold, pred = clean("gold"), clean("pred")
     out = df.select(
-        F.lit(cohort).alias("cohort"), F.col("row_id").cast("long").alias("row_id"), "k",
+        (F.lit(cohort) if cohort else F.col("cohort")).alias("cohort"), F.col("row_id").cast("long").alias("row_id"), "k",
         clean(_text(df, "query")).alias("query"),
         clean(_text(df, "expected_company")).alias("expected_company"),
         gold.alias("gold"), pred.alias("pred"))
@@ -137,10 +139,10 @@ def per_query_metrics(sheets: DataFrame, stem: bool = True) -> DataFrame:
     require_sheets(sheets, resolved)
     tagged = sheets.join(F.broadcast(resolved), "sheet")  # ≤ 3 rows
     long = unpivot_answers(tagged)
+    # Known and Inferred share one scoring pass (same metrics)
     frames = [
-        score_known_inferred(long.where(F.col("cohort") == COHORT_KNOWN), COHORT_KNOWN, stem),
-        score_known_inferred(long.where(F.col("cohort") == COHORT_INFERRED), COHORT_INFERRED,
-                             stem),
+        score_known_inferred(long.where(F.col("cohort").isin(COHORT_KNOWN, COHORT_INFERRED)),
+                             stem=stem),
         score_out_of_kb(long.where(F.col("cohort") == COHORT_OUT_OF_KB)),
     ]
     return union_cohorts(frames)

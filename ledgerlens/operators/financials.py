@@ -51,26 +51,41 @@ def period_aggregates(facts: DataFrame, key: str, ts: str, price: str, discount:
     over the union of periods.
 
     revenue = price × (1 − discount); profit = revenue × discount (a proxy;
-    the facts carry no cost column)."""
+    the facts carry no cost column).
+
+    The period boundaries cut the time line into disjoint slices; each fact
+    falls in at most one, so the first aggregate needs only three exact
+    decimal sums per row, keyed by (key, slice) and combined map-side. The
+    second aggregate folds the few slices of each key into the periods."""
     lo = min(p.start for p in periods)
     hi = max(p.end for p in periods)
+    cuts = sorted({p.start for p in periods} | {p.end for p in periods})
     ts_col = F.col(ts)
+    slice_id = F.lit(len(cuts) - 2)
+    for i in range(len(cuts) - 2, 0, -1):
+        slice_id = F.when(ts_col < F.lit(cuts[i]), F.lit(i - 1)).otherwise(slice_id)
     price_d = F.col(price).cast(MONEY)
-    rev = price_d * (F.lit(1) - F.col(discount).cast(MONEY))
-    profit = rev * F.col(discount).cast(MONEY)
-    aggs = []
-    for p in periods:
-        cond = _in_period(ts_col, p)
-        aggs.append(F.sum(F.when(cond, rev)).alias(f"_rev_{p.name}"))
-        aggs.append(F.sum(F.when(cond, profit)).alias(f"_profit_{p.name}"))
-    aggs.append(F.sum(price_d).alias("_price_sum"))
-    aggs.append(F.count(F.lit(1)).alias("_price_n"))
-    return (
+    disc_d = F.col(discount).cast(MONEY)
+    rev = price_d * (F.lit(1) - disc_d)
+    per_slice = (
         facts
         .where((ts_col >= F.lit(lo)) & (ts_col < F.lit(hi)))
-        .groupBy(key)
-        .agg(*aggs)
+        .select(F.col(key), slice_id.alias("_slice"), rev.alias("_r"),
+                (rev * disc_d).alias("_p"), price_d.alias("_px"))
+        .groupBy(key, "_slice")
+        .agg(F.sum("_r").alias("_r"), F.sum("_p").alias("_p"),
+             F.sum("_px").alias("_px"), F.count(F.lit(1)).alias("_n"))
     )
+    aggs = []
+    for p in periods:
+        members = [i for i in range(len(cuts) - 1)
+                   if cuts[i] >= p.start and cuts[i + 1] <= p.end]
+        inside = F.col("_slice").isin(members)
+        aggs.append(F.sum(F.when(inside, F.col("_r"))).alias(f"_rev_{p.name}"))
+        aggs.append(F.sum(F.when(inside, F.col("_p"))).alias(f"_profit_{p.name}"))
+    aggs.append(F.sum("_px").alias("_price_sum"))
+    aggs.append(F.sum("_n").alias("_price_n"))
+    return per_slice.groupBy(key).agg(*aggs)
 
 
 def money(c: Column) -> Column:

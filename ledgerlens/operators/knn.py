@@ -98,12 +98,15 @@ def _arrow_type(dt: T.DataType) -> pa.DataType:
 
 def knn(queries: DataFrame, qid: str, qvec: str, corpus: DataFrame, did: str, dvec: str,
         k: int, block_rows: int = 1024, chunk_rows: int = 4096,
-        min_chunks: int | None = None) -> DataFrame:
+        min_chunks: int | None = None, n_queries: int | None = None,
+        n_corpus: int | None = None) -> DataFrame:
     """Exact top-k: (qid, did, score, rank). Fewer than k rows per query
-    when the corpus is smaller than k."""
+    when the corpus is smaller than k. ``n_queries`` / ``n_corpus`` size the
+    blocks; pass counts taken before the embedding step so the embedder
+    does not run once more just to be counted."""
     spark = queries.sparkSession
-    n_q = queries.count()
-    n_c = corpus.count()
+    n_q = queries.count() if n_queries is None else n_queries
+    n_c = corpus.count() if n_corpus is None else n_corpus
     if n_q == 0 or n_c == 0:
         schema = T.StructType([queries.schema[qid], corpus.schema[did],
                                T.StructField("score", T.DoubleType()),

@@ -20,10 +20,13 @@ def index_documents(docs: DataFrame, dim: int = DEFAULT_DIM) -> DataFrame:
 
 def retrieve(questions: DataFrame, index: DataFrame, k: int = DEFAULT_TOP_K,
              dim: int = DEFAULT_DIM, qid: str = "question_id", qtext: str = "question",
-             did: str = "row_id") -> DataFrame:
+             did: str = "row_id", n_corpus: int | None = None) -> DataFrame:
     """(question_id, row_id, score, rank) — top-k documents per question."""
+    n_q = questions.count()
+    n_c = index.select(did).count() if n_corpus is None else n_corpus
     q = hashing_embed(questions.select(qid, qtext), qtext, "q_emb", dim)
-    return knn(q, qid, "q_emb", index.select(did, "embedding"), did, "embedding", k)
+    return knn(q, qid, "q_emb", index.select(did, "embedding"), did, "embedding", k,
+               n_queries=n_q, n_corpus=n_c)
 
 
 def depth_sweep(hits: DataFrame, ks: list[int] = K_VALUES) -> DataFrame:

@@ -24,7 +24,8 @@ def retrieval_hits(questions: DataFrame, companies: DataFrame, k: int = DEFAULT_
     docs = render_documents(companies)
     index = retrieval.index_documents(docs)
     tq = text_questions(questions)
-    hits = retrieval.retrieve(tq, index, k)
+    # count before embedding: the embedder is not run just to size blocks
+    hits = retrieval.retrieve(tq, index, k, n_corpus=docs.count())
     return tq, docs, retrieval.with_documents(hits, docs)
 
 

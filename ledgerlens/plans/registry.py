@@ -12,6 +12,13 @@ from ..sources import standins
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def _companies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The derived company table, written once to the shared checkpoint
+    folder for plans that read it several times (reliable checkpoint)."""
+    from ..session import cut_lineage
+    return cut_lineage(standins.companies(spark, sf_dir))
+
+
 def _top5(years: str) -> Query:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         return topk.top_revenue(standins.companies(spark, sf_dir), years)
@@ -67,13 +74,13 @@ def _routes(spark, sf_dir):
 
 def _detect(spark, sf_dir):
     return entity.detect_company(standins.questions(spark, sf_dir).select("question_id", "question"),
-                                 standins.companies(spark, sf_dir))
+                                 _companies(spark, sf_dir))
 
 
 def _chart(part):
     def run(spark, sf_dir):
         answers, series = charts.chart_answers(standins.questions(spark, sf_dir),
-                                               standins.companies(spark, sf_dir))
+                                               _companies(spark, sf_dir))
         return answers if part == "answers" else series
     return run
 
@@ -86,7 +93,7 @@ QUERIES.update({
     "chart_answer": _chart("answers"),
     "chart_series": _chart("series"),
     "chart_half_year": lambda s, d: charts.half_year_charts(standins.questions(s, d),
-                                                            standins.companies(s, d)),
+                                                            _companies(s, d)),
 })
 
 
@@ -110,12 +117,13 @@ def _doc_search(spark, sf_dir):
     q = hashing_embed(t.benchmark, "text", "q_vec")
     d = hashing_embed(t.documents.select("doc_id", "text"), "text", "d_vec")
     return knn_op.knn(q.select("item_id", "q_vec"), "item_id", "q_vec",
-                      d.select("doc_id", "d_vec"), "doc_id", "d_vec", 5)
+                      d.select("doc_id", "d_vec"), "doc_id", "d_vec", 5,
+                      n_queries=t.benchmark.count(), n_corpus=t.documents.count())
 
 
 def _hits(spark, sf_dir):
     return qa.retrieval_hits(standins.questions(spark, sf_dir),
-                             standins.companies(spark, sf_dir))[2]
+                             _companies(spark, sf_dir))[2]
 
 
 QUERIES.update({
@@ -126,8 +134,7 @@ QUERIES.update({
         "question_id", "k", "rank", "row_id", "score"),
     "build_context": lambda s, d: retrieval.build_context(_hits(s, d)).drop("_top"),
     "retrieved_records": lambda s, d: retrieval.retrieved_records(_hits(s, d)),
-    "rag_answers": lambda s, d: qa.rag_answers(standins.questions(s, d),
-                                               standins.companies(s, d)),
+    "rag_answers": lambda s, d: qa.rag_answers(standins.questions(s, d), _companies(s, d)),
 })
 
 
