@@ -113,3 +113,65 @@ DOC_LINES = [
     ("Price-to-Book Ratio (P/B): ", "pb"),
 ]
 NULL_TEXT = "nan"
+
+# FIXED VALUES: headings of the company sheet as exported by the application,
+# in sheet order, each with the canonical column it is renamed to on ingest.
+COMPANY_SHEET_HEADINGS = [
+    ("company_name", "Company name"),
+    ("company_code", "Company Code"),
+    ("industry", "Industry Group"),
+    ("description", "Company Description"),
+    ("additional_info", "Additional Information"),
+    ("website", "Company Website"),
+    ("asx_page", "Company page in ASX"),
+    ("rev_h1_2025", "Half year ending June 2025 Revenue"),
+    ("rev_h1_2024", "Half year ending June 2024 Revenue"),
+    ("rev_h1_change", "Revenue Half year Percentage Change"),
+    ("profit_h1_2025", "Half year ending June 2025 Profit after tax attributable to "
+                       "shareholders (net earnings) in Mn"),
+    ("profit_h1_2024", "Half year ending June 2024 Profit after tax attributable to "
+                       "shareholders (net earnings) in Mn"),
+    ("profit_h1_change", "Profit after tax attributable to shareholders (net earnings) "
+                         "Percentage Change"),
+    ("rev_fy_2025", "Revenue for full year ending Jun 25 in mn in AUD"),
+    ("rev_fy_2024", "Revenue for full year ending Jun 24 in mn in AUD"),
+    ("rev_fy_change", "Revenue for full year percentage change"),
+    ("profit_fy_2025", "Full year ending June 2025 Profit after tax attributable to "
+                       "shareholders (net earnings) in Mn"),
+    ("profit_fy_2024", "Full year ending June 2024 Profit after tax attributable to "
+                       "shareholders (net earnings) in Mn"),
+    ("profit_fy_change", "Full year ending June 2024 Profit after tax attributable to "
+                         "shareholders percentage change"),
+    ("equity", "Equity for shareholder in Mn AUD"),
+    ("shares_mn", "Number of Shares in Millions"),
+    ("market_price", "Market Price in AUD on 15th Sep  2025"),
+    ("eps_h1_2025", "Earnings per Share (AUD) for half year ending June 2025 (Net Profit "
+                    "attributable to share holder) divided by Number of shares"),
+    ("eps_h1_2024", "Earnings per Share (AUD) for half year ending June 2024 (Net Profit "
+                    "attributable to share holder) divided by Number of shares. EPS measures "
+                    "how much profit a company generates for each outstanding share of its "
+                    "stock. Interpretation: A higher EPS generally means the company is more "
+                    "profitable on a per-share basis, which is positive for shareholders. "),
+    ("pe", "Price to Earnings ratio (x) for half year ending June 2025 : Market price divided "
+           "by Earnings per share. The PE ratio shows how much investors are willing to pay "
+           "for each dollar of the companys earnings. It compares the companys share price "
+           "with its earnings per share. Interpretation: A high P/E ratio suggests the market "
+           "expects strong future growth (but it could also mean the stock is overpriced). A "
+           "low PE ratio may indicate undervaluation or slower growth expectations. "),
+    ("bvps", "Book value per share (AUD): Equity for shareholder/Number of shares. Book Value "
+             "per Share (BVPS) is a financial ratio that represents the net asset value of a "
+             "company available to each outstanding share of common stock. BVPS shows the "
+             "accounting value of each share if the company were liquidated today, based on "
+             "its historical cost of assets and liabilities. Comparison with Market Price: "
+             "Market Price per Share > BVPS: Investors believe the company has strong future "
+             "earnings power, intangible assets (brand, patents, goodwill), or growth "
+             "potential not fully reflected on the balance sheet. Market Price per Share < "
+             "BVPS: Could indicate the stock is undervalued, or it may signal concerns about "
+             "profitability, asset quality, or growth. Indicator of Financial Strength: A "
+             "higher BVPS over time suggests the company is consistently building value for "
+             "shareholders (through retained earnings, reinvestments). A declining BVPS could "
+             "mean losses, high dividend payouts, or write-downs of assets."),
+    ("pb", "Price to Book value (x): Market price/Book value per share: It shows how much "
+           "investors are willing to pay for each $1 of book value (net assets) of the "
+           "company."),
+]

@@ -65,6 +65,14 @@ def _company_matches(requests: DataFrame, companies: DataFrame) -> DataFrame:
     return hits
 
 
+def filter_companies(requests: DataFrame, companies: DataFrame) -> DataFrame:
+    """P4 for a set of requested names: (company, row_id, company_name) of
+    every company row whose name contains a requested name."""
+    return (_company_matches(requests, companies)
+            .join(companies.select("row_id", "company_name"), "row_id")
+            .select("company", "row_id", "company_name"))
+
+
 def _bars(companies: DataFrame, requests: DataFrame, n: int) -> DataFrame:
     """Top-n companies per distinct chart spec (company or none, mode)."""
     cols = ["row_id", "company_name", "rev_fy_2024", "rev_fy_2025"]

@@ -624,3 +624,24 @@ SELECT session_id,
   role, content, question_id
 FROM msgs""",
 })
+
+
+# ---- single operators with their own key ------------------------------------------
+from ..constants import COMPANY_SHEET_HEADINGS  # noqa: E402
+
+ORACLES.update({
+    "scan_companies": f"WITH {COMPANIES_CTE} SELECT "
+                      + ", ".join(c for c, _ in COMPANY_SHEET_HEADINGS) + " FROM companies",
+    "filter_company": f"""{_Q_ALL},
+named AS (SELECT DISTINCT company FROM detected WHERE company IS NOT NULL)
+SELECT n.company, c.row_id, c.company_name
+FROM named n JOIN companies c ON contains(lower(c.company_name), lower(n.company))""",
+    "detect_years": f"{_Q_ALL} SELECT question_id, show_2024, show_2025 FROM routes",
+    "render_prompt": _RAG + f"""
+SELECT q.question_id,
+  {_sql_str(_P_HEAD)} || coalesce(c.context, '') || {_sql_str(_P_MID)} || coalesce(q.question, '')
+    || {_sql_str(_P_TAIL)} AS prompt
+FROM textq q LEFT JOIN ctx c ON q.question_id = c.question_id""",
+    "score_known": f"{_EV} SELECT * FROM per_query WHERE cohort <> 'Out of KB'",
+    "knn_blocked": ORACLES["knn_dense"],
+})

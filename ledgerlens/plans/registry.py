@@ -263,3 +263,46 @@ QUERIES.update({
     "stream_answers": _stream_answers,
     "chat_replay": _chat_replay,
 })
+
+
+# ---- single operators of the inventory with their own key -----------------------
+from ..constants import COHORT_INFERRED, COHORT_KNOWN  # noqa: E402
+from ..sources import company_sheet  # noqa: E402
+
+
+def _scan_companies(spark, sf_dir):
+    """The company table exported under its source headings, scanned back."""
+    path = scratch_path(spark, "company-sheet")
+    company_sheet.write_company_sheet(standins.companies(spark, sf_dir), path)
+    return company_sheet.read_company_sheet(spark, path)
+
+
+def _filter_company(spark, sf_dir):
+    """For every company named in a question, the company rows whose
+    name contains it (case-insensitive, literal)."""
+    companies = _companies(spark, sf_dir)
+    found = entity.detect_company(standins.questions(spark, sf_dir)
+                                  .select("question_id", "question"), companies)
+    return charts.filter_companies(found, companies)
+
+
+def _knn_blocked(spark, sf_dir):
+    """J2 with small blocks and chunks, so a query's winners come from many
+    (block, chunk) products and are merged by the window."""
+    emb = Tables(spark, sf_dir).embeddings
+    q = emb.select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q_vec"))
+    return knn_op.knn(q, "query_id", "q_vec", emb.select("vec_id", "embedding"),
+                      "vec_id", "embedding", 5, block_rows=128, chunk_rows=128)
+
+
+QUERIES.update({
+    "scan_companies": _scan_companies,
+    "filter_company": _filter_company,
+    "detect_years": lambda s, d: charts.route(standins.questions(s, d)).select(
+        "question_id", "show_2024", "show_2025"),
+    "render_prompt": lambda s, d: qa.rag_answers(standins.questions(s, d), _companies(s, d))
+                                    .select("question_id", "prompt"),
+    "score_known": lambda s, d: ev.score_known_inferred(
+        _long(s, d).where(F.col("cohort").isin(COHORT_KNOWN, COHORT_INFERRED)), stem=False),
+    "knn_blocked": _knn_blocked,
+})
