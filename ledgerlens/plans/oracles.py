@@ -645,3 +645,6 @@ FROM textq q LEFT JOIN ctx c ON q.question_id = c.question_id""",
     "score_known": f"{_EV} SELECT * FROM per_query WHERE cohort <> 'Out of KB'",
     "knn_blocked": ORACLES["knn_dense"],
 })
+
+# exact cell search returns the brute-force rows
+ORACLES["knn_ivf"] = ORACLES["knn_dense"]

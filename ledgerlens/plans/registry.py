@@ -306,3 +306,15 @@ QUERIES.update({
         _long(s, d).where(F.col("cohort").isin(COHORT_KNOWN, COHORT_INFERRED)), stem=False),
     "knn_blocked": _knn_blocked,
 })
+
+
+def _knn_ivf(spark, sf_dir):
+    """J2 over k-means cells with bound pruning: exact, same rows as knn_dense."""
+    from ..operators.ivf import knn_ivf
+    emb = Tables(spark, sf_dir).embeddings
+    q = emb.select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q_vec"))
+    return knn_ivf(q, "query_id", "q_vec", emb.select("vec_id", "embedding"),
+                   "vec_id", "embedding", 5)
+
+
+QUERIES["knn_ivf"] = _knn_ivf

@@ -36,3 +36,40 @@ def test_depth_sweep_nested(spark):
     sw = retrieval.depth_sweep(hits).collect()
     by_k = {k: {r.row_id for r in sw if r.k == k} for k in (1, 3, 5)}
     assert by_k[1] < by_k[3] < by_k[5] and len(by_k[5]) == 5
+
+
+def test_ivf_knn_is_exact_and_prunes(spark):
+    from ledgerlens.operators import ivf
+    rng = np.random.default_rng(5)
+    centres = rng.normal(size=(12, 16))
+    pts = centres[rng.integers(0, 12, 900)] + 0.15 * rng.normal(size=(900, 16))
+    pts /= np.linalg.norm(pts, axis=1, keepdims=True)
+    c = spark.createDataFrame([(i, pts[i].tolist()) for i in range(900)], "did long, v array<double>")
+    qm = pts[:60] + 0.05 * rng.normal(size=(60, 16))
+    q = spark.createDataFrame([(i, qm[i].tolist()) for i in range(60)], "qid long, v array<double>")
+    stats = {}
+    got = ivf.knn_ivf(q, "qid", "v", c, "did", "v", 5, n_cells=12, n_probe=1,
+                      block_rows=16, chunk_rows=32, stats=stats).collect()
+    s = np.round(qm @ pts.T, 9)
+    assert len(got) == 60 * 5
+    for r in got:
+        order = sorted(range(900), key=lambda j: (-s[r.qid, j], j))
+        assert order[r.rank - 1] == r.did
+    # the bound leaves most (query, cell) pairs unsearched
+    assert stats["pairs_pass1"] + stats["pairs_pass2"] < 0.5 * 60 * 12
+
+
+def test_ivf_knn_small_corpus_and_random_vectors(spark):
+    from ledgerlens.operators import ivf
+    c, cm = _vecs(spark, 3, 4, 3, "did")
+    q = c.select(F.col("did").alias("qid"), "v")
+    got = ivf.knn_ivf(q, "qid", "v", c, "did", "v", 5).collect()
+    assert len(got) == 9 and all(r.did == r.qid for r in got if r.rank == 1)
+    q2, qm = _vecs(spark, 25, 8, 11, "qid")
+    c2, cm2 = _vecs(spark, 400, 8, 12, "did")
+    got = ivf.knn_ivf(q2, "qid", "v", c2, "did", "v", 3, n_cells=9, n_probe=1).collect()
+    s = np.round(qm @ cm2.T, 9)
+    assert len(got) == 25 * 3
+    for r in got:
+        order = sorted(range(400), key=lambda j: (-s[r.qid, j], j))
+        assert order[r.rank - 1] == r.did
