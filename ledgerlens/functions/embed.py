@@ -2,9 +2,10 @@
 
 ``hashing_embed`` is the deterministic offline default: lower-case, split on
 anything outside [a-z0-9], bucket each token by the first 32 bits of its MD5
-modulo ``dim``, count, L2-normalise. Token hashing runs in the JVM
-(``md5``/``conv`` inside ``transform``); the counts→unit-vector step is one
-vectorised NumPy pass per Arrow batch (``mapInArrow``), no shuffle.
+modulo ``dim``, count, L2-normalise. It is one ``mapInArrow`` pass per Arrow
+batch (no shuffle): per-element lambdas of ``transform`` are interpreted, not
+compiled, so hashing every token there cost more than the Python pass with a
+token cache. ``token_buckets`` states the same rule as a column expression.
 
 ``model_embed`` plugs in any batch model through ``predict_batch_udf`` (the
 model is loaded once per Python worker).
@@ -12,6 +13,8 @@ model is loaded once per Python worker).
 
 from __future__ import annotations
 
+import hashlib
+import re
 from collections.abc import Callable
 
 import numpy as np
@@ -24,28 +27,46 @@ DEFAULT_DIM = 256
 
 
 def token_buckets(text: Column, dim: int = DEFAULT_DIM) -> Column:
-    """array<int>: one bucket per token (whole text, every token)."""
+    """array<int>: one bucket per token (whole text, every token), as a
+    column expression — the JVM statement of the bucket rule."""
     toks = F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), "[^a-z0-9]+"),
                     lambda t: F.length(t) > 0)
     return F.transform(toks, lambda t: F.pmod(
         F.conv(F.substring(F.md5(t), 1, 8), 16, 10).cast("long"), F.lit(dim)).cast("int"))
 
 
-def _normalise_batches(dim: int, bucket_col: str, out_col: str, keep: list[str]):
+_SEP = re.compile(r"[^a-z0-9]+")
+
+
+def _bucket(tok: str, dim: int) -> int:
+    return int(hashlib.md5(tok.encode()).hexdigest()[:8], 16) % dim
+
+
+def _embed_batches(dim: int, text_col: str, out_col: str, keep: list[str]):
+    """Tokenise, bucket, count and L2-normalise one Arrow batch at a time.
+    Token → bucket is cached per task (word frequencies are skewed, so most
+    tokens are looked up, not hashed)."""
     def run(batches):
+        cache: dict[str, int] = {}
         for b in batches:
-            lists = b.column(bucket_col)
-            n = len(lists)
-            mat = np.zeros((n, dim), dtype=np.float64)
-            if n:
-                offsets = lists.offsets.to_numpy()
-                lengths = np.diff(offsets)
-                values = lists.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
-                rows = np.repeat(np.arange(n), lengths)
-                np.add.at(mat, (rows, values), 1.0)
-                norms = np.sqrt((mat * mat).sum(axis=1))
-                nz = norms > 0
-                mat[nz] /= norms[nz, None]
+            texts = b.column(text_col).to_pylist()
+            n = len(texts)
+            flat: list[int] = []
+            for i, t in enumerate(texts):
+                if not t:
+                    continue
+                base = i * dim
+                for tok in _SEP.split(t.lower()):
+                    if tok:
+                        k = cache.get(tok)
+                        if k is None:
+                            k = cache[tok] = _bucket(tok, dim)
+                        flat.append(base + k)
+            mat = np.bincount(np.asarray(flat, dtype=np.int64),
+                              minlength=n * dim).astype(np.float64).reshape(n, dim)
+            norms = np.sqrt((mat * mat).sum(axis=1))
+            nz = norms > 0
+            mat[nz] /= norms[nz, None]
             offs = pa.array(np.arange(0, (n + 1) * dim, dim, dtype=np.int32))
             vec = pa.ListArray.from_arrays(offs, pa.array(mat.ravel()))
             cols = [b.column(c) for c in keep] + [vec]
@@ -55,12 +76,13 @@ def _normalise_batches(dim: int, bucket_col: str, out_col: str, keep: list[str])
 
 def hashing_embed(df: DataFrame, text_col: str, out_col: str = "embedding",
                   dim: int = DEFAULT_DIM) -> DataFrame:
-    """Adds ``out_col`` array<double> (unit length, zeros for token-less text)."""
+    """Adds ``out_col`` array<double> (unit length, zeros for token-less text).
+    A narrow map: no shuffle, one Arrow round trip."""
     keep = [c for c in df.columns]
-    staged = df.withColumn("_buckets", token_buckets(F.col(text_col), dim))
     schema = T.StructType([f for f in df.schema.fields] +
                           [T.StructField(out_col, T.ArrayType(T.DoubleType()))])
-    return staged.mapInArrow(_normalise_batches(dim, "_buckets", out_col, keep), schema)
+    from ..session import spread
+    return spread(df).mapInArrow(_embed_batches(dim, text_col, out_col, keep), schema)
 
 
 def model_embed(df: DataFrame, text_col: str, make_predict: Callable,

@@ -14,6 +14,10 @@ A pattern occurring in a text implies all of its g-grams occur in it, so the
 candidate set is complete: the result is exact. Skewed keys are handled by
 AQE's skew-join splitting; nothing is collected except the (at most g-1)
 distinct short pattern lengths.
+
+When the pattern side passes a bounded row count, its keys (with the pattern
+text) are broadcast and the text side runs as one pipelined stage: explode
+the grams, probe, verify ``contains`` — the texts are never shuffled.
 """
 
 from __future__ import annotations
@@ -21,7 +25,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..session import rows_at_most
+
 GRAM = 4
+# patterns (distinct names) that may be broadcast; checked with a bounded count
+MAX_BROADCAST_PATTERNS = 1_000_000
 
 
 def _substrings(lc: Column, n: int) -> Column:
@@ -31,11 +39,12 @@ def _substrings(lc: Column, n: int) -> Column:
         lambda i: F.substring(lc, i, n)))
 
 
-def _text_keys(texts: DataFrame, id_col: str, text_col: str, lengths: list[int]) -> DataFrame:
+def _text_keys(texts: DataFrame, id_col: str, text_col: str, lengths: list[int],
+               keep: tuple = ()) -> DataFrame:
     lc = F.lower(F.col(text_col))
     arrays = [_substrings(lc, n) for n in sorted(set(lengths))]
     keys = F.array_distinct(F.flatten(F.array(*arrays))) if len(arrays) > 1 else arrays[0]
-    return (texts.select(F.col(id_col).alias("_tid"), F.explode(keys).alias("_key"))
+    return (texts.select(F.col(id_col).alias("_tid"), *keep, F.explode(keys).alias("_key"))
                  .where(F.length("_key") > 0))
 
 
@@ -57,7 +66,7 @@ def _pattern_keys(patterns: DataFrame, gram: int) -> DataFrame:
 
 def substring_matches(texts: DataFrame, id_col: str, text_col: str,
                       patterns: DataFrame, pat_key: str, pat_col: str,
-                      gram: int = GRAM) -> DataFrame:
+                      gram: int = GRAM, max_broadcast: int = MAX_BROADCAST_PATTERNS) -> DataFrame:
     """All (text id, pattern key) with lower(pattern) ⊂ lower(text).
     Empty and null patterns never match."""
     pats = (patterns.where(F.col(pat_col).isNotNull() & (F.length(pat_col) > 0))
@@ -67,6 +76,14 @@ def substring_matches(texts: DataFrame, id_col: str, text_col: str,
                      pats.where(F.length("_lpat") < gram)
                          .select(F.length("_lpat")).distinct().collect()]
     pkeys = _pattern_keys(pats, gram)
+    if rows_at_most(pats, max_broadcast):
+        # bounded pattern side: one pipelined stage over the texts — explode
+        # keys, probe the broadcast keys, verify; the texts are not shuffled
+        lowered = texts.select(F.col(id_col).alias("_tid"), F.lower(F.col(text_col)).alias("_ltext"))
+        tkeys = _text_keys(lowered, "_tid", "_ltext", [gram] + short_lengths, keep=["_ltext"])
+        hits = (tkeys.join(F.broadcast(pkeys.join(pats, "_pkey")), "_key")
+                     .where(F.col("_ltext").contains(F.col("_lpat"))))
+        return hits.select(F.col("_tid").alias(id_col), F.col("_pkey").alias(pat_key))
     tkeys = _text_keys(texts, id_col, text_col, [gram] + short_lengths)
     # one key per pattern and distinct keys per text: pairs are already unique
     cand = tkeys.join(pkeys, "_key").select("_tid", "_pkey")

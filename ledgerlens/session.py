@@ -95,3 +95,14 @@ def shuffle_partitions(spark: SparkSession) -> int:
 
 def env_sf_dir(default: str = "/root/testdata/sf0.1") -> str:
     return os.environ.get("BENCH_SF_DIR", default)
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Rebalance a frame with fewer partitions than the cluster has cores
+    before a CPU-heavy Python step (a single-row-group file is one task).
+    A large input already has more partitions and is left untouched, so no
+    shuffle is added at scale."""
+    par = df.sparkSession.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() < par:
+        return df.repartition(par)
+    return df
