@@ -88,3 +88,46 @@ def rouge_l_col(pred: Column, ref: Column, stem: bool = True) -> Column:
         return _ROUGE_STEM(pred, ref)
     _ROUGE_PLAIN = _ROUGE_PLAIN or _make_udf(False)
     return _ROUGE_PLAIN(pred, ref)
+
+
+# ---- ROUGE-L and the hashing-embedder cosine in one Arrow pass -----------------
+def hash_cosine(pred: str, ref: str, dim: int, cache: dict) -> float:
+    """Cosine of the hashing-embedder vectors of two texts (same tokens and
+    buckets as ``embed.hashing_embed``), 0 when either has no token."""
+    from .embed import _bucket
+
+    def counts(text):
+        out: dict[int, int] = {}
+        for tok in tokens(text, False):
+            b = cache.get(tok)
+            if b is None:
+                b = cache[tok] = _bucket(tok, dim)
+            out[b] = out.get(b, 0) + 1
+        return out
+    cp, cr = counts(pred), counts(ref)
+    if not cp or not cr:
+        return 0.0
+    npred = sum(v * v for v in cp.values()) ** 0.5
+    nref = sum(v * v for v in cr.values()) ** 0.5
+    dot = sum((v / npred) * (cr[b] / nref) for b, v in cp.items() if b in cr)
+    return round(dot, 9)
+
+
+PAIR_SCORES = T.StructType([T.StructField("rougeL", T.DoubleType()),
+                            T.StructField("cosine", T.DoubleType())])
+_PAIR_UDFS: dict = {}
+
+
+def pair_scores_col(pred: Column, ref: Column, stem: bool, dim: int) -> Column:
+    """struct(rougeL, cosine) for cleaned texts: one Python pass computes
+    both, so the pair crosses the JVM/Python boundary once."""
+    key = (stem, dim)
+    if key not in _PAIR_UDFS:
+        @F.pandas_udf(PAIR_SCORES)
+        def scores(p: pd.Series, r: pd.Series) -> pd.DataFrame:
+            cache: dict = {}
+            rows = [(rouge_l(a, b, stem), hash_cosine(clean_py(a), clean_py(b), dim, cache))
+                    for a, b in zip(p, r)]
+            return pd.DataFrame(rows, columns=["rougeL", "cosine"], dtype="float64")
+        _PAIR_UDFS[key] = scores
+    return _PAIR_UDFS[key](pred, ref)

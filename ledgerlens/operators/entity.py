@@ -25,7 +25,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..session import rows_at_most
+from ..session import rows_at_most, spread
 
 GRAM = 4
 # patterns (distinct names) that may be broadcast; checked with a bounded count
@@ -79,7 +79,10 @@ def substring_matches(texts: DataFrame, id_col: str, text_col: str,
     if rows_at_most(pats, max_broadcast):
         # bounded pattern side: one pipelined stage over the texts — explode
         # keys, probe the broadcast keys, verify; the texts are not shuffled
-        lowered = texts.select(F.col(id_col).alias("_tid"), F.lower(F.col(text_col)).alias("_ltext"))
+        # exploding every g-gram is the CPU-heavy step: spread a text side
+        # that arrives in fewer partitions than cores (no-op at scale)
+        lowered = spread(texts.select(F.col(id_col).alias("_tid"),
+                                      F.lower(F.col(text_col)).alias("_ltext")))
         tkeys = _text_keys(lowered, "_tid", "_ltext", [gram] + short_lengths, keep=["_ltext"])
         hits = (tkeys.join(F.broadcast(pkeys.join(pats, "_pkey")), "_key")
                      .where(F.col("_ltext").contains(F.col("_lpat"))))

@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from ..constants import (ALIASES_INFERRED, ALIASES_KNOWN, ALIASES_OUT_OF_KB, COHORT_INFERRED,
                          COHORT_KNOWN, COHORT_OUT_OF_KB, K_VALUES, METRIC_COLUMNS)
 from ..functions.embed import DEFAULT_DIM, hashing_embed
-from ..functions.rouge import rouge_l_col
+from ..functions.rouge import pair_scores_col
 from ..functions.text import clean, looks_like_refusal, norm_label
 from ..session import bounded_broadcast
 
@@ -88,21 +88,24 @@ def with_text_cosine(df: DataFrame, a: str, b: str, out: str,
 
 
 def score_known_inferred(df: DataFrame, cohort: str | None = None,
-                         stem: bool = True) -> DataFrame:
+                         stem: bool = True, dim: int = DEFAULT_DIM) -> DataFrame:
     """F9 on unpivoted rows: ROUGE-L and cosine; reliability metrics null.
-    The cohort label comes from ``cohort`` or else the ``cohort`` column."""
+    The cohort label comes from ``cohort`` or else the ``cohort`` column.
+    With the default hashing embedder both scores come from one Arrow pass
+    (``pair_scores_col``); ``with_text_cosine`` is the general route."""
     gold, pred = clean("gold"), clean("pred")
     out = df.select(
-        (F.lit(cohort) if cohort else F.col("cohort")).alias("cohort"), F.col("row_id").cast("long").alias("row_id"), "k",
+        (F.lit(cohort) if cohort else F.col("cohort")).alias("cohort"),
+        F.col("row_id").cast("long").alias("row_id"), "k",
         clean(_text(df, "query")).alias("query"),
         clean(_text(df, "expected_company")).alias("expected_company"),
         gold.alias("gold"), pred.alias("pred"))
-    out = with_text_cosine(out, "pred", "gold", "_cos")
     empty = (F.col("gold") == "") | (F.col("pred") == "")
-    return out.select(
-        F.when(empty, F.lit(0.0)).otherwise(rouge_l_col(F.col("pred"), F.col("gold"), stem))
-         .alias("rougeL"),
-        F.when(empty, F.lit(0.0)).otherwise(F.col("_cos")).alias("semantic_cosine"),
+    scored = out.withColumn("_s", F.when(~empty, pair_scores_col(F.col("pred"), F.col("gold"),
+                                                                 stem, dim)))
+    return scored.select(
+        F.coalesce(F.col("_s.rougeL"), F.lit(0.0)).alias("rougeL"),
+        F.coalesce(F.col("_s.cosine"), F.lit(0.0)).alias("semantic_cosine"),
         F.lit(None).cast("double").alias("good_refusal"),
         F.lit(None).cast("double").alias("hallucination_rate"),
         "cohort", "row_id", "k", "query", "expected_company", "gold", "pred")

@@ -50,17 +50,17 @@ def _in_period(ts: Column, p: Period) -> Column:
 # in one group, so a key holding a third of the facts cannot overflow, and
 # long sums run several times faster than DECIMAL sums.
 SPLIT_BITS = 24
+_LOW_MASK = (1 << SPLIT_BITS) - 1
 
 
-def _split(c: Column, name: str) -> list[Column]:
-    return [F.shiftright(c, SPLIT_BITS).alias(name + "_hi"),
-            c.bitwiseAND(F.lit((1 << SPLIT_BITS) - 1)).alias(name + "_lo")]
+def _ts_lit(t: dt.datetime) -> str:
+    return f"TIMESTAMP_NTZ'{t.isoformat(sep=' ')}'"
 
 
-def _join(hi: Column, lo: Column, decimals: int) -> Column:
+def _join_sql(hi: str, lo: str, decimals: int) -> str:
     """hi·2^bits + lo as an exact decimal, scaled down by 10^decimals."""
-    whole = hi.cast("decimal(38,0)") * F.lit(1 << SPLIT_BITS) + lo.cast("decimal(38,0)")
-    return whole / F.lit(10 ** decimals)
+    return (f"(CAST({hi} AS DECIMAL(38,0)) * {1 << SPLIT_BITS} + CAST({lo} AS DECIMAL(38,0)))"
+            f" / {10 ** decimals}")
 
 
 def period_aggregates(facts: DataFrame, key: str, ts: str, price: str, discount: str,
@@ -76,45 +76,47 @@ def period_aggregates(facts: DataFrame, key: str, ts: str, price: str, discount:
     The period boundaries cut the time line into disjoint slices; each fact
     falls in at most one, so the first aggregate needs only a few long sums
     per row, keyed by (key, slice) and combined map-side. The second
-    aggregate folds the few slices of each key into the periods."""
+    aggregate folds the few slices of each key into the periods.
+
+    The many similar expressions are written as SQL expression strings: one
+    parse call each instead of a dozen driver round trips."""
     lo = min(p.start for p in periods)
     hi = max(p.end for p in periods)
     cuts = sorted({p.start for p in periods} | {p.end for p in periods})
-    ts_col = F.col(ts)
-    slice_id = F.lit(len(cuts) - 2)
-    for i in range(len(cuts) - 2, 0, -1):
-        slice_id = F.when(ts_col < F.lit(cuts[i]), F.lit(i - 1)).otherwise(slice_id)
-    price_u = F.round(F.col(price) * F.lit(100.0)).cast("long")     # 1e-2
-    disc_u = F.round(F.col(discount) * F.lit(100.0)).cast("long")   # 1e-2
-    rev_u = price_u * (F.lit(100) - disc_u)                   # 1e-4
-    profit_u = rev_u * disc_u                                 # 1e-6
-    parts = ["_r_hi", "_r_lo", "_p_hi", "_p_lo", "_x_hi", "_x_lo"]
+    slice_sql = "CASE " + " ".join(f"WHEN {ts} < {_ts_lit(cuts[i])} THEN {i - 1}"
+                                   for i in range(1, len(cuts) - 1)) + f" ELSE {len(cuts) - 2} END"
+    price_u = f"CAST(round({price} * 100.0) AS BIGINT)"               # 1e-2
+    disc_u = f"CAST(round({discount} * 100.0) AS BIGINT)"             # 1e-2
+    amounts = {"_r": f"({price_u} * (100 - {disc_u}))",               # 1e-4
+               "_p": f"({price_u} * (100 - {disc_u}) * {disc_u})",    # 1e-6
+               "_x": price_u}                                        # 1e-2
+    split = []
+    for name, expr in amounts.items():
+        split += [f"shiftright({expr}, {SPLIT_BITS}) AS {name}_hi",
+                  f"{expr} & {_LOW_MASK} AS {name}_lo"]
+    parts = [f"{n}_{h}" for n in amounts for h in ("hi", "lo")]
     per_slice = (
         facts
-        .where((ts_col >= F.lit(lo)) & (ts_col < F.lit(hi)))
-        .select(F.col(key), slice_id.alias("_slice"),
-                *_split(rev_u, "_r"), *_split(profit_u, "_p"), *_split(price_u, "_x"))
+        .where(f"{ts} >= {_ts_lit(lo)} AND {ts} < {_ts_lit(hi)}")
+        .selectExpr(key, f"{slice_sql} AS _slice", *split)
         .groupBy(key, "_slice")
-        .agg(*[F.sum(c).alias(c) for c in parts], F.count(F.lit(1)).alias("_n"))
+        .agg(*[F.expr(f"sum({c}) AS {c}") for c in parts], F.expr("count(1) AS _n"))
     )
     aggs = []
     for p in periods:
-        members = [i for i in range(len(cuts) - 1)
-                   if cuts[i] >= p.start and cuts[i + 1] <= p.end]
-        inside = F.col("_slice").isin(members)
+        members = ", ".join(str(i) for i in range(len(cuts) - 1)
+                            if cuts[i] >= p.start and cuts[i + 1] <= p.end)
         for c in ("_r_hi", "_r_lo", "_p_hi", "_p_lo"):
-            aggs.append(F.sum(F.when(inside, F.col(c))).alias(f"{c}_{p.name}"))
-    aggs += [F.sum("_x_hi").alias("_x_hi"), F.sum("_x_lo").alias("_x_lo"),
-             F.sum("_n").alias("_price_n")]
+            aggs.append(F.expr(f"sum(CASE WHEN _slice IN ({members}) THEN {c} END) AS {c}_{p.name}"))
+    aggs += [F.expr("sum(_x_hi) AS _x_hi"), F.expr("sum(_x_lo) AS _x_lo"),
+             F.expr("sum(_n) AS _price_n")]
     out = per_slice.groupBy(key).agg(*aggs)
     sums = []
     for p in periods:
-        sums.append(_join(F.col(f"_r_hi_{p.name}"), F.col(f"_r_lo_{p.name}"), 4)
-                    .alias(f"_rev_{p.name}"))
-        sums.append(_join(F.col(f"_p_hi_{p.name}"), F.col(f"_p_lo_{p.name}"), 6)
-                    .alias(f"_profit_{p.name}"))
-    sums.append(_join(F.col("_x_hi"), F.col("_x_lo"), 2).alias("_price_sum"))
-    return out.select(key, *sums, "_price_n")
+        sums.append(_join_sql(f"_r_hi_{p.name}", f"_r_lo_{p.name}", 4) + f" AS _rev_{p.name}")
+        sums.append(_join_sql(f"_p_hi_{p.name}", f"_p_lo_{p.name}", 6) + f" AS _profit_{p.name}")
+    sums.append(_join_sql("_x_hi", "_x_lo", 2) + " AS _price_sum")
+    return out.selectExpr(key, *sums, "_price_n")
 
 
 def money(c: Column) -> Column:
@@ -129,28 +131,35 @@ def pct_change(new: Column, old: Column) -> Column:
 def finish_financials(df: DataFrame, periods: list[Period]) -> DataFrame:
     """Turn the raw period sums into the canonical company columns and
     the derived ratios (EPS, P/E, BVPS, P/B and % changes). Expects
-    ``equity`` and ``shares_mn`` columns next to the aggregates."""
-    names = {p.name for p in periods}
-    for name in sorted(names):
+    ``equity`` and ``shares_mn`` columns next to the aggregates.
+    Two projections (money columns, then ratios over them) instead of a
+    chain of ``withColumn`` calls, each of which re-analyses the plan."""
+    names = sorted({p.name for p in periods})
+    money_cols = []
+    for name in names:
         kind, label = name.split("_")
-        df = (df.withColumn(f"rev_{kind}_{label}", money(F.col(f"_rev_{name}")))
-                .withColumn(f"profit_{kind}_{label}", money(F.col(f"_profit_{name}"))))
-    df = df.withColumn(
-        "market_price",
-        F.try_divide(F.col("_price_sum").cast("double"), F.col("_price_n").cast("double"))
-        / F.lit(1000.0))
+        money_cols.append(money(F.col(f"_rev_{name}")).alias(f"rev_{kind}_{label}"))
+        money_cols.append(money(F.col(f"_profit_{name}")).alias(f"profit_{kind}_{label}"))
+    money_cols.append((F.try_divide(F.col("_price_sum").cast("double"),
+                                    F.col("_price_n").cast("double")) / F.lit(1000.0))
+                      .alias("market_price"))
+    kept = [c for c in df.columns if not c.startswith("_")]
+    base = df.select(*kept, *money_cols)
+    c = F.col
+    eps25 = F.try_divide(c("profit_h1_2025"), c("shares_mn"))
+    bvps = F.try_divide(c("equity"), c("shares_mn"))
+    ratios = []
     for kind in ("h1", "fy"):
-        df = (df.withColumn(f"rev_{kind}_change",
-                            pct_change(F.col(f"rev_{kind}_2025"), F.col(f"rev_{kind}_2024")))
-                .withColumn(f"profit_{kind}_change",
-                            pct_change(F.col(f"profit_{kind}_2025"), F.col(f"profit_{kind}_2024"))))
-    df = (df
-          .withColumn("eps_h1_2025", F.try_divide(F.col("profit_h1_2025"), F.col("shares_mn")))
-          .withColumn("eps_h1_2024", F.try_divide(F.col("profit_h1_2024"), F.col("shares_mn")))
-          .withColumn("pe", F.try_divide(F.col("market_price"), F.col("eps_h1_2025")))
-          .withColumn("bvps", F.try_divide(F.col("equity"), F.col("shares_mn")))
-          .withColumn("pb", F.try_divide(F.col("market_price"), F.col("bvps"))))
-    return df.drop(*[c for c in df.columns if c.startswith("_")])
+        ratios.append(pct_change(c(f"rev_{kind}_2025"), c(f"rev_{kind}_2024"))
+                      .alias(f"rev_{kind}_change"))
+        ratios.append(pct_change(c(f"profit_{kind}_2025"), c(f"profit_{kind}_2024"))
+                      .alias(f"profit_{kind}_change"))
+    ratios += [eps25.alias("eps_h1_2025"),
+               F.try_divide(c("profit_h1_2024"), c("shares_mn")).alias("eps_h1_2024"),
+               F.try_divide(c("market_price"), eps25).alias("pe"),
+               bvps.alias("bvps"),
+               F.try_divide(c("market_price"), bvps).alias("pb")]
+    return base.select("*", *ratios)
 
 
 COMPANY_COLUMNS = [

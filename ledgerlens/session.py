@@ -68,10 +68,15 @@ def scratch_path(spark: SparkSession, name: str) -> str:
 
 
 def cut_lineage(df: DataFrame, eager: bool = True) -> DataFrame:
-    """Reliable checkpoint into the shared checkpoint folder; survives the
-    loss of executors (unlike ``localCheckpoint``)."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=eager)
+    """Materialise ``df`` as a Parquet table in the shared checkpoint folder
+    and continue from a scan of it. Survives the loss of executors (unlike
+    ``localCheckpoint``), computes the input once (``checkpoint()`` without a
+    cache computes it twice: count, then write), and later readers get
+    column pruning and filter pushdown. ``eager`` is kept for callers; the
+    write always happens here."""
+    path = scratch_path(df.sparkSession, "table")
+    df.write.mode("overwrite").parquet(path)
+    return df.sparkSession.read.parquet(path)
 
 
 def rows_at_most(df: DataFrame, max_rows: int) -> bool:

@@ -20,7 +20,7 @@ from pyspark.sql.window import Window
 
 from ..operators.financials import (COMPANY_COLUMNS, finish_financials, fiscal_periods,
                                     period_aggregates)
-from ..session import bounded_broadcast
+from ..session import bounded_broadcast, shuffle_partitions
 from .tables import Tables
 
 # heading label → data year on the synthetic facts (1995–2001)
@@ -110,10 +110,13 @@ def questions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def qa_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """User turn followed by an assistant turn in the same conversation.
-    The window is per conversation (a handful of turns), never global."""
+    The window is per conversation (a handful of turns), never global. Its
+    shuffle is stated as an explicit ``repartition(n, conv_id)`` (the window
+    reuses it, no extra exchange): AQE would otherwise coalesce a small
+    shuffle into one task, and the scoring downstream is CPU-heavy Python."""
     t = Tables(spark, sf_dir)
     w = Window.partitionBy("conv_id").orderBy("turn")
-    conv = t.conversations.select(
+    conv = t.conversations.repartition(shuffle_partitions(spark), "conv_id").select(
         "conv_id", "turn", "role", "text",
         F.lead("role").over(w).alias("next_role"),
         F.lead("text").over(w).alias("next_text"),
