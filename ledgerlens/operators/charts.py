@@ -102,7 +102,8 @@ def chart_answers(questions: DataFrame, companies: DataFrame,
     series: question_id, rank, row_id, company_name, series, value (P18)."""
     # requests feed the company match, the bars and the answers: store once
     req = cut_lineage(chart_requests(questions, companies))
-    bars = _bars(companies, req, n)
+    # bars are counted for the broadcast check and then joined: write once
+    bars = cut_lineage(_bars(companies, req, n))
     # null-safe spec key: (company or '', mode)
     spec = lambda c: F.concat_ws("\u0001", F.coalesce(F.col(c), F.lit("")), F.col("mode"))
     bars = bars.withColumn("_spec", spec("company")).drop("company", "mode")
