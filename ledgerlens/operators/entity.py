@@ -25,7 +25,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..session import rows_at_most, spread
+from ..session import spread
 
 GRAM = 4
 # patterns (distinct names) that may be broadcast; checked with a bounded count
@@ -72,11 +72,19 @@ def substring_matches(texts: DataFrame, id_col: str, text_col: str,
     pats = (patterns.where(F.col(pat_col).isNotNull() & (F.length(pat_col) > 0))
                     .select(F.col(pat_key).alias("_pkey"),
                             F.lower(F.col(pat_col)).alias("_lpat")))
-    short_lengths = [r[0] for r in
-                     pats.where(F.length("_lpat") < gram)
-                         .select(F.length("_lpat")).distinct().collect()]
+    # one small job: the (< gram) distinct short lengths and a bounded count
+    probe = pats.limit(max_broadcast + 1).agg(
+        F.count(F.lit(1)).alias("n"),
+        F.collect_set(F.when(F.length("_lpat") < gram, F.length("_lpat"))).alias("short")
+    ).collect()[0]
+    short_lengths = sorted(probe["short"])
+    if probe["n"] > max_broadcast:
+        # the limited probe saw only part of the patterns: lengths from all
+        short_lengths = [r[0] for r in
+                         pats.where(F.length("_lpat") < gram)
+                             .select(F.length("_lpat")).distinct().collect()]
     pkeys = _pattern_keys(pats, gram)
-    if rows_at_most(pats, max_broadcast):
+    if probe["n"] <= max_broadcast:
         # bounded pattern side: one pipelined stage over the texts — explode
         # keys, probe the broadcast keys, verify; the texts are not shuffled
         # exploding every g-gram is the CPU-heavy step: spread a text side

@@ -79,10 +79,18 @@ def cut_lineage(df: DataFrame, eager: bool = True) -> DataFrame:
     return df.sparkSession.read.parquet(path)
 
 
+_SIZE_CHECKS: dict = {}
+
+
 def rows_at_most(df: DataFrame, max_rows: int) -> bool:
     """True when ``df`` has at most ``max_rows`` rows. Reads at most
-    ``max_rows + 1`` rows, so it is cheap even for a large input."""
-    return df.limit(max_rows + 1).count() <= max_rows
+    ``max_rows + 1`` rows, so it is cheap even for a large input. The answer
+    is remembered per session and logical plan (``semanticHash``): inputs are
+    immutable within a run and scratch tables always get fresh paths."""
+    key = (id(df.sparkSession), df.semanticHash(), max_rows)
+    if key not in _SIZE_CHECKS:
+        _SIZE_CHECKS[key] = df.limit(max_rows + 1).count() <= max_rows
+    return _SIZE_CHECKS[key]
 
 
 def bounded_broadcast(df: DataFrame, max_rows: int = DEFAULT_BROADCAST_ROWS) -> DataFrame:

@@ -37,3 +37,16 @@ def test_chart_no_data_and_series(spark):
     s = sorted((r.question_id, r.rank, r.series, r.value) for r in series.collect())
     assert (1, 1, "Revenue in 2025", 2.0) in s
     assert len([x for x in s if x[0] == 2]) == 4               # two bars × two years
+
+
+def test_substring_matches_same_result_both_plans(spark):
+    from ledgerlens.operators import entity
+    texts = spark.createDataFrame([(1, "The ABC Group and Co"), (2, "xyz"), (3, "an ab test"),
+                                   (4, None)], "id long, t string")
+    pats = spark.createDataFrame([("abc",), ("ab",), ("group and",), ("zz",), ("",), (None,)],
+                                 "p string")
+    want = {(1, "abc"), (1, "ab"), (3, "ab"), (1, "group and")}
+    small = entity.substring_matches(texts, "id", "t", pats, "p", "p")
+    large = entity.substring_matches(texts, "id", "t", pats, "p", "p", max_broadcast=1)
+    assert {tuple(r) for r in small.collect()} == want
+    assert {tuple(r) for r in large.collect()} == want
