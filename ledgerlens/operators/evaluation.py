@@ -20,7 +20,7 @@ from ..constants import (ALIASES_INFERRED, ALIASES_KNOWN, ALIASES_OUT_OF_KB, COH
 from ..functions.embed import DEFAULT_DIM, hashing_embed
 from ..functions.rouge import pair_scores_col
 from ..functions.text import clean, looks_like_refusal, norm_label
-from ..session import bounded_broadcast
+from ..session import bounded_broadcast, cut_lineage
 
 ALIASES = [(COHORT_KNOWN, ALIASES_KNOWN), (COHORT_INFERRED, ALIASES_INFERRED),
            (COHORT_OUT_OF_KB, ALIASES_OUT_OF_KB)]
@@ -138,7 +138,8 @@ def union_cohorts(frames: list[DataFrame]) -> DataFrame:
 
 def per_query_metrics(sheets: DataFrame, stem: bool = True) -> DataFrame:
     """S3 → S4 → U2 → F9/F10 → U1: the per-query metrics frame."""
-    resolved = resolve_sheets(sheets)
+    # the (sheet, cohort) map feeds the guard and the join: written once
+    resolved = cut_lineage(resolve_sheets(sheets))
     require_sheets(sheets, resolved)
     tagged = sheets.join(F.broadcast(resolved), "sheet")  # ≤ 3 rows
     long = unpivot_answers(tagged)
