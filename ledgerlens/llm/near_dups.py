@@ -18,6 +18,9 @@ fewer words is one shingle, a text without words has the empty set.
   several components are pairs across components compared. Nothing within a
   component is compared again, so a group of thousands of copies costs a few edges
   per member; no link between components is passed over, and there is no cap.
+  These pairs meet once (in the least bucket they share) and only if their
+  sketches agree as they do at the similarity asked for, less ``MARGIN`` deviations
+  (a chance of about 3e-7 to pass over a pair that is just similar enough).
 * Every edge is confirmed on the full sets, built anew from the whole texts of
   the nodes that share a bucket.
 * **Components** by label propagation with pointer jumping over written tables.
@@ -43,6 +46,8 @@ from .batches import PieceCache, groups, raw_texts
 BANDS, ROWS = 48, 5
 BINS = BANDS * ROWS
 CACHE_WORDS = 400_000
+#: Longs of one-bit hashes in a sketch; deviations allowed below the expected agreement.
+SKETCH, MARGIN = 40, 5.0
 MIX, MIX2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 
 
@@ -59,6 +64,7 @@ def _constants(n: int, seed: int) -> np.ndarray:
 #: Least hash of each bin, and for each bin the order in which it looks for a filled one.
 EDGES = np.array([-(-(i << 64) // BINS) for i in range(BINS)], dtype=np.uint64)
 RANK = np.argsort(np.argsort(_constants(BINS * BINS, 7).reshape(BINS, BINS), axis=1), axis=1)
+SKETCH_FACTORS = _constants(64 * SKETCH, 17)
 BAND_FACTORS, BAND_SALTS = _constants(ROWS, 11), _constants(BANDS, 13)
 
 
@@ -107,6 +113,15 @@ def buckets(sig: np.ndarray) -> np.ndarray:
     return _mixed(bands).astype(np.int64)
 
 
+def sketch(hashes: np.ndarray) -> np.ndarray:
+    """One bit of the least of each of ``64 * SKETCH`` hashes of a set's members."""
+    least = np.full(len(SKETCH_FACTORS), np.iinfo(np.uint64).max, np.uint64)
+    for at in range(0, len(hashes), 64):
+        np.minimum(least, (hashes[at:at + 64, None] * SKETCH_FACTORS).min(axis=0), out=least)
+    bits = (_mixed(least) >> np.uint64(63)).astype(np.uint8)
+    return np.packbits(bits).view(np.int64)
+
+
 _SHINGLERS: dict[int, Shingler] = {}
 
 
@@ -163,6 +178,31 @@ def full_sets(docs: DataFrame, width: int) -> DataFrame:
     return docs.select("node", "text").mapInArrow(run, "node long, set array<long>")
 
 
+def sketches(sets: DataFrame) -> DataFrame:
+    """``node, s0, s1, ...`` of ``sets(node, set)``."""
+    names = [f"s{i}" for i in range(SKETCH)]
+    schema = pa.schema([("node", pa.int64()), *[(n, pa.int64()) for n in names]])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = np.empty((batch.num_rows, SKETCH), np.int64)
+            for i, own in enumerate(batch.column(1)):
+                found[i] = sketch(own.values.to_numpy().view(np.uint64))
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), *[pa.array(found[:, i].copy()) for i in range(SKETCH)]],
+                schema=schema)
+
+    return sets.mapInArrow(run, ", ".join(f"{n} long" for n in schema.names))
+
+
+def _sketches_agree(similarity: float, x: str, y: str):
+    n, p = 64 * SKETCH, (1 + similarity) / 2
+    least = n * p - MARGIN * (n * p * (1 - p)) ** 0.5
+    differ = sum((F.bit_count(F.col(f"{x}.s{i}").bitwiseXOR(F.col(f"{y}.s{i}")))
+                  for i in range(SKETCH)), F.lit(0))
+    return differ <= int(n - least)
+
+
 def _similar(similarity: float, common, a, b):
     """Jaccard similarity of at least ``similarity``, in whole hundredths."""
     per_cent = round(100 * similarity)
@@ -251,12 +291,18 @@ def near_duplicates(docs: DataFrame, width: int = 5, similarity: float = 0.8) ->
               .select("bucket", "centre", "node", "n", "comp"))
     mixed = (placed.groupBy("bucket").agg(F.min("comp").alias("low"), F.max("comp").alias("high"))
              .where("low != high").select("bucket"))
-    open_ = cut_lineage(placed.join(mixed, "bucket").where("node != centre").drop("centre"))
+    open_ = placed.join(mixed, "bucket").where("node != centre").drop("centre")
+    asked = cut_lineage(open_.select("node").distinct())
+    drawn = cut_lineage(sketches(sets.join(asked, "node", "left_semi")))
+    open_ = cut_lineage(open_.join(drawn, "node").join(nodes.select("node", "buckets"), "node"))
     x, y = open_.alias("x"), open_.alias("y")
     rest = (x.join(y, (F.col("x.bucket") == F.col("y.bucket"))
                    & (F.col("x.comp") < F.col("y.comp"))
-                   & _sizes_fit(similarity, F.col("x.n"), F.col("y.n")))
-            .select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct())
+                   & _sizes_fit(similarity, F.col("x.n"), F.col("y.n"))
+                   & _sketches_agree(similarity, "x", "y")
+                   & (F.col("x.bucket") == F.array_min(F.array_intersect("x.buckets",
+                                                                         "y.buckets"))))
+            .select(F.col("x.node").alias("a"), F.col("y.node").alias("b")))
     links = links.unionByName(confirm(rest))
     # ids that are repeated with different sets tie their sets together
     of_id = usable.join(nodes.drop("buckets"), by_set).select("doc_id", "node")
