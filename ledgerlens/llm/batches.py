@@ -73,6 +73,10 @@ class PieceCache:
             young.update(zip(missing, self.make(missing)))
         return young
 
+    def get(self, piece: bytes):
+        found = self.young.get(piece)
+        return self.old.get(piece) if found is None else found
+
 
 def groups(raws: list[bytes], size: int = 1 << 18) -> Iterator[tuple[int, int]]:
     """Ranges of ``raws`` of about ``size`` bytes each, one text at least."""
@@ -84,3 +88,17 @@ def groups(raws: list[bytes], size: int = 1 << 18) -> Iterator[tuple[int, int]]:
             start, total = i + 1, 0
     if start < len(raws):
         yield start, len(raws)
+
+
+def pieces_of(raw: bytes) -> list[bytes]:
+    """The pieces of a text between ASCII white space, A-Z lower-cased as the
+    lower-casing tokenizer does anyway, but not where a special token may stand."""
+    return (raw if b"<|" in raw else raw.lower()).split()
+
+
+def stem_and_sign(piece: bytes) -> tuple[bytes, bytes] | None:
+    """A piece that ends in a letter or digit and one full stop or comma, taken
+    apart: the tokenizer pre-splits there, so both parts are encoded alone."""
+    if piece[-1:] in (b".", b",") and piece[-2:-1].isalnum() and b"<|" not in piece:
+        return piece[:-1], piece[-1:]
+    return None

@@ -40,7 +40,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .batches import Emitter, PieceCache, groups, raw_texts
+from .batches import Emitter, PieceCache, groups, pieces_of, raw_texts, stem_and_sign
 
 #: Distinct pieces in a generation of a worker's cache; filled places of the table.
 CACHE_PIECES = 250_000
@@ -217,6 +217,13 @@ class Codec:
         alone = len(normal) != len(texts)
         out = []
         for i, text in enumerate(texts):
+            parts = stem_and_sign(pieces[i])
+            stem = self.pieces.get(parts[0]) if parts else None
+            if stem is not None:
+                sign = self.plain(parts[1].decode())
+                out.append((stem[0] + array("I", sign).tobytes(),
+                            stem[1] + b" " + self.decode(sign).encode()))
+                continue
             if alone or "<|" in text:
                 ids = self.with_special(text)
             else:
@@ -227,7 +234,7 @@ class Codec:
     def texts(self, raws: list[bytes]) -> Iterator[tuple[bytes, bytes]]:
         """Ids as little-endian unsigned 32-bit integers and decoded text."""
         for start, end in groups(raws):
-            cuts = [raw.split() for raw in raws[start:end]]
+            cuts = [pieces_of(raw) for raw in raws[start:end]]
             known = self.pieces.holding(cuts)
             if len(self.automaton.table) > CACHE_ARCS:
                 self.automaton.table.clear()

@@ -26,8 +26,10 @@ frame of its own; an empty table writes no file and reads back as no rows.
 
 from __future__ import annotations
 
+import os
 import struct
 import uuid
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -36,7 +38,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..session import scratch_path, shuffle_partitions
-from .batches import Emitter, PieceCache, groups, raw_texts
+from .batches import Emitter, PieceCache, groups, pieces_of, raw_texts, stem_and_sign
 
 #: Token bytes in a frame; tokens in a file. Fixed values of the format follow.
 FRAME_BYTES = 1 << 18
@@ -59,18 +61,34 @@ class LibraryEncoder:
         self.rules.no_truncation()
         self.rules.no_padding()
         self.pieces = PieceCache(self.make, CACHE_PIECES)
+        self.signs: dict[bytes, bytes] = {}
 
     def make(self, pieces: list[bytes]) -> list[bytes]:
-        texts = [p.decode("utf-8", "replace") for p in pieces]
-        found = self.rules.encode_batch_fast(texts, add_special_tokens=False)
-        return [np.array(x.ids, "<u4").tobytes() for x in found]
+        out: list[bytes | None] = []
+        asked: list[str] = []
+        for p in pieces:
+            parts = stem_and_sign(p)
+            stem = self.pieces.get(parts[0]) if parts else None
+            if stem is None:
+                asked.append(p.decode("utf-8", "replace"))
+                out.append(None)
+            else:
+                out.append(stem + self.sign(parts[1]))
+        found = iter(self.rules.encode_batch_fast(asked, add_special_tokens=False))
+        return [array("I", next(found).ids).tobytes() if x is None else x for x in out]
+
+    def sign(self, mark: bytes) -> bytes:
+        if mark not in self.signs:
+            ids = self.rules.encode(mark.decode(), add_special_tokens=False).ids
+            self.signs[mark] = array("I", ids).tobytes()
+        return self.signs[mark]
 
     def texts(self, raws: list[bytes]) -> Iterator[bytes]:
         for start, end in groups(raws):
-            cuts = [raw.split() for raw in raws[start:end]]
-            known = self.pieces.holding(cuts)
+            cuts = [pieces_of(raw) for raw in raws[start:end]]
+            known = self.pieces.holding(cuts).__getitem__
             for own in cuts:
-                yield b"".join([known[p] for p in own])
+                yield b"".join(map(known, own))
 
 
 _ENCODERS: dict[str, LibraryEncoder] = {}
@@ -78,6 +96,7 @@ _ENCODERS: dict[str, LibraryEncoder] = {}
 
 def encoder(path: str) -> LibraryEncoder:
     if path not in _ENCODERS:
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"     # Spark's tasks are the parallelism
         _ENCODERS[path] = LibraryEncoder(path)
     return _ENCODERS[path]
 
