@@ -58,20 +58,26 @@ class PieceCache:
         self.young: dict = {}
         self.old: dict = {}
 
-    def holding(self, texts: list[list[bytes]]) -> dict:
-        """A dictionary that holds every piece of ``texts``."""
+    def values(self, texts: list[list[bytes]]) -> list[list]:
+        """What ``make`` gives (never None) for every piece of every text."""
         if len(self.young) > self.limit:
             self.old, self.young = self.young, {}
-        young, old, missing = self.young, self.old, []
-        for piece in set().union(*texts):
-            if piece not in young:
-                if piece in old:
-                    young[piece] = old[piece]
-                else:
-                    missing.append(piece)
+        young, old = self.young, self.old
+        found = [list(map(young.get, own)) for own in texts]
+        holes = [[i for i, v in enumerate(values) if v is None] if None in values else ()
+                 for values in found]
+        missing = []
+        for piece in {own[i] for own, at in zip(texts, holes) for i in at}:
+            if piece in old:
+                young[piece] = old[piece]
+            else:
+                missing.append(piece)
         if missing:
             young.update(zip(missing, self.make(missing)))
-        return young
+        for own, values, at in zip(texts, found, holes):
+            for i in at:
+                values[i] = young[own[i]]
+        return found
 
     def get(self, piece: bytes):
         found = self.young.get(piece)

@@ -43,7 +43,7 @@ from pyspark.sql import functions as F
 from .batches import Emitter, PieceCache, groups, pieces_of, raw_texts, stem_and_sign
 
 #: Distinct pieces in a generation of a worker's cache; filled places of the table.
-CACHE_PIECES = 250_000
+CACHE_PIECES = 200_000
 CACHE_ARCS = 1_000_000
 END = "</w>"
 _LAST = 1 << 62
@@ -235,13 +235,12 @@ class Codec:
         """Ids as little-endian unsigned 32-bit integers and decoded text."""
         for start, end in groups(raws):
             cuts = [pieces_of(raw) for raw in raws[start:end]]
-            known = self.pieces.holding(cuts)
+            values = self.pieces.values(cuts)
             if len(self.automaton.table) > CACHE_ARCS:
                 self.automaton.table.clear()
             if len(self.words) > CACHE_PIECES:
                 self.words.clear()
-            for own in cuts:
-                found = [known[p] for p in own]
+            for found in values:
                 yield b"".join([x[0] for x in found]), b" ".join([x[1] for x in found if x[1]])
 
     def decode(self, ids) -> str:

@@ -45,7 +45,7 @@ from .batches import PieceCache, groups, raw_texts
 
 BANDS, ROWS = 48, 5
 BINS = BANDS * ROWS
-CACHE_WORDS = 400_000
+CACHE_WORDS = 150_000
 #: Longs of one-bit hashes in a sketch; deviations allowed below the expected agreement.
 SKETCH, MARGIN = 40, 5.0
 MIX, MIX2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
@@ -82,9 +82,8 @@ class Shingler:
         """Sorted distinct hashes of each text."""
         for start, end in groups(raws):
             cuts = [raw.lower().split() for raw in raws[start:end]]
-            known = self.words.holding(cuts).__getitem__
-            for own in cuts:
-                words = np.fromiter(map(known, own), np.uint64, len(own))
+            for found in self.words.values(cuts):
+                words = np.array(found, np.uint64)
                 width = min(self.width, len(words))
                 if not width:
                     yield words

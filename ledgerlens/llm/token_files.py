@@ -74,8 +74,19 @@ class LibraryEncoder:
                 out.append(None)
             else:
                 out.append(stem + self.sign(parts[1]))
-        found = iter(self.rules.encode_batch_fast(asked, add_special_tokens=False))
-        return [array("I", next(found).ids).tobytes() if x is None else x for x in out]
+        found = (x for at in range(0, len(asked), 1000) for x in self.apart(asked[at:at + 1000]))
+        return [next(found) if x is None else x for x in out]
+
+    def apart(self, texts: list[str]) -> list[bytes]:
+        """Ids of each text, from one call over all of them with blanks between:
+        a token belongs to the text in which it begins."""
+        got = self.rules.encode(" ".join(texts), add_special_tokens=False)
+        starts = np.cumsum([0] + [len(t) + 1 for t in texts])
+        ids = np.array(got.ids, "<u4")
+        began = np.array([start for start, _ in got.offsets], np.int64)
+        cuts = 4 * np.searchsorted(began, starts)
+        raw = ids.tobytes()
+        return [raw[a:b] for a, b in zip(cuts[:-1], cuts[1:])]
 
     def sign(self, mark: bytes) -> bytes:
         if mark not in self.signs:
@@ -86,9 +97,8 @@ class LibraryEncoder:
     def texts(self, raws: list[bytes]) -> Iterator[bytes]:
         for start, end in groups(raws):
             cuts = [pieces_of(raw) for raw in raws[start:end]]
-            known = self.pieces.holding(cuts).__getitem__
-            for own in cuts:
-                yield b"".join(map(known, own))
+            for found in self.pieces.values(cuts):
+                yield b"".join(found)
 
 
 _ENCODERS: dict[str, LibraryEncoder] = {}

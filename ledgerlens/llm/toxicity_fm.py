@@ -59,9 +59,7 @@ class TermSets:
     def __call__(self, raws: list[bytes]) -> Iterator[list[int]]:
         for start, end in groups(raws):
             cuts = [list(set(raw.split())) for raw in raws[start:end]]
-            known = self.pieces.holding(cuts).__getitem__
-            for own in cuts:
-                found = set(map(known, own))
+            for found in map(set, self.pieces.values(cuts)):
                 found.discard(-1)
                 yield sorted(found)
 
