@@ -58,9 +58,7 @@ def _cvc(w: str) -> bool:
             and _cons(w, len(w) - 1):
         return w[-1] not in "wxy"
     # a two-letter word vowel-consonant also counts in the refined variant
-    if len(w) == 2 and not _cons(w, 0) and _cons(w, 1):
-        return w[-1] not in "wxy"
-    return False
+    return len(w) == 2 and not _cons(w, 0) and _cons(w, 1)
 
 
 def _step1a(w: str) -> str:
@@ -134,6 +132,8 @@ def _step2(w: str) -> str:
     if w.endswith("alli") and _measure(w[:-4]) > 0:
         return _step2(w[:-4] + "al")
     hit = _longest(w, _STEP2)
+    if hit and hit[0] == "logi":        # its measure is taken with the l
+        return w[:-1] if _measure(w[:-3]) > 0 else w
     if hit and _measure(w[:-len(hit[0])]) > 0:
         return w[:-len(hit[0])] + hit[1]
     return w

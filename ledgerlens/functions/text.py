@@ -60,5 +60,18 @@ def year_flags(c: str | Column) -> tuple[Column, Column]:
 
 
 def fmt2(c: str | Column) -> Column:
-    """two decimals."""
-    return F.format_string("%.2f", _col(c))
+    """two decimals, rounded from the exact binary value, ties to even.
+
+    x * 200 is held exactly as p + e (the product and its rounding error, by
+    splitting x in halves). Only if p is an odd whole number is x near a tie, and
+    then e says on which side."""
+    x = _col(c).cast("double")
+    big = x * 134217729.0
+    high = big - (big - x)
+    p = x * 200.0
+    e = (high * 200.0 - p) + (x - high) * 200.0
+    down, up = (p - 1) / 2, (p + 1) / 2
+    near = F.abs(p % 2) == 1
+    hundredths = (F.when(~near, F.round(p / 2)).when(e > 0, up).when(e < 0, down)
+                  .when(down % 2 == 0, down).otherwise(up))
+    return F.format_string("%.2f", hundredths / 100)

@@ -20,7 +20,7 @@ from ..constants import (ALIASES_INFERRED, ALIASES_KNOWN, ALIASES_OUT_OF_KB, COH
 from ..functions.embed import DEFAULT_DIM, hashing_embed
 from ..functions.rouge import pair_scores_col
 from ..functions.text import clean, looks_like_refusal, norm_label
-from ..session import bounded_broadcast, cut_lineage
+from ..session import cut_lineage
 
 ALIASES = [(COHORT_KNOWN, ALIASES_KNOWN), (COHORT_INFERRED, ALIASES_INFERRED),
            (COHORT_OUT_OF_KB, ALIASES_OUT_OF_KB)]
@@ -28,8 +28,6 @@ BASE_COLUMNS = ["query", "expected_company", "gold"]
 PRED_COLUMNS = {k: f"pred_k{k}" for k in K_VALUES}
 PER_QUERY_COLUMNS = ["rougeL", "semantic_cosine", "good_refusal", "hallucination_rate",
                      "cohort", "row_id", "k", "query", "expected_company", "gold", "pred"]
-# sheet names can only be as many as a workbook has; the map stays tiny
-MAX_SHEETS = 10_000
 
 
 def alias_table(spark) -> DataFrame:
@@ -41,13 +39,13 @@ def alias_table(spark) -> DataFrame:
 def resolve_sheets(sheets: DataFrame) -> DataFrame:
     """S3: (sheet, cohort). Both sides are normalised; per cohort the first
     alias that matches wins; if several sheet names normalise alike, the
-    sheet seen last (largest first row_id) wins."""
+    sheet seen last (largest first row_id, then name) wins."""
     present = (sheets.groupBy("sheet").agg(F.min("row_id").alias("_first"))
                      .withColumn("norm", norm_label("sheet")))
     latest = (present.groupBy("norm")
-                     .agg(F.max_by("sheet", "_first").alias("sheet")))
+                     .agg(F.max(F.struct("_first", "sheet")).getField("sheet").alias("sheet")))
     aliases = alias_table(sheets.sparkSession)
-    matched = aliases.join(bounded_broadcast(latest, MAX_SHEETS), "norm")
+    matched = aliases.join(latest, "norm")
     return (matched.groupBy("cohort")
                    .agg(F.min_by("sheet", "alias_order").alias("sheet"))
                    .select("sheet", "cohort"))
@@ -56,8 +54,9 @@ def resolve_sheets(sheets: DataFrame) -> DataFrame:
 def require_sheets(sheets: DataFrame, resolved: DataFrame) -> None:
     """Fail, listing the available names, when nothing is recognised."""
     if resolved.isEmpty():
-        names = [r[0] for r in sheets.select("sheet").distinct().limit(MAX_SHEETS).collect()]
-        raise RuntimeError("No recognized sheets found. Available: " + ", ".join(sorted(names)))
+        names = [r[0] for r in sheets.select("sheet").distinct().collect()]
+        raise RuntimeError("no sheet name fits a cohort. Available: "
+                           + ", ".join(sorted(n for n in names if n is not None)))
 
 
 def _text(df: DataFrame, c: str) -> Column:

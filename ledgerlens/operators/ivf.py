@@ -145,7 +145,7 @@ def knn_ivf(queries: DataFrame, qid: str, qvec: str, corpus: DataFrame, did: str
                                T.StructField("rank", T.IntegerType())])
     if n_c == 0:
         return spark.createDataFrame([], out_schema)
-    n_cells = min(MAX_CELLS, n_cells or max(1, round(math.sqrt(n_c))), n_c)
+    n_cells = min(n_cells or min(MAX_CELLS, max(1, round(math.sqrt(n_c)))), n_c)
 
     # 1. cells: centres, membership, radius and size per cell
     model, centres = _train_cells(corp, n_cells, seed, max_iter)

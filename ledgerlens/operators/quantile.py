@@ -4,66 +4,42 @@ gathering a group's values in one task.
 ``percentile`` merges a map of every distinct value of a group in a single
 task; a group holding a third of the rows would sit on one executor. Here:
 
-1. rows are range-partitioned on (group, value, tie-break columns) — the
-   tie-break makes every key distinct, so even one repeated value spreads
-   over many partitions — and sorted within partitions;
-2. each partition's row count gives its offset (a table of one row per
-   partition); offset + position within the partition = global rank;
-3. a group's start rank and size give the two neighbouring ranks of each
-   quantile (h = (n − 1)·q), which are picked with a small join and
-   interpolated: v_lo + (h − lo)·(v_hi − v_lo) — the definition used by
-   NumPy's default and by ``quantile_cont``.
+1. rows are placed in the order of (group, value, tie-break columns) by
+   ``rank.ranked``: range-partitioned, sorted and written once, so that even one
+   repeated value spreads over many partitions and ranks and totals come from
+   the same written table;
+2. a group's least rank and size give the two neighbouring ranks of each
+   quantile (h = (n − 1)·q), which are picked with a join and interpolated:
+   v_lo + (h − lo)·(v_hi − v_lo) — the definition used by NumPy's default and by
+   ``quantile_cont``.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
-from ..session import bounded_broadcast, cut_lineage, shuffle_partitions
-
-_LOW_BITS = 1 << 33  # monotonically_increasing_id = partition << 33 | position
+from .rank import POSITION, ranked
 
 
 def exact_quantiles(df: DataFrame, group: str, value: str, qs: list[float],
-                    tiebreak: list[str], partitions: int | None = None) -> DataFrame:
+                    tiebreak: list[str]) -> DataFrame:
     """(group, q, quantile) for each group with at least one non-null value."""
-    spark = df.sparkSession
-    n_parts = partitions or shuffle_partitions(spark)
     keys = [group, value, *tiebreak]
-    # several passes read the input: materialise it once in the shared
-    # checkpoint folder (reliable; survives executor loss)
-    data = cut_lineage(df.where(F.col(value).isNotNull()).select(*keys))
-    ordered = (data.repartitionByRange(n_parts, *keys).sortWithinPartitions(*keys)
-               .withColumn("_mid", F.monotonically_increasing_id()))
-    ordered = ordered.select(*keys, (F.col("_mid") / F.lit(_LOW_BITS)).cast("long").alias("_pid"),
-                             (F.col("_mid") % F.lit(_LOW_BITS)).alias("_pos"))
-    # one row per partition: its starting global rank
-    offsets = (ordered.groupBy("_pid").agg(F.count(F.lit(1)).alias("_n"))
-               .withColumn("_off", F.sum("_n").over(
-                   Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)))
-               .select("_pid", F.coalesce("_off", F.lit(0)).alias("_off")))
-    ranked = ordered.join(bounded_broadcast(offsets), "_pid").select(
-        group, value, (F.col("_off") + F.col("_pos")).alias("_rank"))
-    # one row per group: first global rank and size; one row per (group, q)
-    sizes = (data.groupBy(group).agg(F.count(F.lit(1)).alias("_n"))
-             .withColumn("_start", F.coalesce(F.sum("_n").over(
-                 Window.orderBy(group).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))))
-    qarr = F.array(*[F.lit(float(q)) for q in qs])
-    targets = (sizes.select(group, "_n", "_start", F.explode(qarr).alias("q"))
-               .withColumn("_h", (F.col("_n") - 1) * F.col("q"))
-               .withColumn("_lo", F.floor("_h").cast("long"))
-               .withColumn("_hi", F.least(F.ceil("_h").cast("long"), F.col("_n") - 1)))
-    targets = bounded_broadcast(targets.select(
-        F.col(group).alias("_g"), "q", "_h", "_lo", "_hi", "_start"))
-    lo = ranked.join(targets, (F.col(group) == F.col("_g"))
-                     & (F.col("_rank") == F.col("_start") + F.col("_lo"))).select(
-        F.col("_g"), "q", "_h", "_lo", F.col(value).alias("_vlo"))
-    hi = ranked.join(targets, (F.col(group) == F.col("_g"))
-                     & (F.col("_rank") == F.col("_start") + F.col("_hi"))).select(
-        F.col("_g"), "q", F.col(value).alias("_vhi"))
-    both = lo.join(hi, ["_g", "q"])
-    return both.select(F.col("_g").alias(group), "q",
-                       (F.col("_vlo") + (F.col("_h") - F.col("_lo"))
-                        * (F.col("_vhi") - F.col("_vlo"))).alias("quantile"))
+    placed = ranked(df.where(F.col(value).isNotNull()).select(*keys),
+                    [F.col(k) for k in keys])
+    sizes = placed.groupBy(group).agg(F.count(F.lit(1)).alias("_n"),
+                                      F.min(POSITION).alias("_start"))
+    h = (F.col("_n") - 1) * F.col("q")
+    targets = (sizes.withColumn("q", F.explode(F.array(*[F.lit(float(q)) for q in qs])))
+               .select(F.col(group).alias("_g"), "q", "_start", h.alias("_h"),
+                       F.floor(h).cast("long").alias("_lo"),
+                       F.least(F.ceil(h).cast("long"), F.col("_n") - 1).alias("_hi")))
+    # one row per wanted rank; low and high may be the same row of the table
+    wanted = targets.select("*", F.explode(F.array("_lo", "_hi")).alias("_k")).distinct()
+    found = wanted.join(placed.select(F.col(value).alias("_v"), POSITION),
+                        F.col(POSITION) == F.col("_start") + F.col("_k"))
+    low = F.max(F.when(F.col("_k") == F.col("_lo"), F.col("_v")))
+    high = F.max(F.when(F.col("_k") == F.col("_hi"), F.col("_v")))
+    return found.groupBy(F.col("_g").alias(group), "q").agg(
+        (low + F.max(F.col("_h") - F.col("_lo")) * (high - low)).alias("quantile"))

@@ -6,7 +6,7 @@ so that the oracle shares no code with the Spark plans.
 
 from __future__ import annotations
 
-from ..sources.standins import NAME_POOL, REFUSAL_PHRASES
+from ..sources.standins import REFUSAL_PHRASES
 
 
 def _ts(s: str) -> str:
@@ -96,12 +96,10 @@ SELECT * FROM (
 WHERE rank <= 5"""
 
 
-_POOL = f"'Supplier#' || lpad(CAST(conv_id % {NAME_POOL} AS VARCHAR), 9, '0')"
 
 QUESTIONS_CTE = f"""
-qpool AS (SELECT s_suppkey, s_name FROM supplier WHERE s_suppkey < {NAME_POOL}),
 questions AS (
-  SELECT conv_id * 1000 + turn AS question_id, conv_id AS session_id, turn,
+  SELECT conv_id * 4294967296 + turn AS question_id, conv_id AS session_id, turn,
     text || CASE conv_id % 6
       WHEN 0 THEN ' chart revenue 2024'
       WHEN 1 THEN ' plot'
@@ -109,7 +107,8 @@ questions AS (
       WHEN 3 THEN ''
       WHEN 4 THEN ' ' || coalesce(s_name, '')
       ELSE ' graph 2024 and 2025 for ' || coalesce(s_name, '') END AS question
-  FROM conversations LEFT JOIN qpool ON (conv_id + turn) % {NAME_POOL} = s_suppkey
+  FROM conversations LEFT JOIN supplier
+    ON (conv_id * 7919 + turn) % (SELECT count(*) FROM supplier) = s_suppkey
   WHERE role = 'user'
 )"""
 
@@ -138,12 +137,13 @@ pairs AS (
 ),
 sheets AS (
   SELECT CASE conv_id % 3 WHEN 0 THEN 'Known' WHEN 1 THEN 'Infered' ELSE 'Out-of-KB' END AS sheet,
-    conv_id * 1000 + turn AS row_id, query, {_POOL} AS expected_company, gold,
+    conv_id * 4294967296 + turn AS row_id, query, s_name AS expected_company, gold,
     CASE WHEN conv_id % 3 = 2 THEN {_outkb(1)}
          WHEN conv_id % 13 = 0 THEN CAST(NULL AS VARCHAR) ELSE query END AS pred_k1,
     CASE WHEN conv_id % 3 = 2 THEN {_outkb(3)} ELSE gold || ' ' || query END AS pred_k3,
     CASE WHEN conv_id % 3 = 2 THEN {_outkb(5)} ELSE gold END AS pred_k5
-  FROM pairs
+  FROM pairs LEFT JOIN supplier
+    ON conv_id * 7919 % (SELECT count(*) FROM supplier) = s_suppkey
 )"""
 
 

@@ -26,6 +26,11 @@ def build_session(master: str | None = None, shuffle_partitions: int = 8,
     builder = SparkSession.builder.appName(app_name)
     if master:
         builder = builder.master(master)
+    # local Python workers import this package
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    paths = os.environ.get("PYTHONPATH", "").split(os.pathsep)
+    if root not in paths:
+        os.environ["PYTHONPATH"] = os.pathsep.join([root, *filter(None, paths)])
     spark = (
         builder
         .config("spark.sql.shuffle.partitions", str(shuffle_partitions))
@@ -54,6 +59,8 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         return current
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if not configured:
+        if not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         configured = tempfile.mkdtemp(prefix="ledgerlens-ckpt-")
         spark.conf.set("spark.checkpoint.dir", configured)
     sc.setCheckpointDir(configured)
@@ -79,18 +86,11 @@ def cut_lineage(df: DataFrame, eager: bool = True) -> DataFrame:
     return df.sparkSession.read.parquet(path)
 
 
-_SIZE_CHECKS: dict = {}
-
-
 def rows_at_most(df: DataFrame, max_rows: int) -> bool:
     """True when ``df`` has at most ``max_rows`` rows. Reads at most
-    ``max_rows + 1`` rows, so it is cheap even for a large input. The answer
-    is remembered per session and logical plan (``semanticHash``): inputs are
-    immutable within a run and scratch tables always get fresh paths."""
-    key = (id(df.sparkSession), df.semanticHash(), max_rows)
-    if key not in _SIZE_CHECKS:
-        _SIZE_CHECKS[key] = df.limit(max_rows + 1).count() <= max_rows
-    return _SIZE_CHECKS[key]
+    ``max_rows + 1`` rows, so it is cheap even for a large table; meant for
+    tables as they are read or written, not for computed frames."""
+    return df.limit(max_rows + 1).count() <= max_rows
 
 
 def bounded_broadcast(df: DataFrame, max_rows: int = DEFAULT_BROADCAST_ROWS) -> DataFrame:
@@ -106,16 +106,12 @@ def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
 
 
-def env_sf_dir(default: str = "/root/testdata/sf0.1") -> str:
-    return os.environ.get("BENCH_SF_DIR", default)
-
-
 def spread(df: DataFrame) -> DataFrame:
-    """Rebalance a frame with fewer partitions than the cluster has cores
-    before a CPU-heavy Python step (a single-row-group file is one task).
-    A large input already has more partitions and is left untouched, so no
-    shuffle is added at scale."""
+    """Rebalance a frame that is read from fewer files than the cluster has
+    cores before a CPU-heavy Python step (a single-row-group file is one task).
+    Nothing is run to find out. A large table has more files and is left
+    untouched, so no shuffle is added at scale."""
     par = df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() < par:
+    if len(df.inputFiles()) < par:
         return df.repartition(par)
     return df

@@ -7,7 +7,9 @@ once at ingest (``COMPANY_SHEET_HEADINGS``) and never referenced again.
 Types are declared, not inferred: the header is read without an inference
 pass over the data, the headings present are cast to the declared type and
 renamed; headings that are absent are skipped (P1). Column pruning and
-filters above the scan still reach the reader.
+filters above the scan still reach the reader. Texts may hold line ends, quotes
+and commas; a file with line ends in texts cannot be split, so bulk data belongs
+in Parquet.
 """
 
 from __future__ import annotations
@@ -36,12 +38,13 @@ def write_company_sheet(companies: DataFrame, path: str) -> None:
     (companies.select(*cols).write.mode("overwrite")
      .option("header", True).option("emptyValue", "")
      .option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False)
-     .csv(path))
+     .options(quote='"', escape='"').csv(path))
 
 
 def read_company_sheet(spark: SparkSession, path: str) -> DataFrame:
     """Scan the sheet and return canonical, typed columns in sheet order."""
-    raw = spark.read.option("header", True).option("inferSchema", False).csv(path)
+    raw = (spark.read.option("header", True).option("inferSchema", False)
+           .options(quote='"', escape='"', multiLine=True).csv(path))
     present = set(raw.columns)
     return raw.select(*[_ref(h).cast(_type(c)).alias(c)
                         for c, h in COMPANY_SHEET_HEADINGS if h in present])

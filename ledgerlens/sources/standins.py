@@ -26,8 +26,8 @@ from .tables import Tables
 # heading label → data year on the synthetic facts (1995–2001)
 YEAR_MAP = {2025: 2000, 2024: 1999}
 PERIODS = fiscal_periods(YEAR_MAP)
-# how many low supplier keys are used to inject company names into text
-NAME_POOL = 10
+# spreads conversations over all suppliers, whose names are put into text
+NAME_STEP = 7919
 
 # Test-fixture phrases injected into the Out-of-KB sheet so that each
 # abstention pattern (and one near miss with a curly apostrophe) occurs.
@@ -73,9 +73,16 @@ def companies(spark: SparkSession, sf_dir: str) -> DataFrame:
     return finish_financials(base, PERIODS).select(*COMPANY_COLUMNS)
 
 
-def _pool_name(key: Column) -> Column:
-    """Supplier name for key in [0, NAME_POOL): same text as ``s_name``."""
-    return F.concat(F.lit("Supplier#"), F.lpad(key.cast("string"), 9, "0"))
+def _with_supplier(t: Tables, df: DataFrame, key: Column) -> DataFrame:
+    """``df`` with ``s_name`` of the supplier ``key`` modulo their number."""
+    n = t.supplier.count()
+    names = t.supplier.select(F.col("s_suppkey").alias("_s"), "s_name")
+    return df.withColumn("_k", key % max(n, 1)).join(names, F.col("_k") == F.col("_s"), "left")
+
+
+def turn_id() -> Column:
+    """One long per (conversation, turn), for turns below 2**32."""
+    return F.shiftleft(F.col("conv_id"), 32) + F.col("turn")
 
 
 def questions(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -83,15 +90,11 @@ def questions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     Suffix by ``conv_id % 6``: chart with 2024 / plain plot / chart of one
     company for 2025 / nothing / a company name / chart of one company for
-    both years. The company is the supplier ``(conv_id + turn) % 10``, looked
-    up in ``supplier`` so the name is real table data."""
+    both years. The company is the supplier ``(conv_id * 7919 + turn)`` modulo
+    the number of suppliers, looked up in the whole ``supplier`` table."""
     t = Tables(spark, sf_dir)
-    pool = bounded_broadcast(
-        t.supplier.where(F.col("s_suppkey") < NAME_POOL).select("s_suppkey", "s_name"),
-        NAME_POOL)
-    conv = t.conversations.where(F.col("role") == "user")
-    conv = conv.withColumn("_k", (F.col("conv_id") + F.col("turn")) % NAME_POOL)
-    conv = conv.join(pool, F.col("_k") == F.col("s_suppkey"), "left")
+    conv = _with_supplier(t, t.conversations.where(F.col("role") == "user"),
+                          F.col("conv_id") * NAME_STEP + F.col("turn"))
     name = F.coalesce(F.col("s_name"), F.lit(""))
     sel = F.col("conv_id") % 6
     suffix = (F.when(sel == 0, F.lit(" chart revenue 2024"))
@@ -101,7 +104,7 @@ def questions(spark: SparkSession, sf_dir: str) -> DataFrame:
               .when(sel == 4, F.concat(F.lit(" "), name))
               .otherwise(F.concat(F.lit(" graph 2024 and 2025 for "), name)))
     return conv.select(
-        (F.col("conv_id") * 1000 + F.col("turn")).alias("question_id"),
+        turn_id().alias("question_id"),
         F.col("conv_id").alias("session_id"),
         F.col("turn"),
         F.concat(F.col("text"), suffix).alias("question"),
@@ -137,7 +140,8 @@ def eval_sheets(spark: SparkSession, sf_dir: str) -> DataFrame:
     question, k=5 is the gold answer. Out-of-KB answers: empty every 7th
     conversation, an abstention phrase when (conv_id + k) % 4 = 0, null for
     k=3 every 11th conversation, otherwise the assistant text."""
-    pairs = qa_pairs(spark, sf_dir)
+    pairs = _with_supplier(Tables(spark, sf_dir), qa_pairs(spark, sf_dir),
+                           F.col("conv_id") * NAME_STEP)
     c = F.col("conv_id")
     sheet = (F.when(c % 3 == 0, F.lit("Known"))
              .when(c % 3 == 1, F.lit("Infered"))
@@ -158,9 +162,9 @@ def eval_sheets(spark: SparkSession, sf_dir: str) -> DataFrame:
     k5 = F.col("gold")
     return pairs.select(
         sheet.alias("sheet"),
-        (c * 1000 + F.col("turn")).alias("row_id"),
+        turn_id().alias("row_id"),
         F.col("query"),
-        _pool_name(c % NAME_POOL).alias("expected_company"),
+        F.col("s_name").alias("expected_company"),
         F.col("gold"),
         F.when(is_outkb, outkb(1)).otherwise(k1).alias("pred_k1"),
         F.when(is_outkb, outkb(3)).otherwise(k3).alias("pred_k3"),

@@ -1,11 +1,13 @@
 from ledgerlens import session as S
 
 
-def test_spread_only_rebalances_few_partitions(spark):
+def test_spread_only_rebalances_few_files(spark, tmp_path):
     par = spark.sparkContext.defaultParallelism
-    one = spark.range(100).coalesce(1)
+    spark.range(100).coalesce(1).write.parquet(f"{tmp_path}/one")
+    one = spark.read.parquet(f"{tmp_path}/one")
     assert S.spread(one).rdd.getNumPartitions() == par
-    many = spark.range(100).repartition(par * 2)
+    spark.range(100).repartition(par * 2).write.parquet(f"{tmp_path}/many")
+    many = spark.read.parquet(f"{tmp_path}/many")
     assert S.spread(many) is many
 
 
