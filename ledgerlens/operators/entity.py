@@ -1,109 +1,122 @@
 """Substring containment joins without a nested loop.
 
 ``contains(lower(text), lower(pattern))`` between two large tables would be a
-broadcast nested-loop join (every text × every pattern). Instead:
-
-* every pattern of length ≥ g is keyed by its *rarest* g-gram (counted over
-  all patterns), so a hot gram such as "the " carries few patterns;
-* every text emits its distinct g-grams (and, only for the lengths of the
-  short patterns present, its distinct substrings of that length);
-* an equi-join on the key yields candidates, which are verified with
-  ``contains`` after joining the text back by id.
+broadcast nested-loop join (every text × every pattern). Instead, decided by the
+measured bytes of the patterns:
+
+* **Patterns of at most ``MAX_AUTOMATON_BYTES``** are made into one Aho-Corasick
+  automaton per task, and one Arrow pass walks each text once. The texts are not
+  shuffled and not copied; the cost is linear in their length.
+* **More patterns**: every pattern of length ≥ g is keyed by its *rarest*
+  g-gram (counted over all patterns), shorter ones by themselves; every text
+  emits its distinct g-grams (and substrings of the short lengths present) as
+  (id, gram) rows without the text; an equi-join on the key yields candidates,
+  which are verified with ``contains`` after the text is joined back by id. A
+  text is cut into characters once, so this is linear as well.
 
 A pattern occurring in a text implies all of its g-grams occur in it, so the
-candidate set is complete: the result is exact. Skewed keys are handled by
-AQE's skew-join splitting; nothing is collected except the (at most g-1)
-distinct short pattern lengths.
-
-When the pattern side passes a bounded row count, its keys (with the pattern
-text) are broadcast and the text side runs as one pipelined stage: explode
-the grams, probe, verify ``contains`` — the texts are never shuffled.
+candidate set is complete: both ways are exact. The key fields of a pattern travel
+with it, so nothing is joined on a pattern's name afterwards.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..session import spread
 
 GRAM = 4
-# patterns (distinct names) that may be broadcast; checked with a bounded count
-MAX_BROADCAST_PATTERNS = 1_000_000
+#: UTF-8 bytes of all patterns that one automaton may hold (checked before use).
+MAX_AUTOMATON_BYTES = 2 << 20
+
 
+def _substrings(chars: Column, n: int) -> Column:
+    """Distinct substrings of length n of an array of characters."""
+    def at(_, i: Column) -> Column:
+        return F.concat(*[F.get(chars, i + j) for j in range(n)])
 
-def _substrings(lc: Column, n: int) -> Column:
-    """Distinct substrings of length n (empty array if the text is shorter)."""
-    return F.array_distinct(F.transform(
-        F.sequence(F.lit(1), F.greatest(F.length(lc) - n + 1, F.lit(0))),
-        lambda i: F.substring(lc, i, n)))
+    # past the end the concatenation is null
+    return F.array_distinct(F.filter(F.transform(chars, at), lambda s: s.isNotNull()))
 
 
-def _text_keys(texts: DataFrame, id_col: str, text_col: str, lengths: list[int],
-               keep: tuple = ()) -> DataFrame:
-    lc = F.lower(F.col(text_col))
-    arrays = [_substrings(lc, n) for n in sorted(set(lengths))]
-    keys = F.array_distinct(F.flatten(F.array(*arrays))) if len(arrays) > 1 else arrays[0]
-    return (texts.select(F.col(id_col).alias("_tid"), *keep, F.explode(keys).alias("_key"))
-                 .where(F.length("_key") > 0))
+def _keys(df: DataFrame, text_col: str, lengths: list[int], *keep: str) -> DataFrame:
+    """``keep`` columns and ``_key``: one row per distinct substring of the lengths."""
+    chars = df.select(*keep, F.split(text_col, "").alias("_chars"))
+    arrays = [_substrings(F.col("_chars"), n) for n in sorted(set(lengths))]
+    return chars.select(*keep, F.explode(F.concat(*arrays)).alias("_key"))
 
 
 def _pattern_keys(patterns: DataFrame, gram: int) -> DataFrame:
-    """(_pkey, _key): rarest g-gram for long patterns, the pattern itself
-    for short ones."""
-    lp = F.col("_lpat")
-    long_p = patterns.where(F.length(lp) >= gram)
-    grams = long_p.select("_pkey", F.explode(_substrings(lp, gram)).alias("_key"))
+    """``_lpat, _key`` of distinct patterns: the rarest g-gram of long ones, the
+    pattern itself of short ones."""
+    distinct = patterns.select("_lpat").distinct()
+    grams = _keys(distinct.where(F.length("_lpat") >= gram), "_lpat", [gram], "_lpat")
     freq = grams.groupBy("_key").agg(F.count(F.lit(1)).alias("_f"))
-    rare = (grams.join(freq, "_key")
-                 .groupBy("_pkey")
-                 .agg(F.min(F.struct("_f", "_key")).alias("_m"))
-                 .select("_pkey", F.col("_m._key").alias("_key")))
-    short = patterns.where((F.length(lp) < gram) & (F.length(lp) > 0)).select(
-        "_pkey", lp.alias("_key"))
+    rare = (grams.join(freq, "_key").groupBy("_lpat")
+                 .agg(F.min(F.struct("_f", "_key")).getField("_key").alias("_key")))
+    short = distinct.where(F.length("_lpat") < gram).select("_lpat", F.col("_lpat").alias("_key"))
     return rare.unionByName(short)
 
 
-def substring_matches(texts: DataFrame, id_col: str, text_col: str,
-                      patterns: DataFrame, pat_key: str, pat_col: str,
-                      gram: int = GRAM, max_broadcast: int = MAX_BROADCAST_PATTERNS) -> DataFrame:
-    """All (text id, pattern key) with lower(pattern) ⊂ lower(text).
-    Empty and null patterns never match."""
+def _automaton_pass(texts: DataFrame, patterns: DataFrame) -> DataFrame:
+    """``_tid, _at``: which of the collected patterns (by place) each text holds."""
+    by_text: dict[str, list[int]] = {}
+    for at, row in enumerate(patterns):
+        by_text.setdefault(row["_lpat"], []).append(at)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import ahocorasick
+
+        automaton = ahocorasick.Automaton()
+        for text, places in by_text.items():
+            automaton.add_word(text, places)
+        automaton.make_automaton()
+        for batch in batches:
+            rows, places = [], []
+            for row, text in enumerate(batch.column(1)):
+                found: set[int] = set()
+                for _, hit in automaton.iter(text.as_py() or ""):
+                    found.update(hit)
+                rows += [row] * len(found)
+                places += sorted(found)
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0).take(pa.array(rows, pa.int64())), pa.array(places, pa.int64())],
+                names=["_tid", "_at"])
+
+    schema = T.StructType([texts.schema["_tid"], T.StructField("_at", T.LongType())])
+    return texts.select("_tid", "_ltext").mapInArrow(run, schema)
+
+
+def substring_matches(texts: DataFrame, id_col: str, text_col: str, patterns: DataFrame,
+                      pat_keys: str | list[str], pat_col: str, gram: int = GRAM,
+                      max_bytes: int = MAX_AUTOMATON_BYTES) -> DataFrame:
+    """(text id, pattern key columns) of all lower(pattern) ⊂ lower(text).
+    Empty and null patterns never match; a null text holds none."""
+    keys = [pat_keys] if isinstance(pat_keys, str) else list(pat_keys)
     pats = (patterns.where(F.col(pat_col).isNotNull() & (F.length(pat_col) > 0))
-                    .select(F.col(pat_key).alias("_pkey"),
-                            F.lower(F.col(pat_col)).alias("_lpat")))
-    # one small job: the (< gram) distinct short lengths and a bounded count
-    probe = pats.limit(max_broadcast + 1).agg(
-        F.count(F.lit(1)).alias("n"),
-        F.collect_set(F.when(F.length("_lpat") < gram, F.length("_lpat"))).alias("short")
-    ).collect()[0]
-    short_lengths = sorted(probe["short"])
-    if probe["n"] > max_broadcast:
-        # the limited probe saw only part of the patterns: lengths from all
-        short_lengths = [r[0] for r in
-                         pats.where(F.length("_lpat") < gram)
-                             .select(F.length("_lpat")).distinct().collect()]
-    pkeys = _pattern_keys(pats, gram)
-    if probe["n"] <= max_broadcast:
-        # bounded pattern side: one pipelined stage over the texts — explode
-        # keys, probe the broadcast keys, verify; the texts are not shuffled
-        # exploding every g-gram is the CPU-heavy step: spread a text side
-        # that arrives in fewer partitions than cores (no-op at scale)
-        lowered = spread(texts.select(F.col(id_col).alias("_tid"),
-                                      F.lower(F.col(text_col)).alias("_ltext")))
-        tkeys = _text_keys(lowered, "_tid", "_ltext", [gram] + short_lengths, keep=["_ltext"])
-        hits = (tkeys.join(F.broadcast(pkeys.join(pats, "_pkey")), "_key")
-                     .where(F.col("_ltext").contains(F.col("_lpat"))))
-        return hits.select(F.col("_tid").alias(id_col), F.col("_pkey").alias(pat_key))
-    tkeys = _text_keys(texts, id_col, text_col, [gram] + short_lengths)
-    # one key per pattern and distinct keys per text: pairs are already unique
-    cand = tkeys.join(pkeys, "_key").select("_tid", "_pkey")
-    verify = (cand
-              .join(texts.select(F.col(id_col).alias("_tid"),
-                                 F.lower(F.col(text_col)).alias("_ltext")), "_tid")
-              .join(pats, "_pkey")
-              .where(F.col("_ltext").contains(F.col("_lpat"))))
-    return verify.select(F.col("_tid").alias(id_col), F.col("_pkey").alias(pat_key))
+                    .select(F.struct(*keys).alias("_pkey"), F.lower(pat_col).alias("_lpat")))
+    probe = pats.agg(F.coalesce(F.sum(F.octet_length("_lpat")), F.lit(0)).alias("bytes"),
+                     F.collect_set(F.when(F.length("_lpat") < gram, F.length("_lpat")))
+                     .alias("short")).first()
+    lowered = texts.select(F.col(id_col).alias("_tid"), F.lower(text_col).alias("_ltext"))
+    if 0 < probe["bytes"] <= max_bytes:
+        rows = pats.collect()        # their bytes are checked above
+        spark = texts.sparkSession
+        key_type = T.StructType([T.StructField("_at", T.LongType()), pats.schema["_pkey"]])
+        placed = spark.createDataFrame([(i, r["_pkey"]) for i, r in enumerate(rows)], key_type)
+        hits = _automaton_pass(spread(lowered), rows).join(F.broadcast(placed), "_at")
+    else:
+        tkeys = _keys(lowered, "_ltext", [gram, *probe["short"]], "_tid")
+        # one key per pattern and distinct keys per text: pairs are already unique
+        hits = (tkeys.join(_pattern_keys(pats, gram), "_key").select("_tid", "_lpat")
+                .join(lowered, "_tid").where(F.col("_ltext").contains(F.col("_lpat")))
+                .select("_tid", "_lpat").join(pats, "_lpat"))
+    return hits.select(F.col("_tid").alias(id_col), "_pkey.*")
 
 
 def first_seen_names(df: DataFrame, name_col: str = "company_name",
@@ -119,8 +132,6 @@ def detect_company(questions: DataFrame, companies: DataFrame,
     """Per question the first company (table order) whose name occurs in
     the question, case-insensitively; null when none does."""
     names = first_seen_names(companies)
-    hits = substring_matches(questions, qid, qtext, names, "name", "name")
-    best = (hits.join(names, "name")
-                .groupBy(qid)
-                .agg(F.min_by("name", "first_row").alias("company")))
+    hits = substring_matches(questions, qid, qtext, names, ["name", "first_row"], "name")
+    best = hits.groupBy(qid).agg(F.min_by("name", "first_row").alias("company"))
     return questions.select(qid).join(best, qid, "left")

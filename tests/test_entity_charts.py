@@ -47,6 +47,25 @@ def test_substring_matches_same_result_both_plans(spark):
                                  "p string")
     want = {(1, "abc"), (1, "ab"), (3, "ab"), (1, "group and")}
     small = entity.substring_matches(texts, "id", "t", pats, "p", "p")
-    large = entity.substring_matches(texts, "id", "t", pats, "p", "p", max_broadcast=1)
+    large = entity.substring_matches(texts, "id", "t", pats, "p", "p", max_bytes=1)
     assert {tuple(r) for r in small.collect()} == want
     assert {tuple(r) for r in large.collect()} == want
+
+
+def test_substring_matches_by_grams_equals_brute_force(spark):
+    import random
+    random.seed(11)
+    texts = ["".join(random.choice("abé ") for _ in range(random.randint(0, 50))) for _ in range(60)]
+    pats = ["".join(random.choice("abé") for _ in range(random.randint(1, 7))) for _ in range(40)]
+    t = spark.createDataFrame(list(enumerate(texts)), "tid long, text string")
+    p = spark.createDataFrame(list(enumerate(pats)), "pid long, pat string")
+    want = sorted((i, j) for i, x in enumerate(texts) for j, y in enumerate(pats) if y in x)
+    for bound in (1, 1 << 20):
+        got = entity.substring_matches(t, "tid", "text", p, "pid", "pat", max_bytes=bound)
+        assert sorted(map(tuple, got.collect())) == want
+
+
+def test_substring_matches_without_patterns(spark):
+    t = spark.createDataFrame([(1, "abc")], "tid long, text string")
+    p = spark.createDataFrame([], "pid long, pat string")
+    assert entity.substring_matches(t, "tid", "text", p, "pid", "pat").collect() == []
