@@ -5,10 +5,14 @@ anything outside [a-z0-9], bucket each token by the first 32 bits of its MD5
 modulo ``dim``, count, L2-normalise. It is one ``mapInArrow`` pass per Arrow
 batch (no shuffle): per-element lambdas of ``transform`` are interpreted, not
 compiled, so hashing every token there cost more than the Python pass with a
-token cache. ``token_buckets`` states the same rule as a column expression.
+token cache.
 
 ``model_embed`` plugs in any batch model through ``predict_batch_udf`` (the
 model is loaded once per Python worker).
+
+Index, retrieval, question answering and the stream take an ``embed`` argument: any
+``(df, text_col, out_col) -> df`` such as ``hashing_embed`` or
+``partial(model_embed, make_predict=...)``.
 """
 
 from __future__ import annotations
@@ -19,22 +23,13 @@ from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 DEFAULT_DIM = 256
 
 
-def token_buckets(text: Column, dim: int = DEFAULT_DIM) -> Column:
-    """array<int>: one bucket per token (whole text, every token), as a
-    column expression — the JVM statement of the bucket rule."""
-    toks = F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), "[^a-z0-9]+"),
-                    lambda t: F.length(t) > 0)
-    return F.transform(toks, lambda t: F.pmod(
-        F.conv(F.substring(F.md5(t), 1, 8), 16, 10).cast("long"), F.lit(dim)).cast("int"))
-
-
 _SEP = re.compile(r"[^a-z0-9]+")
 
 
@@ -85,9 +80,8 @@ def hashing_embed(df: DataFrame, text_col: str, out_col: str = "embedding",
     return spread(df).mapInArrow(_embed_batches(dim, text_col, out_col, keep), schema)
 
 
-def model_embed(df: DataFrame, text_col: str, make_predict: Callable,
-                out_col: str = "embedding", dim: int | None = None,
-                batch_size: int = 256) -> DataFrame:
+def model_embed(df: DataFrame, text_col: str, out_col: str = "embedding", *,
+                make_predict: Callable, batch_size: int = 256) -> DataFrame:
     """Any model behind ``make_predict() -> (np.ndarray[str]) -> np.ndarray``.
     Vectors are L2-normalised so the inner product is the cosine."""
     from pyspark.ml.functions import predict_batch_udf

@@ -12,6 +12,8 @@ runs in Python (Arrow batches), and only on Known/Inferred rows.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -79,11 +81,15 @@ def dot(a: Column, b: Column) -> Column:
 
 
 def with_text_cosine(df: DataFrame, a: str, b: str, out: str,
-                     dim: int = DEFAULT_DIM) -> DataFrame:
-    """Cosine of the hashing-embedder vectors of two text columns (0 when
-    either has no token). Both embeddings are narrow map steps."""
-    e = hashing_embed(hashing_embed(df, a, "_ea", dim), b, "_eb", dim)
-    return e.withColumn(out, F.round(dot(F.col("_ea"), F.col("_eb")), 9)).drop("_ea", "_eb")
+                     embed: Callable = hashing_embed) -> DataFrame:
+    """F8 with any embedder: cosine of the unit vectors of two text columns (a null
+    text counts as empty). Each distinct text is embedded once."""
+    pairs = df.withColumn("_a", F.coalesce(a, F.lit(""))).withColumn("_b", F.coalesce(b, F.lit("")))
+    texts = pairs.select(F.col("_a").alias("_t")).union(pairs.select("_b")).distinct()
+    vectors = cut_lineage(embed(texts, "_t", "_e"))
+    both = (pairs.join(vectors.select(F.col("_t").alias("_a"), F.col("_e").alias("_ea")), "_a")
+            .join(vectors.select(F.col("_t").alias("_b"), F.col("_e").alias("_eb")), "_b"))
+    return both.select(*df.columns, F.round(dot(F.col("_ea"), F.col("_eb")), 9).alias(out))
 
 
 def score_known_inferred(df: DataFrame, cohort: str | None = None,

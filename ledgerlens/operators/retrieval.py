@@ -4,27 +4,29 @@ context (A10), record listing (Q7: P13, P15), prompt (F11) and answer (X2).
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..constants import (DEFAULT_TOP_K, DOC_SEPARATOR, K_VALUES, MISSING_META,
                          PREVIEW_CHARS, PROMPT_TEMPLATE)
-from ..functions.embed import DEFAULT_DIM, hashing_embed
+from ..functions.embed import hashing_embed
 from .knn import knn
 
 
-def index_documents(docs: DataFrame, dim: int = DEFAULT_DIM) -> DataFrame:
+def index_documents(docs: DataFrame, embed: Callable = hashing_embed) -> DataFrame:
     """Documents (doc_id, row_id, company_code, industry, content) + embedding."""
-    return hashing_embed(docs, "content", "embedding", dim)
+    return embed(docs, "content", "embedding")
 
 
 def retrieve(questions: DataFrame, index: DataFrame, k: int = DEFAULT_TOP_K,
-             dim: int = DEFAULT_DIM, qid: str = "question_id", qtext: str = "question",
+             embed: Callable = hashing_embed, qid: str = "question_id", qtext: str = "question",
              did: str = "row_id", n_corpus: int | None = None) -> DataFrame:
     """(question_id, row_id, score, rank) — top-k documents per question."""
     n_q = questions.count()
     n_c = index.select(did).count() if n_corpus is None else n_corpus
-    q = hashing_embed(questions.select(qid, qtext), qtext, "q_emb", dim)
+    q = embed(questions.select(qid, qtext), qtext, "q_emb")
     return knn(q, qid, "q_emb", index.select(did, "embedding"), did, "embedding", k,
                n_queries=n_q, n_corpus=n_c)
 

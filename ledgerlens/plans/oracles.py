@@ -648,3 +648,4 @@ FROM textq q LEFT JOIN ctx c ON q.question_id = c.question_id""",
 
 # exact cell search returns the brute-force rows
 ORACLES["knn_ivf"] = ORACLES["knn_dense"]
+ORACLES["cohort_summary_csv"] = ORACLES["metrics_by_cohort"]

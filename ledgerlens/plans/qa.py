@@ -7,10 +7,13 @@ the chart branch (``operators/charts.py``).
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..constants import DEFAULT_TOP_K
+from ..functions.embed import hashing_embed
 from ..operators import retrieval
 from ..operators.charts import route
 from ..operators.render import render_documents
@@ -20,29 +23,30 @@ def text_questions(questions: DataFrame) -> DataFrame:
     return route(questions).where(~F.col("is_chart")).select("question_id", "question")
 
 
-def retrieval_hits(questions: DataFrame, companies: DataFrame, k: int = DEFAULT_TOP_K):
+def retrieval_hits(questions: DataFrame, companies: DataFrame, k: int = DEFAULT_TOP_K,
+                   embed: Callable = hashing_embed):
     docs = render_documents(companies)
-    index = retrieval.index_documents(docs)
+    index = retrieval.index_documents(docs, embed)
     tq = text_questions(questions)
     # count before embedding: the embedder is not run just to size blocks
-    hits = retrieval.retrieve(tq, index, k, n_corpus=docs.count())
+    hits = retrieval.retrieve(tq, index, k, embed, n_corpus=docs.count())
     return tq, docs, retrieval.with_documents(hits, docs)
 
 
 def rag_answers(questions: DataFrame, companies: DataFrame, k: int = DEFAULT_TOP_K,
-                generator=None) -> DataFrame:
+                generator=None, embed: Callable = hashing_embed) -> DataFrame:
     """(question_id, question, context, prompt, answer). ``generator`` maps
     a prompt column to an answer column (e.g. a ``predict_batch_udf``);
     the default is the extractive stand-in."""
-    tq, _, hd = retrieval_hits(questions, companies, k)
+    tq, _, hd = retrieval_hits(questions, companies, k, embed)
     return _answer(tq, hd, generator)
 
 
 def rag_answers_from_index(questions: DataFrame, index: DataFrame, k: int = DEFAULT_TOP_K,
-                           generator=None) -> DataFrame:
+                           generator=None, embed: Callable = hashing_embed) -> DataFrame:
     """As ``rag_answers`` against a persisted index."""
     tq = text_questions(questions)
-    hits = retrieval.retrieve(tq, index, k)
+    hits = retrieval.retrieve(tq, index, k, embed)
     return _answer(tq, retrieval.with_documents(hits, index), generator)
 
 

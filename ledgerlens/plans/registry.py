@@ -222,6 +222,12 @@ def _csv_roundtrip(spark, sf_dir):
     return sh.read_csv(spark, path, sh.PER_QUERY_SCHEMA)
 
 
+def _cohort_summary(spark, sf_dir):
+    path = scratch_path(spark, "metrics_by_cohort")
+    sh.write_summary(ev.metrics_by_cohort(_per_query(False)(spark, sf_dir)), path)
+    return sh.read_csv(spark, path, sh.SUMMARY_SCHEMA)
+
+
 def _index(spark, sf_dir):
     path = scratch_path(spark, "index")
     idx.build_index(render_documents(standins.companies(spark, sf_dir)), path)
@@ -259,6 +265,7 @@ def _chat_replay(spark, sf_dir):
 QUERIES.update({
     "eval_scan": _eval_scan,
     "eval_csv_roundtrip": _csv_roundtrip,
+    "cohort_summary_csv": _cohort_summary,
     "index_build": _index,
     "stream_answers": _stream_answers,
     "chat_replay": _chat_replay,

@@ -9,18 +9,22 @@ queries will use, so documents and questions share a vector space.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.embed import DEFAULT_DIM
+from ..functions.embed import DEFAULT_DIM, hashing_embed
 from ..operators.retrieval import index_documents
 
 HASHING = f"hashing-md5-{DEFAULT_DIM}"
 
 
-def build_index(docs: DataFrame, path: str, embedder: str = HASHING) -> None:
-    """Writes the index unless ``path`` already exists (ids must be unique)."""
-    indexed = index_documents(docs).withColumn("embedder", F.lit(embedder))
+def build_index(docs: DataFrame, path: str, embedder: str = HASHING,
+                embed: Callable = hashing_embed) -> None:
+    """Writes the index unless ``path`` already exists (ids must be unique).
+    ``embedder`` names the vector space that ``embed`` maps to."""
+    indexed = index_documents(docs, embed).withColumn("embedder", F.lit(embedder))
     indexed.write.mode("ignore").parquet(path)
 
 

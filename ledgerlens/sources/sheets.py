@@ -49,6 +49,12 @@ def read_sheets(spark: SparkSession, root: str, fmt: str = "parquet",
     return reader.load(root).select("sheet", *schema.fieldNames())
 
 
+SUMMARY_SCHEMA = T.StructType([
+    T.StructField("cohort", T.StringType()), T.StructField("k", T.IntegerType()),
+    *[PER_QUERY_SCHEMA[m] for m in ("rougeL", "semantic_cosine", "good_refusal",
+                                    "hallucination_rate")]])
+
+
 def write_csv(df: DataFrame, path: str, single_file: bool = False) -> None:
     """S5 / S6. ``single_file`` only for small summaries (coalesce(1))."""
     out = df.coalesce(1) if single_file else df
@@ -56,6 +62,12 @@ def write_csv(df: DataFrame, path: str, single_file: bool = False) -> None:
         .option("nullValue", "").option("escape", '"').csv(path))
 
 
+def write_summary(metrics: DataFrame, path: str) -> None:
+    """The means by cohort and depth as one sorted file (nine rows)."""
+    write_csv(metrics.orderBy("cohort", "k").select(*SUMMARY_SCHEMA.fieldNames()), path,
+              single_file=True)
+
+
 def read_csv(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
     """Declared schema, empty fields → null."""
     return spark.read.schema(schema).option("header", True).option("escape", '"').csv(path)

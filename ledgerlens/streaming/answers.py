@@ -16,11 +16,14 @@ appended to a chat log that is replayed in order.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
+from ..functions.embed import hashing_embed
 from ..operators.charts import chart_answers, route
 from ..plans.qa import rag_answers_from_index
 
@@ -32,10 +35,11 @@ QUESTION_SCHEMA = T.StructType([
 ])
 
 
-def answer_batch(batch: DataFrame, companies: DataFrame, index: DataFrame) -> DataFrame:
+def answer_batch(batch: DataFrame, companies: DataFrame, index: DataFrame, generator=None,
+                 embed: Callable = hashing_embed) -> DataFrame:
     """(question_id, session_id, turn, question, is_chart, answer)."""
     routed = route(batch).select("question_id", "is_chart")
-    text = rag_answers_from_index(batch, index).select(
+    text = rag_answers_from_index(batch, index, generator=generator, embed=embed).select(
         "question_id", F.col("answer"))
     charts, _ = chart_answers(batch, companies)
     chart_msg = charts.select("question_id", F.col("message").alias("answer"))
@@ -63,13 +67,15 @@ def _write_partition(df: DataFrame, path: str) -> None:
 
 def run_question_stream(spark: SparkSession, source_dir: str, companies: DataFrame,
                         index: DataFrame, answers_path: str, chat_path: str,
-                        checkpoint: str, files_per_trigger: int = 1) -> None:
+                        checkpoint: str, files_per_trigger: int = 1, generator=None,
+                        embed: Callable = hashing_embed) -> None:
     """Process every question file present now (``availableNow``), then stop."""
     stream = (spark.readStream.schema(QUESTION_SCHEMA)
               .option("maxFilesPerTrigger", files_per_trigger).parquet(source_dir))
 
     def process(batch: DataFrame, batch_id: int) -> None:
-        answered = answer_batch(batch, companies, index).withColumn("batch_id", F.lit(batch_id))
+        answered = answer_batch(batch, companies, index, generator, embed).withColumn(
+            "batch_id", F.lit(batch_id))
         answered = answered.persist()
         _write_partition(answered, answers_path)
         _write_partition(chat_rows(answered).withColumn("batch_id", F.lit(batch_id)), chat_path)
