@@ -31,8 +31,6 @@ ALIASES_KNOWN = ["Known", " known ", "KNOWN"]
 ALIASES_INFERRED = ["Infered", "Inferred"]
 ALIASES_OUT_OF_KB = ["Out of KB", "Out-of-KB", "Out of Knowledge Base",
                      "OutOfKB", "OutKB", "Out of Kb", "Out of K B"]
-# cohort order used when the per-sheet frames are concatenated
-COHORT_ORDER = [COHORT_KNOWN, COHORT_INFERRED, COHORT_OUT_OF_KB]
 # the one label fix applied before trend statistics
 LABEL_FIXES = {"Infered": "Inferred"}
 
@@ -44,7 +42,6 @@ TOP_COMPANIES = 5
 PREVIEW_CHARS = 1200
 
 # FIXED VALUES: context formatting for retrieved documents
-DOC_HEADER = "[Doc {rank}] Company Code: {code} | Industry: {industry}"
 DOC_SEPARATOR = "\n\n---\n\n"
 MISSING_META = "?"
 
@@ -74,10 +71,8 @@ DIRECTORY_COLUMNS = ["company_name", "company_code", "industry", "description"]
 Z_95 = 1.96
 QUANTILE_LO = 0.02
 QUANTILE_HI = 0.98
-AXIS_PAD_DEFAULT = 0.06
 AXIS_PAD_TRENDS = 0.08
 QUALITY_METRICS = ["rougeL", "semantic_cosine"]
-RELIABILITY_METRICS = ["good_refusal", "hallucination_rate"]
 METRIC_COLUMNS = ["rougeL", "semantic_cosine", "good_refusal", "hallucination_rate"]
 
 # FIXED VALUES: document template, one (label, field) per line, in order.
@@ -112,6 +107,9 @@ DOC_LINES = [
     ("Book Value per Share (BVPS): ", "bvps"),
     ("Price-to-Book Ratio (P/B): ", "pb"),
 ]
+# every line but the first is indented; one field is followed by spaces
+DOC_INDENT = "        "
+DOC_LINE_ENDS = {"rev_fy_2025": "       "}
 NULL_TEXT = "nan"
 
 # FIXED VALUES: headings of the company sheet as exported by the application,

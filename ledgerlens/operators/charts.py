@@ -65,6 +65,19 @@ def _company_matches(requests: DataFrame, companies: DataFrame) -> DataFrame:
     return hits
 
 
+def filter_by_name(companies: DataFrame, company: str | None, regex: bool = False,
+                   name_col: str = "company_name") -> DataFrame:
+    """P4 for one name: rows whose name contains it, whatever the case; a null name
+    never matches, no name keeps every row. With ``regex`` it is a Java regular
+    expression searched for anywhere in the name."""
+    if not company:
+        return companies
+    name = F.col(name_col)
+    if regex:
+        return companies.where(name.rlike("(?iu)" + company))
+    return companies.where(F.lower(name).contains(F.lower(F.lit(company))))
+
+
 def filter_companies(requests: DataFrame, companies: DataFrame) -> DataFrame:
     """P4 for a set of requested names: (company, row_id, company_name) of
     every company row whose name contains a requested name."""

@@ -296,7 +296,8 @@ def _doc_sql() -> str:
     parts = [f"{_sql_str(p0)} || coalesce({f0}, 'nan') || {_sql_str(p1)} || "
              f"coalesce({f1}, 'nan') || {_sql_str(p2)}"]
     for label, field in DOC_LINES:
-        parts.append(f"{_sql_str(label)} || coalesce(CAST({field} AS VARCHAR), 'nan')")
+        end = " || '       '" if field == "rev_fy_2025" else ""
+        parts.append(f"'        ' || {_sql_str(label)} || coalesce(CAST({field} AS VARCHAR), 'nan'){end}")
     return " || chr(10) || ".join(parts)
 
 
@@ -612,6 +613,10 @@ SELECT rougeL, semantic_cosine, good_refusal, hallucination_rate, nullif(cohort,
   row_id, k, nullif(query, '') AS query, nullif(expected_company, '') AS expected_company,
   nullif(gold, '') AS gold, nullif(pred, '') AS pred
 FROM per_query""",
+    "index_build": f"""WITH {COMPANIES_CTE}, {DOCS_CTE}, {_hash_vectors('ix', 'docs', 'row_id', 'content')}
+SELECT doc_id, row_id, company_code, industry, md5(content) AS content_md5,
+  'hashing-md5-256' AS embedder, b AS bucket, round(w, 9) AS weight
+FROM docs JOIN ix_vec ON ix_vec.id = docs.row_id""",
     "stream_answers": f"{_STREAM} SELECT * FROM answered",
     "chat_replay": f"""{_STREAM},
 msgs AS (

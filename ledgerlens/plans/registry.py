@@ -229,9 +229,16 @@ def _cohort_summary(spark, sf_dir):
 
 
 def _index(spark, sf_dir):
+    """The index after two builds (the second must leave the first as it
+    is), one row per document and non-zero bucket of its vector."""
     path = scratch_path(spark, "index")
-    idx.build_index(render_documents(standins.companies(spark, sf_dir)), path)
-    return idx.open_index(spark, path)
+    docs = render_documents(standins.companies(spark, sf_dir))
+    idx.build_index(docs, path)
+    idx.build_index(docs.withColumn("content", F.lit("rebuilt")), path)
+    return idx.open_index(spark, path).select(
+        "doc_id", "row_id", "company_code", "industry", F.md5("content").alias("content_md5"),
+        "embedder", F.posexplode("embedding").alias("bucket", "weight")).where(
+        "weight != 0").withColumn("weight", F.round("weight", 9))
 
 
 def _stream_run(spark, sf_dir):

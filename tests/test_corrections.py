@@ -6,10 +6,12 @@ from pyspark.sql import functions as F
 
 from ledgerlens.functions.porter import stem
 from ledgerlens.functions.text import fmt2
-from ledgerlens.operators import evaluation
+from ledgerlens.operators import charts, evaluation, trends
 from ledgerlens.operators.quantile import exact_quantiles
 from ledgerlens.operators.rank import BEFORE, POSITION, ranked
+from ledgerlens.operators.render import render_documents
 from ledgerlens.sources import company_sheet, standins
+from ledgerlens.sources import index as idx
 
 
 @pytest.mark.parametrize("reuse,adaptive", [("true", "true"), ("false", "true"),
@@ -82,3 +84,46 @@ def test_missing_sheets_are_all_named(spark):
     sheets = spark.createDataFrame([(f"x{i}", i) for i in range(30)], "sheet string, row_id long")
     with pytest.raises(RuntimeError, match="x29"):
         evaluation.require_sheets(sheets, evaluation.resolve_sheets(sheets))
+
+
+def test_document_lines_as_written_by_hand(spark):
+    df = spark.createDataFrame(
+        [(7, "A Co", "A1", "Mining", 10.5, None)],
+        "row_id long, company_name string, company_code string, industry string, "
+        "rev_fy_2025 double, pb double")
+    lines = render_documents(df).first().content.split("\n")
+    assert lines[:3] == ["Company: A Co (Code: A1)", "        Industry: Mining",
+                         "        Description: nan"]
+    assert "        Revenue (Full Year 2025): 10.5       " in lines
+    assert lines[-1] == "        Price-to-Book Ratio (P/B): nan" and len(lines) == 26
+
+
+def test_second_index_build_leaves_the_first(spark, tmp_path):
+    docs = spark.createDataFrame([("1", 1, "A", "x", "one two")],
+                                 "doc_id string, row_id long, company_code string, "
+                                 "industry string, content string")
+    path = str(tmp_path / "index")
+    for content in ("one two", "three"):
+        idx.build_index(docs.withColumn("content", F.lit(content)), path)
+    assert [r.content for r in idx.open_index(spark, path).collect()] == ["one two"]
+    with pytest.raises(ValueError):
+        idx.open_index(spark, path, "another")
+
+
+def test_company_filter_literal_and_regex(spark):
+    df = spark.createDataFrame([(0, "A.B Ltd"), (1, "AxB ltd"), (2, None)],
+                               "row_id long, company_name string")
+    rows = lambda *a, **k: [r.row_id for r in charts.filter_by_name(df, *a, **k).collect()]
+    assert rows("a.b") == [0] and rows("a.b", regex=True) == [0, 1]
+    assert rows("^ax", regex=True) == [1] and rows(None) == rows("") == [0, 1, 2]
+
+
+def test_raw_labels_and_a_metric_without_values(spark):
+    df = spark.createDataFrame(
+        [("Infered", 1, 1, 0.5, None), ("Inferred", 2, 1, 1.0, None), ("infered", 3, 1, 0.0, None)],
+        "cohort string, row_id long, k int, rougeL double, semantic_cosine double")
+    assert [r.cohort for r in trends.fix_labels(df).orderBy("row_id").collect()] == [
+        "Inferred", "Inferred", "infered"]
+    stats = {(r.metric, r.cohort): (r["mean"], r.n)
+             for r in trends.trend_stats(trends.metric_long(df)).collect()}
+    assert stats == {("rougeL", "Inferred"): (0.75, 2), ("rougeL", "infered"): (0.0, 1)}
