@@ -7,11 +7,14 @@ and the longest common extension of two places is found by binary search on
 the length.
 
 The fingerprint of a text is the hash of the whole text under two primes, the
-length, and a sketch: the hashes of all spans of ``SPAN`` code points (shorter
-for short texts), spread over ``BINS`` bins by value, the least of each bin.
-The likeness of two fingerprints is the Dice coefficient of their span sets as
-estimated from the share J of equal bins among those filled in either,
-2J / (1 + J); fingerprints of equal texts are equal and have likeness 1.
+length, and sketches: the hashes of all spans of a width, spread over ``BINS``
+bins by value, the least of each bin. Every text has a sketch of its spans of
+``SHORT_SPAN`` code points (a text under that is one span); texts of ``LONG`` code
+points or more also have one of their spans of ``SPAN``. Two fingerprints are
+compared by sketches of one width: ``SPAN`` if both have it, else ``SHORT_SPAN``.
+Their likeness is the Dice coefficient of these span sets as estimated from the
+share J of equal bins among those filled in either, 2J / (1 + J); fingerprints
+of equal texts are equal and have likeness 1.
 
 Every document is also compared with the next one by id and with a text edited
 from both. Documents are range-partitioned by id and sorted once; the texts
@@ -30,7 +33,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import cut_lineage, shuffle_partitions
@@ -40,6 +43,7 @@ from .batches import Emitter
 PRIME, PRIME2 = (1 << 31) - 1, (1 << 31) - 19
 BASE, BASE2 = 911382323, 972663749
 SPAN, SHORT_SPAN, BINS = 16, 4, 64
+LONG = 4 * SPAN
 MIX = np.uint64(0x9E3779B97F4A7C15)
 EMPTY_BIN = 0xFFFF
 
@@ -95,8 +99,26 @@ class PrefixHash:
         return low
 
 
+def sketch(prefix: PrefixHash, width: int) -> np.ndarray:
+    """The least hash of each bin over all spans of ``width`` code points."""
+    bins = np.full(BINS, EMPTY_BIN, np.uint16)
+    if not prefix.n:
+        return bins
+    mixed = prefix.spans(np.arange(prefix.n + 1 - width), width) * MIX
+    mixed ^= mixed >> np.uint64(29)
+    mixed *= MIX
+    high = np.sort(mixed >> np.uint64(40))     # 6 bits of bin, 18 of value
+    at = (high >> np.uint64(18)).astype(np.int64)
+    first = np.ones(len(at), bool)
+    first[1:] = at[1:] != at[:-1]
+    # a bin's least value, re-mixed to 16 bits so that small values spread
+    least = high[first] * MIX
+    bins[at[first]] = (least >> np.uint64(48)) % np.uint64(EMPTY_BIN)
+    return bins
+
+
 class Fingerprint:
-    """Whole-text hashes, length and sketch of one text."""
+    """Whole-text hashes, length and sketches of one text."""
 
     def __init__(self, codes: np.ndarray):
         self.prefix = PrefixHash(codes)
@@ -104,29 +126,25 @@ class Fingerprint:
         _SECOND.upto(n + 1)
         second = ((codes.astype(np.uint64) + np.uint64(1)) * _SECOND.up[:n]
                   % np.uint64(PRIME2)).sum() % np.uint64(PRIME2)
-        width = SPAN if n >= 4 * SPAN else min(n, SHORT_SPAN)
-        self.bins = np.full(BINS, EMPTY_BIN, np.uint16)
-        if n:
-            mixed = self.prefix.spans(np.arange(n + 1 - width), width) * MIX
-            mixed ^= mixed >> np.uint64(29)
-            mixed *= MIX
-            high = np.sort(mixed >> np.uint64(40))     # 6 bits of bin, 18 of value
-            at = (high >> np.uint64(18)).astype(np.int64)
-            first = np.ones(len(at), bool)
-            first[1:] = at[1:] != at[:-1]
-            # a bin's least value, re-mixed to 16 bits so that small values spread
-            least = high[first] * MIX
-            self.bins[at[first]] = (least >> np.uint64(48)) % np.uint64(EMPTY_BIN)
-        self.text = f"{n:x}-{int(self.prefix.sums[-1]):08x}{int(second):08x}-" + \
-            self.bins.astype(">u2").tobytes().hex()
+        self.short = sketch(self.prefix, min(n, SHORT_SPAN))
+        self.wide = sketch(self.prefix, SPAN) if n >= LONG else None
+        self.head = f"{n:x}-{int(self.prefix.sums[-1]):08x}{int(second):08x}-"
+        parts = [self.short] if self.wide is None else [self.wide, self.short]
+        self.bins = np.concatenate(parts).astype(">u2").tobytes()
+
+    @property
+    def text(self) -> str:
+        return self.head + self.bins.hex()
 
     def likeness(self, other: Fingerprint) -> float:
-        if self.text == other.text:
+        if (self.head, self.bins) == (other.head, other.bins):
             return 1.0
-        filled = (self.bins != EMPTY_BIN) | (other.bins != EMPTY_BIN)
+        both = self.wide is not None and other.wide is not None
+        mine, theirs = (self.wide, other.wide) if both else (self.short, other.short)
+        filled = (mine != EMPTY_BIN) | (theirs != EMPTY_BIN)
         if not filled.any():
             return 0.0
-        j = float(((self.bins == other.bins) & filled).sum() / filled.sum())
+        j = float(((mine == theirs) & filled).sum() / filled.sum())
         return 2 * j / (1 + j)
 
 
@@ -141,18 +159,26 @@ def edited(text: str, following: str) -> str:
 
 
 _RESULT = [("doc_id", pa.int64()), ("n_chars", pa.int64()), ("edited_text", pa.string()),
-           ("fingerprint", pa.string()), ("edited_fingerprint", pa.string()),
+           ("head", pa.string()), ("bins", pa.binary()),
+           ("edited_head", pa.string()), ("edited_bins", pa.binary()),
            ("near_edited", pa.float64()), ("near_next", pa.float64()),
            ("common_prefix", pa.int64())]
-_SQL = ("doc_id long, n_chars long, edited_text string, fingerprint string, "
-        "edited_fingerprint string, near_edited double, near_next double, common_prefix long")
+_SQL = ("doc_id long, n_chars long, edited_text string, head string, bins binary, "
+        "edited_head string, edited_bins binary, near_edited double, near_next double, "
+        "common_prefix long")
 
 
 def compared(key, text: str, mine: Fingerprint, following: str, theirs: Fingerprint) -> tuple:
     new = edited(text, following)
     third = Fingerprint(code_points(new))
-    return (key, len(text), new, mine.text, third.text, mine.likeness(third),
-            mine.likeness(theirs), mine.prefix.common_extension(0, third.prefix, 0))
+    return (key, len(text), new, mine.head, mine.bins, third.head, third.bins,
+            mine.likeness(third), mine.likeness(theirs),
+            mine.prefix.common_extension(0, third.prefix, 0))
+
+
+def spelled(head: str, bins: str) -> Column:
+    """The fingerprint as text; tables between the steps hold its bins as bytes."""
+    return F.concat(F.col(head), F.lower(F.hex(bins)))
 
 
 def compare_neighbours(docs: DataFrame, id_col: str = "doc_id",
@@ -178,7 +204,7 @@ def compare_neighbours(docs: DataFrame, id_col: str = "doc_id",
                     yield from out.add((None, *nothing, part, "first", text), len(text))
                 else:
                     row = compared(*last, text, mark)
-                    yield from out.add((*row, part, None, None), len(row[2]) + 600)
+                    yield from out.add((*row, part, None, None), len(row[2]) + 800)
                 last = (key, text, mark)
         if last is not None:
             yield from out.add((last[0], *nothing, part, "last", last[1]), len(last[1]))
@@ -210,10 +236,12 @@ def compare_neighbours(docs: DataFrame, id_col: str = "doc_id",
             for key, text, following in zip(*(c.to_pylist() for c in batch.columns)):
                 row = compared(key, text, Fingerprint(code_points(text)), following,
                                Fingerprint(code_points(following)))
-                yield from out.add(row, len(row[2]) + 600)
+                yield from out.add(row, len(row[2]) + 800)
         yield from out.flush()
 
-    columns = ["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint",
+    columns = ["doc_id", "n_chars", "edited_sha256",
+               spelled("head", "bins").alias("fingerprint"),
+               spelled("edited_head", "edited_bins").alias("edited_fingerprint"),
                "near_edited", "near_next", "common_prefix"]
     rest = pairs.mapInArrow(across, _SQL).withColumn(
         "edited_sha256", F.sha2(F.col("edited_text").cast("binary"), 256))

@@ -201,6 +201,26 @@ def test_likeness_follows_shared_text():
     assert marks("").likeness(marks("")) == 1.0 and marks("").likeness(marks("x")) == 0.0
 
 
+def test_likeness_across_the_lengths(make_docs):
+    rng = random.Random(7)
+
+    def dice(a, b, width):
+        x, y = ({t[i:i + width] for i in range(len(t) + 1 - width)} for t in (a, b))
+        return 2 * len(x & y) / (len(x) + len(y))
+
+    for short, long in ((60, 66), (63, 64), (20, 64), (50, 90)):
+        text = "".join(rng.choice("abcdefghijklmnopqrstuvwxyz ") for _ in range(long))
+        got = marks(text[:short]).likeness(marks(text))
+        assert abs(got - dice(text[:short], text, fingerprint.SHORT_SPAN)) < 0.3 and got > 0.2
+        assert got == marks(text).likeness(marks(text[:short]))
+    # the case of the review: 85 code points, edited text of 60, 43 of them shared
+    text = "".join(rng.choice("abcdefghijklmnopqrstuvwxyz ") for _ in range(85))
+    rows = [(1, text), (2, "an unlike follower"), (3, text[:60]), (4, text[:66])]
+    got = {r.doc_id: r for r in fingerprint.compare_neighbours(make_docs(rows)).collect()}
+    assert (got[1].n_chars, got[1].common_prefix) == (85, 43) and got[1].near_edited > 0.4
+    assert got[3].near_next > 0.7 and got[1].near_next < 0.1
+
+
 def test_neighbours_across_partitions(make_docs, no_docs, odd_docs):
     rows = [(10 * i, f"text number {i} " * (i + 1)) for i in range(23)] + [(None, None)]
     order = sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0))
