@@ -11,8 +11,10 @@ fewer words is one shingle, a text without words has the empty set.
   shingles they have.
 * **Banded buckets.** ``BANDS`` bands of ``BINS / BANDS`` bins. At similarity 0.8
   a pair shares no bucket with probability (1 - 0.8**5)**48, about 5e-9.
-* **Equal sets** are one node from the start (grouped by a 128-bit hash).
-* **Star edges.** In every bucket the node with the least id is the centre.
+* **Equal sets** are one node from the start (grouped by a 128-bit hash). Nodes are
+  numbered in the order of their least id, then of their hash, so that sets
+  under one id are nodes of their own.
+* **Star edges.** In every bucket the least node is the centre.
   First each node is compared with its least centre, then with the centres
   that are still in another component. Only for buckets that then still hold
   several components are pairs across components compared. Nothing within a
@@ -27,8 +29,8 @@ fewer words is one shingle, a text without words has the empty set.
 
 Defined cases: a null or empty text has the empty set and is linked with nothing;
 a null id takes no part in linking (its class is null, kept is null); rows that
-repeat an id are one node if their sets are equal, else they are all reached
-through that id; an empty table gives no rows; only the named columns are read.
+repeat an id are one node if their sets are equal, else a node for each set, tied
+together by that id; an empty table gives no rows; only the named columns are read.
 """
 
 from __future__ import annotations
@@ -40,7 +42,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import cut_lineage
+from ..session import cut_lineage, shuffle_partitions
 from .batches import PieceCache, groups, raw_texts
 
 BANDS, ROWS = 48, 5
@@ -137,15 +139,13 @@ def signatures(docs: DataFrame, width: int) -> DataFrame:
                         ("buckets", pa.list_(pa.int64()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import xxhash
-
         for batch in batches:
             keys, n, hi, lo, found = batch.column(0).cast(pa.int64()), [], [], [], []
             for hashes in shingler(width).sets(raw_texts(batch.column(1))):
                 n.append(len(hashes))
-                digest = xxhash.xxh3_128_digest(hashes.tobytes())
-                hi.append(int.from_bytes(digest[:8], "big", signed=True))
-                lo.append(int.from_bytes(digest[8:], "big", signed=True))
+                high, low = set_hash(hashes)
+                hi.append(high)
+                lo.append(low)
                 found.append(buckets(signature(hashes)) if len(hashes)
                              else np.empty(0, np.int64))
             ends = np.cumsum([0, *map(len, found)])
@@ -160,21 +160,36 @@ def signatures(docs: DataFrame, width: int) -> DataFrame:
         run, "doc_id long, n_shingles long, set_hi long, set_lo long, buckets array<long>")
 
 
+def set_hash(hashes: np.ndarray) -> tuple[int, int]:
+    """128-bit hash of a set as two signed longs."""
+    import xxhash
+
+    digest = xxhash.xxh3_128_digest(hashes.tobytes())
+    return (int.from_bytes(digest[:8], "big", signed=True),
+            int.from_bytes(digest[8:], "big", signed=True))
+
+
 def full_sets(docs: DataFrame, width: int) -> DataFrame:
-    """``node, set array<long>`` (whole sets, as signed hashes)."""
-    schema = pa.schema([("node", pa.int64()), ("set", pa.list_(pa.int64()))])
+    """``n_shingles, set_hi, set_lo, set array<long>`` (whole sets, as signed hashes)."""
+    schema = pa.schema([("n_shingles", pa.int64()), ("set_hi", pa.int64()),
+                        ("set_lo", pa.int64()), ("set", pa.list_(pa.int64()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keys, raws = batch.column(0).cast(pa.int64()), raw_texts(batch.column(1))
+            raws = raw_texts(batch.column(0))
             for start, end in groups(raws, 1 << 20):
                 sets = list(shingler(width).sets(raws[start:end]))
+                sizes = list(map(len, sets))
+                hi, lo = zip(*map(set_hash, sets))
                 lists = pa.ListArray.from_arrays(
-                    pa.array(np.cumsum([0, *map(len, sets)]), pa.int32()),
+                    pa.array(np.cumsum([0, *sizes]), pa.int32()),
                     pa.array(np.concatenate(sets).astype(np.int64)))
-                yield pa.RecordBatch.from_arrays([keys[start:end], lists], schema=schema)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(sizes, pa.int64()), pa.array(hi, pa.int64()),
+                     pa.array(lo, pa.int64()), lists], schema=schema)
 
-    return docs.select("node", "text").mapInArrow(run, "node long, set array<long>")
+    return docs.select("text").mapInArrow(
+        run, "n_shingles long, set_hi long, set_lo long, set array<long>")
 
 
 def sketches(sets: DataFrame) -> DataFrame:
@@ -258,8 +273,12 @@ def near_duplicates(docs: DataFrame, width: int = 5, similarity: float = 0.8) ->
     signed = cut_lineage(signatures(docs, width))
     usable = signed.where("doc_id is not null and n_shingles > 0")
     by_set = ["n_shingles", "set_hi", "set_lo"]
-    nodes = cut_lineage(usable.groupBy(*by_set).agg(F.min("doc_id").alias("node"),
-                                                    F.first("buckets").alias("buckets")))
+    order = ["least", "set_hi", "set_lo", "n_shingles"]
+    nodes = cut_lineage(usable.groupBy(*by_set).agg(F.min("doc_id").alias("least"),
+                                                    F.first("buckets").alias("buckets"))
+                        .repartitionByRange(shuffle_partitions(spark), *order)
+                        .sortWithinPartitions(*order)
+                        .withColumn("node", F.monotonically_increasing_id()))
     held = nodes.select("node", F.col("n_shingles").alias("n"),
                         F.explode("buckets").alias("bucket"))
     centres = (held.groupBy("bucket")
@@ -267,10 +286,13 @@ def near_duplicates(docs: DataFrame, width: int = 5, similarity: float = 0.8) ->
                .where("c.node != last")
                .select("bucket", F.col("c.node").alias("centre"), F.col("c.n").alias("centre_n")))
     members = cut_lineage(held.join(centres, "bucket"))
-    asked = members.select("node").distinct()
-    texts = (docs.join(asked.withColumnRenamed("node", "doc_id"), "doc_id", "left_semi")
-             .withColumnRenamed("doc_id", "node"))
-    sets = cut_lineage(full_sets(texts, width).dropDuplicates(["node"]))
+    asked = nodes.join(members.select("node").distinct(), "node", "left_semi").select(
+        *by_set, "node", "least")
+    # the rows of an asked id may hold other sets as well: the hash tells them apart
+    texts = docs.join(asked.select(F.col("least").alias("doc_id")).distinct(), "doc_id",
+                      "left_semi")
+    sets = cut_lineage(full_sets(texts, width).dropDuplicates(by_set)
+                       .join(asked.drop("least"), by_set).select("node", "set"))
     confirm = _Confirmer(sets, similarity)
 
     star = members.where((F.col("node") != F.col("centre"))
@@ -304,7 +326,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, similarity: float = 0.8) ->
             .select(F.col("x.node").alias("a"), F.col("y.node").alias("b")))
     links = links.unionByName(confirm(rest))
     # ids that are repeated with different sets tie their sets together
-    of_id = usable.join(nodes.drop("buckets"), by_set).select("doc_id", "node")
+    of_id = usable.join(nodes.select(*by_set, "node"), by_set).select("doc_id", "node")
     return _classes(signed, nodes, links, of_id, by_set)
 
 
@@ -323,11 +345,14 @@ def _classes(signed, nodes, links, of_id, by_set) -> DataFrame:
     ties = (of_id.join(split, "doc_id").where("node != a")
             .select("a", F.col("node").alias("b")).distinct())
     comps = components(links.unionByName(ties))
-    keyed = nodes.select(*by_set, "node").join(comps, "node", "left").select(
-        *by_set, F.coalesce("comp", "node").alias("comp"))
+    # nodes are numbered by their least id, so a class's least node has its least id
+    named = comps.join(nodes.select(F.col("node").alias("comp"), F.col("least").alias("class")),
+                       "comp").select("node", "class")
+    keyed = nodes.select(*by_set, "node", "least").join(named, "node", "left").select(
+        *by_set, F.coalesce("class", "least").alias("class"))
     rows = signed.select("doc_id", *by_set)
     in_sets = rows.where("doc_id is not null and n_shingles > 0").join(keyed, by_set).select(
-        "doc_id", "n_shingles", F.col("comp").alias("component_id"))
+        "doc_id", "n_shingles", F.col("class").alias("component_id"))
     alone = rows.where("doc_id is null or n_shingles = 0").select(
         "doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
     return in_sets.unionByName(alone)

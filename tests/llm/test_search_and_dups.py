@@ -114,6 +114,18 @@ def test_classes_equal_brute_force(spark, make_docs):
     assert sorted(map(tuple, got), key=str) == brute_classes(rows, 4, 0.8)
 
 
+def test_repeated_ids_keep_every_text(spark, make_docs):
+    """Each text under a repeated id has a near copy of its own."""
+    rng, rows = random.Random(8), []
+    for i in range(10, 210, 10):
+        one, two, three = (family(rng, 1, 60, 0)[0] for _ in range(3))
+        rows += [(i + 5, one), (i + 5, two), (i + 5, three), (i + 9, two + " more"),
+                 (i + 7, one + " more"), (i + 1, three + " more")]
+    got = near_dups.near_duplicates(make_docs(rows), 4, 0.8).collect()
+    assert sorted((r.doc_id, r.component_id) for r in got) == \
+        sorted((i, i // 10 * 10 + 1) for i, _ in rows)
+
+
 def test_keep_one_leaves_one_of_each_class(spark, make_docs, odd_docs, no_docs):
     kept = near_dups.keep_one(odd_docs)
     assert kept.columns == odd_docs.columns
