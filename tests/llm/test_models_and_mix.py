@@ -133,6 +133,11 @@ def test_mix_meets_its_targets(spark, make_docs, no_docs, odd_docs):
     assert out.columns == odd_docs.columns and mixing.mixed_documents(no_docs).count() == 0
 
 
+def test_documents_without_words_pass_the_mix(odd_docs):
+    out = mixing.mixed_documents(odd_docs).where("doc_id in (0, 1, 2)").collect()
+    assert sorted((r.doc_id, r.text) for r in out) == [(0, None), (1, ""), (2, " \t\n")]
+
+
 def test_positions_follow_the_schedule(spark, make_docs):
     one = spark.range(1).select(*[
         mixing.position(F.lit(1000.0 * z), F.lit(1000.0), F.lit(a), F.lit(b)).alias(f"c{i}_{j}")
