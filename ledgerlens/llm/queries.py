@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..sources.tables import read_table
 from . import (bpe, fingerprint, mixing, near_dups, quality_crf, secrets, token_files,
-               toxicity_fm, url_filter, vector_search)
+               toxicity_fm, url_filter, vector_queries, vector_search)
 from .batches import documents
 from .labelled import fold
 
@@ -115,7 +115,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op1_exact_topk, op2_curriculum_mix, op3_secret_scan, op4_minhash_near_dups,
         op5_toxicity_fm, op6_url_reputation, op7_quality_crf, op8_token_files,
         op9_bpe_automaton, op10_fingerprints, pipeline)
-}
+} | vector_queries.QUERIES
 
 ORACLES: dict[str, str] = {
     "op1_exact_topk": """
@@ -219,4 +219,4 @@ ORACLES: dict[str, str] = {
                coalesce(says, CASE WHEN p - 1.645 * sqrt(p * (1 - p) / (mh + n + 1)) > 0.5
                                    THEN 'block' ELSE 'allow' END) AS verdict
         FROM ruled JOIN h USING (host)""",
-}
+} | vector_queries.ORACLES
