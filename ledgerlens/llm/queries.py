@@ -8,8 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources.tables import read_table
-from . import (bpe, fingerprint, mixing, near_dups, quality_crf, secrets, token_files,
-               toxicity_fm, url_filter, vector_queries, vector_search)
+from . import (bpe, fingerprint, mixing, near_dups, personal_data, quality_crf, secrets,
+               token_files, toxicity_fm, url_filter, vector_queries, vector_search)
 from .batches import documents
 from .labelled import fold
 
@@ -104,6 +104,19 @@ def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint.compare_neighbours(documents(spark, sf_dir))
 
 
+def op12_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = personal_data.personal_spans(documents(spark, sf_dir))
+    base = F.filter("spans", lambda s: s["base"])
+
+    def count(kind: str):
+        return F.size(F.filter(base, lambda s: s["kind"] == kind)).cast("long")
+
+    return found.select(
+        "doc_id", *[count(kind).alias(f"n_{kind}") for kind in personal_data.KINDS],
+        F.sha2(secrets.spelled(base).cast("binary"), 256).alias("base_sha256"),
+        secrets.spelled(F.col("spans")).alias("spans"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -114,7 +127,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (
         op1_exact_topk, op2_curriculum_mix, op3_secret_scan, op4_minhash_near_dups,
         op5_toxicity_fm, op6_url_reputation, op7_quality_crf, op8_token_files,
-        op9_bpe_automaton, op10_fingerprints, pipeline)
+        op9_bpe_automaton, op10_fingerprints, op12_personal_data, pipeline)
 } | vector_queries.QUERIES
 
 ORACLES: dict[str, str] = {
