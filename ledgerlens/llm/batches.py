@@ -47,6 +47,19 @@ class Emitter:
         self.rows, self.size = [], 0
 
 
+_STATE: dict[tuple, object] = {}
+
+
+def worker_state(stage: str, key, make: Callable[[], object]):
+    """What ``make()`` gives, kept for the next tasks of ``stage`` in this Python
+    worker. A worker holds the state of one stage and key only: the first task
+    of another one drops it, so a run of many stages needs the memory of one."""
+    if (stage, key) not in _STATE:
+        _STATE.clear()
+        _STATE[stage, key] = make()
+    return _STATE[stage, key]
+
+
 class PieceCache:
     """What ``make`` gives for each distinct piece of text, kept in two
     generations of at most about ``limit`` pieces: when the younger is full, it

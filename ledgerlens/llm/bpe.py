@@ -40,7 +40,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .batches import Emitter, PieceCache, groups, pieces_of, raw_texts, stem_and_sign
+from .batches import (Emitter, PieceCache, groups, pieces_of, raw_texts, stem_and_sign,
+                      worker_state)
 
 #: Distinct pieces in a generation of a worker's cache; filled places of the table.
 CACHE_PIECES = 200_000
@@ -169,7 +170,7 @@ class MergeAutomaton:
 class Codec:
     """Encodes and decodes whole texts with the tokenizer file at ``path``."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, decoded: bool = True):
         import regex
         from tokenizers import Tokenizer
 
@@ -186,6 +187,7 @@ class Codec:
         self.automaton = MergeAutomaton(
             [vocab[c] for c in shown], [vocab[c + END] for c in shown],
             [(vocab[a], vocab[b], vocab[a + b]) for a, b in spec["model"]["merges"]])
+        self.decoded = decoded
         self.pieces = PieceCache(self.make, CACHE_PIECES)
         self.words: dict[str, list[int]] = {}
 
@@ -209,7 +211,8 @@ class Codec:
         return ids + self.plain(self.normalise(piece))
 
     def make(self, pieces: list[bytes]) -> list[tuple[bytes, bytes]]:
-        """Ids (little-endian unsigned 32-bit) and decoded text of each piece.
+        """Ids (little-endian unsigned 32-bit) and decoded text (if asked for, else
+        empty) of each piece.
         The pieces are normalised in one call, which keeps them apart by one
         blank each; those with blanks or special tokens inside go one by one."""
         texts = [p.decode("utf-8", "replace") for p in pieces]
@@ -222,15 +225,18 @@ class Codec:
             if stem is not None:
                 sign = self.plain(parts[1].decode())
                 out.append((stem[0] + array("I", sign).tobytes(),
-                            stem[1] + b" " + self.decode(sign).encode()))
+                            stem[1] + b" " + self.shown(sign) if self.decoded else b""))
                 continue
             if alone or "<|" in text:
                 ids = self.with_special(text)
             else:
                 ids = self.plain(normal[i])
-            out.append((array("I", ids).tobytes(), self.decode(ids).encode()))
+            out.append((array("I", ids).tobytes(), self.shown(ids)))
         return out
 
+    def shown(self, ids: list[int]) -> bytes:
+        return self.decode(ids).encode() if self.decoded else b""
+
     def texts(self, raws: list[bytes]) -> Iterator[tuple[bytes, bytes]]:
         """Ids as little-endian unsigned 32-bit integers and decoded text."""
         for start, end in groups(raws):
@@ -255,14 +261,10 @@ def byte_symbols() -> list[str]:
     return [chr(b) if b in own else chr(next(rest)) for b in range(256)]
 
 
-_CODECS: dict[str, Codec] = {}
-
-
-def codec(path: str) -> Codec:
-    """One codec for each Python worker, built on first use."""
-    if path not in _CODECS:
-        _CODECS[path] = Codec(path)
-    return _CODECS[path]
+def codec(path: str, decoded: bool = True) -> Codec:
+    """One codec for each Python worker, built on first use; without ``decoded``
+    it keeps ids only."""
+    return worker_state("bpe", (path, decoded), lambda: Codec(path, decoded))
 
 
 def encode_decode(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id",
@@ -292,7 +294,7 @@ def encode(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id",
                         ("ids", pa.list_(pa.int32()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        with_file = codec(tokenizer_path)
+        with_file = codec(tokenizer_path, decoded=False)
         for batch in batches:
             keys, raws = batch.column(0).cast(pa.int64()), raw_texts(batch.column(1))
             for at in range(0, len(raws), 500):

@@ -41,9 +41,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..session import cut_lineage, shuffle_partitions
-from .batches import PieceCache, groups, raw_texts
+from .batches import PieceCache, groups, raw_texts, worker_state
 
 BANDS, ROWS = 48, 5
 BINS = BANDS * ROWS
@@ -123,13 +124,9 @@ def sketch(hashes: np.ndarray) -> np.ndarray:
     return np.packbits(bits).view(np.int64)
 
 
-_SHINGLERS: dict[int, Shingler] = {}
-
-
 def shingler(width: int) -> Shingler:
-    if width not in _SHINGLERS:
-        _SHINGLERS[width] = Shingler(width)
-    return _SHINGLERS[width]
+    """One shingler for each Python worker, built on first use."""
+    return worker_state("shingles", width, lambda: Shingler(width))
 
 
 def signatures(docs: DataFrame, width: int) -> DataFrame:
@@ -359,12 +356,25 @@ def _classes(signed, nodes, links, of_id, by_set) -> DataFrame:
 
 
 def keep_one(docs: DataFrame, width: int = 5, similarity: float = 0.8) -> DataFrame:
-    """``docs`` with one document of each class: the one with the least id. Of
-    rows that repeat that id the least row stays. Rows without an id stay."""
+    """``docs``, with all its columns, of one document of each class: the one with
+    the least id. Of rows that repeat that id the least row stays (by the columns
+    that can be ordered, in their order). Rows without an id stay."""
     found = near_duplicates(docs, width, similarity)
     kept = found.where("doc_id = component_id").select("doc_id").distinct()
     known = docs.where("doc_id is not null").join(kept, "doc_id", "left_semi")
-    others = [c for c in docs.columns if c != "doc_id"]
-    one = known.groupBy("doc_id").agg(F.min(F.struct(*others)).alias("row")).select(
-        *[F.col("doc_id") if c == "doc_id" else F.col(f"row.{c}").alias(c) for c in docs.columns])
-    return one.unionByName(docs.where("doc_id is null").select(docs.columns))
+    order = [F.col(f"`{f.name}`") for f in docs.schema
+             if f.name != "doc_id" and not _has_map(f.dataType)]
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+    one = (known.groupBy("doc_id").agg(F.min_by(row, F.struct(*order)).alias("row"))
+           .select(*[F.col("row").getField(c).alias(c) for c in docs.columns]))
+    return one.unionByName(docs.where("doc_id is null").select(
+        *[F.col(f"`{c}`") for c in docs.columns]))
+
+
+def _has_map(kind: T.DataType) -> bool:
+    """Whether values of a type cannot be ordered."""
+    if isinstance(kind, T.StructType):
+        return any(_has_map(f.dataType) for f in kind)
+    if isinstance(kind, T.ArrayType):
+        return _has_map(kind.elementType)
+    return isinstance(kind, (T.MapType, T.VariantType))

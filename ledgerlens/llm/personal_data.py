@@ -42,7 +42,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .batches import Emitter, PieceCache, groups, raw_texts
+from .batches import Emitter, PieceCache, groups, raw_texts, worker_state
 from .personal_examples import EXAMPLES
 
 # The kinds in their order, the base patterns, bounds of the tests.
@@ -500,7 +500,6 @@ def _apart(added: list, base: list) -> list:
 
 
 _MODELS: dict[tuple, Field] = {}
-_FINDERS: dict[tuple, Finder] = {}
 
 
 def trained(examples: tuple[str, ...] = EXAMPLES) -> Field:
@@ -521,10 +520,8 @@ def personal_spans(docs: DataFrame, examples: tuple[str, ...] = EXAMPLES,
     schema = pa.schema([(id_col, pa.int64()), ("spans", pa.list_(span))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if examples not in _FINDERS:
-            _FINDERS.clear()
-            _FINDERS[examples] = Finder(model)
-        finder, out = _FINDERS[examples], Emitter(schema)
+        finder = worker_state("personal", examples, lambda: Finder(model))
+        out = Emitter(schema)
         for batch in batches:
             raws = raw_texts(batch.column(1))
             for key, found in zip(batch.column(0).to_pylist(), finder.spans(raws)):

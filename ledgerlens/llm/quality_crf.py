@@ -27,11 +27,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .batches import groups, raw_texts
+from .batches import groups, raw_texts, worker_state
 from .labelled import training_sample
 
-#: Documents in the training sample, and lines that one of them may give.
-SAMPLE_DOCS, SAMPLE_LINES = 6000, 400
+#: Documents in the training sample, and lines of all of them together.
+SAMPLE_DOCS, SAMPLE_LINES = 6000, 300_000
 EPOCHS, RATE, RIDGE = 60, 0.08, 1e-4
 #: Texts of this many bytes are worked on at once.
 BLOCK_BYTES = 4 << 20
@@ -219,10 +219,22 @@ def _curve(s: np.ndarray, y: np.ndarray) -> tuple[float, float]:
     return float(beta[0]), float(beta[1])
 
 
+def within(sizes: list[tuple[int, int]], most: int) -> set[int]:
+    """Ids from ``sizes`` (id, lines), taken in their order as long as the lines
+    taken stay within ``most``; one that does not fit is passed over."""
+    taken, total = set(), 0
+    for key, n in sizes:
+        if total + n <= most:
+            taken.add(key)
+            total += n
+    return taken
+
+
 def train(docs: DataFrame, labels: DataFrame, may_learn: Column,
-          sample_docs: int = SAMPLE_DOCS) -> Crf:
-    """Fits on at most ``sample_docs`` labelled documents (``SAMPLE_LINES`` lines of
-    each); their line features, not their texts, come to the driver."""
+          sample_docs: int = SAMPLE_DOCS, sample_lines: int = SAMPLE_LINES) -> Crf:
+    """Fits on at most ``sample_docs`` labelled documents of at most ``sample_lines``
+    lines together, each of them whole, taken in the order of a hash of the id;
+    their line features, not their texts, come to the driver."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             raws = raw_texts(batch.column(1))
@@ -230,15 +242,21 @@ def train(docs: DataFrame, labels: DataFrame, may_learn: Column,
                 continue
             lines, rows = lines_of(raws), []
             for i in range(len(raws)):
-                cut = slice(lines.first[i], min(lines.first[i + 1],
-                                                lines.first[i] + SAMPLE_LINES))
-                rows.append((lines.own[cut].tobytes(), lines.size[cut].tobytes()))
+                own = slice(lines.first[i], lines.first[i + 1])
+                rows.append((lines.own[own].tobytes(), lines.size[own].tobytes()))
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), batch.column(2), pa.array([r[0] for r in rows], pa.binary()),
                  pa.array([r[1] for r in rows], pa.binary())],
                 names=["doc_id", "y", "own", "size"])
 
     sample = training_sample(docs, labels, "quality", may_learn, sample_docs)
+    sizes = sample.groupBy("doc_id").agg(
+        F.sum(F.length("text") - F.length(F.replace("text", F.lit("\n"))) + 1).alias("n"))
+    ordered = sorted(sizes.select(F.xxhash64("doc_id"), "doc_id", F.coalesce("n", F.lit(1)))
+                     .collect())                       # sample_docs rows
+    taken = within([(key, n) for _, key, n in ordered], sample_lines)
+    if len(taken) < len(ordered):
+        sample = sample.where(F.col("doc_id").isin(taken))
     rows = sorted(sample.select("doc_id", "text", "y").mapInArrow(
         run, "doc_id long, y int, own binary, size binary").collect())
     return fit([np.frombuffer(r["own"], np.float32).reshape(-1, N_OWN) for r in rows],
@@ -266,6 +284,7 @@ def keep_good(docs: DataFrame, crf: Crf) -> DataFrame:
     at = docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        worker_state("quality", None, bool)            # drops what other stages keep
         for batch in batches:
             raws = raw_texts(batch.column(at))
             for start, end in groups(raws, BLOCK_BYTES):

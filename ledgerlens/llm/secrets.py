@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .batches import Emitter
+from .batches import Emitter, worker_state
 
 # The kinds, their keywords (lower case), patterns and least lengths.
 KINDS = ("assign", "access", "hex", "checked")
@@ -86,13 +86,8 @@ class Scanner:
         return sorted(found)
 
 
-_SCANNER: list[Scanner] = []
-
-
 def scanner() -> Scanner:
-    if not _SCANNER:
-        _SCANNER.append(Scanner())
-    return _SCANNER[0]
+    return worker_state("secrets", None, Scanner)
 
 
 def secret_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

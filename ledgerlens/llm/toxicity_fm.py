@@ -20,6 +20,7 @@ empty table gives no rows; only the named columns are read.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -28,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .batches import PieceCache, groups, raw_texts
+from .batches import PieceCache, groups, raw_texts, worker_state
 from .labelled import training_sample
 
 BUCKETS = 1 << 18
@@ -158,23 +159,19 @@ def train(docs: DataFrame, labels: DataFrame, may_learn: Column,
                np.array([r["y"] for r in rows], float))
 
 
-_SETS: dict[int, TermSets] = {}
-
-
 def score(docs: DataFrame, machine: Machine) -> DataFrame:
     """``doc_id, score double`` of every row. Narrow: no shuffle. The machine
     (5 MB, whatever the data) is broadcast once."""
     schema = pa.schema([("doc_id", pa.int64()), ("score", pa.float64())])
     shared = docs.sparkSession.sparkContext.broadcast(machine)
+    name = uuid.uuid4().hex             # of this machine, for what a worker keeps
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = shared.value
-        if id(own) not in _SETS:
-            _SETS.clear()
-            _SETS[id(own)] = TermSets(own.used)
+        kept = worker_state("terms", name, lambda: TermSets(own.used))
         for batch in batches:
             keys, raws = batch.column(0).cast(pa.int64()), raw_texts(batch.column(1))
-            sets = _SETS[id(own)](raws)
+            sets = kept(raws)
             scores = own.scores(list(sets)) if raws else np.empty(0)
             yield pa.RecordBatch.from_arrays([keys, pa.array(scores)], schema=schema)
 
