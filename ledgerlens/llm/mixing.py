@@ -17,7 +17,8 @@ spans the siblings of one node (1024 rows) or the documents of one leaf. Targets
 are found by repeated aggregation over the table of sources; one row at a time
 comes to the driver.
 
-Defined cases: a null text has size 0; a null source is a source, the last; rows that
+Defined cases: only doc_id, text and source are read, further columns, whatever their
+names, are carried through by ``mixed_documents``; a null text has size 0; a null source is a source, the last; rows that
 repeat are documents of their own; documents without words are taken with 0 words;
 sources without words have target 0; an empty table gives no rows.
 """
@@ -142,14 +143,14 @@ def mixture(docs: DataFrame, budget: float = BUDGET, repeat: float = REPEAT) ->
         "turns", of_turn(F.lit(0))["at"].alias("start_at"))
 
 
-def training_order(mixed: DataFrame) -> DataFrame:
+def training_order(mixed: DataFrame, *carried: str) -> DataFrame:
     """One row per taken pass of a document, range-sorted by training position:
-    ``doc_id, source, turn, words, at``."""
-    spark = mixed.sparkSession
-    return (mixed.select("doc_id", "source", F.explode("turns").alias("t"))
-            .select("doc_id", "source", "t.turn", "t.words", "t.at")
-            .repartitionByRange(shuffle_partitions(spark), "at", "doc_id", "turn")
-            .sortWithinPartitions("at", "doc_id", "turn"))
+    ``doc_id, source, turn, words, at, rank`` (0-based place in training) and the
+    ``carried`` columns of ``mixed``, by which passes that tie are ordered."""
+    passes = (mixed.select("doc_id", "source", F.explode("turns").alias("t"), *carried)
+              .select("doc_id", "source", "t.turn", "t.words", "t.at", *carried))
+    return ranked(passes, [F.col(k) for k in ("at", "doc_id", "turn", *carried)]
+                  ).withColumnRenamed(POSITION, "rank")
 
 
 def mixed_documents(docs: DataFrame, budget: float = BUDGET, repeat: float = REPEAT) -> DataFrame:
@@ -164,10 +165,14 @@ def mixed_documents(docs: DataFrame, budget: float = BUDGET, repeat: float = REP
     ats = F.when(F.col("size") == 0, F.array("start_at")).otherwise(F.col("turns.at"))
     turns = mixture(docs, budget, repeat).select("doc_id", ats.alias("ats")).groupBy("doc_id").agg(
         F.max(F.struct(F.size("ats"), "ats")).alias("m")).select(
-        F.col("doc_id").alias("_id"), F.col("m.ats").alias("_ats")).where(F.size("_ats") > 0)
-    known = docs.where("doc_id is not null").join(turns, F.col("doc_id") == F.col("_id"))
-    nameless = docs.where("doc_id is null").join(
-        F.broadcast(turns.where("_id is null")), F.lit(True))    # one row at most
-    rows = known.unionByName(nameless).withColumn("_at", F.explode("_ats"))
-    return (rows.repartitionByRange(shuffle_partitions(spark), "_at", "doc_id")
-            .sortWithinPartitions("_at", "doc_id").select(docs.columns))
+        "doc_id", "m.ats").where(F.size("ats") > 0)
+    # a row travels as one struct, so no column of the documents meets one of ours
+    whole = docs.select(F.col("doc_id").cast("long").alias("doc_id"),
+                        F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    known = whole.where("doc_id is not null").join(turns, "doc_id")
+    nameless = whole.where("doc_id is null").join(
+        F.broadcast(turns.where("doc_id is null").select("ats")), F.lit(True))    # one row at most
+    rows = known.unionByName(nameless).select("doc_id", "row", F.explode("ats").alias("at"))
+    return (rows.repartitionByRange(shuffle_partitions(spark), "at", "doc_id")
+            .sortWithinPartitions("at", "doc_id")
+            .select(*[F.col("row").getField(c).alias(c) for c in docs.columns]))

@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import cut_lineage
 from ..sources.tables import read_table
 from . import (bpe, fingerprint, mixing, near_dups, personal_data, quality_crf, secrets,
                token_files, toxicity_fm, url_filter, vector_queries, vector_search)
@@ -30,9 +31,13 @@ def op1_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_curriculum_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return (mixing.mixture(documents(spark, sf_dir))
-            .select("doc_id", "size", "source_size", "target", "taken",
-                    F.col("turns.at").alias("positions")))
+    mixed = cut_lineage(mixing.mixture(documents(spark, sf_dir))
+                        .withColumn("row_id", F.monotonically_increasing_id()))
+    ranks = mixing.training_order(mixed, "row_id").groupBy("row_id").agg(
+        F.sort_array(F.collect_list("rank")).alias("ranks"))       # one rank for each pass
+    return mixed.join(ranks, "row_id", "left").select(
+        "doc_id", "size", "source_size", "target", "taken",
+        F.col("turns.at").alias("positions"), "ranks")
 
 
 def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:

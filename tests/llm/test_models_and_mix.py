@@ -7,7 +7,8 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from ledgerlens.llm import mixing, quality_crf, queries, toxicity_fm, url_filter
+from ledgerlens.llm import (batches, mixing, near_dups, quality_crf, queries, toxicity_fm,
+                            url_filter)
 from ledgerlens.llm.batches import documents
 from ledgerlens.llm.labelled import fold
 from ledgerlens.sources.tables import read_table
@@ -138,6 +139,34 @@ def test_documents_without_words_pass_the_mix(odd_docs):
     assert sorted((r.doc_id, r.text) for r in out) == [(0, None), (1, ""), (2, " \t\n")]
 
 
+def test_mix_keeps_the_values_of_clashing_columns(spark, make_docs):
+    names = ["_at", "_id", "_ats", "row", "ats", "at", "turns", "a.b", "size", "target"]
+    docs = make_docs([(i, f"one two {i}", "s" if i % 3 else None) for i in range(30)]
+                     + [(None, "no id", "s")]).select("doc_id", "text", "source")
+    for k, name in enumerate(names):
+        docs = docs.withColumn(name, F.concat(F.col("text"), F.lit(f"/{k}")))
+    docs = docs.withColumn("m", F.create_map(F.lit("k"), F.col("text")))
+    for out in (mixing.mixed_documents(docs), near_dups.keep_one(docs)):
+        assert out.columns == docs.columns
+        rows = out.collect()
+        assert rows and all(r[n] == f"{r.text}/{k}" and r.m == {"k": r.text}
+                            for r in rows for k, n in enumerate(names))
+
+
+def test_whole_documents_within_the_line_bound(spark):
+    assert quality_crf.within([(1, 5), (2, 9), (3, 4)], 10) == {1, 3}
+    docs, labels = documents(spark, SF), read_table(spark, SF, "labels")
+    few = quality_crf.train(docs, labels, F.lit(True), sample_lines=300)
+    assert not np.allclose(few.weights, quality_crf.train(docs, labels, F.lit(True)).weights)
+
+
+def test_worker_state_holds_one_stage():
+    made = []
+    for stage, key in (("a", 1), ("a", 1), ("b", 1), ("a", 1)):
+        batches.worker_state(stage, key, lambda: made.append((stage, key)) or object())
+    assert made == [("a", 1), ("b", 1), ("a", 1)]
+
+
 def test_positions_follow_the_schedule(spark, make_docs):
     one = spark.range(1).select(*[
         mixing.position(F.lit(1000.0 * z), F.lit(1000.0), F.lit(a), F.lit(b)).alias(f"c{i}_{j}")
@@ -146,10 +175,18 @@ def test_positions_follow_the_schedule(spark, make_docs):
     t = one["c1_1"]                     # area .5 t + .5 t^2 is a quarter
     assert np.isclose(0.5 * t + 0.5 * t * t, 0.25) and one["c2_1"] == 1.0
     rows = [(i, "w w w", "a" if i % 3 else "b") for i in range(200)]
-    order = mixing.training_order(mixing.mixture(make_docs(rows))).collect()
+    order = mixing.training_order(mixing.mixture(make_docs(rows))).orderBy("rank").collect()
+    assert [r.rank for r in order] == list(range(len(order)))
     assert [r.at for r in order] == sorted(r.at for r in order)
 
 
+def test_op2_ranks_follow_its_positions(spark):
+    rows = queries.op2_curriculum_mix(spark, SF).collect()
+    passes = sorted((k, at) for r in rows for k, at in zip(r.ranks or [], r.positions))
+    assert [k for k, _ in passes] == list(range(sum(len(r.positions) for r in rows)))
+    assert [at for _, at in passes] == sorted(at for _, at in passes)
+
+
 def brute_rule(host, path):
     best = None
     for h, p, says in url_filter.RULES:
