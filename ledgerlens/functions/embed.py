@@ -31,12 +31,38 @@ DEFAULT_DIM = 256
 
 
 _SEP = re.compile(r"[^a-z0-9]+")
+#: Tokens that a task's cache holds; then it starts anew.
+CACHE_TOKENS = 200_000
 
 
 def _bucket(tok: str, dim: int) -> int:
     return int(hashlib.md5(tok.encode()).hexdigest()[:8], 16) % dim
 
 
+def _unit_rows(texts: list, dim: int, cache: dict[str, int]) -> np.ndarray:
+    """Bucket counts of each text at unit length (zeros for token-less text)."""
+    n = len(texts)
+    flat: list[int] = []
+    for i, t in enumerate(texts):
+        if not t:
+            continue
+        if len(cache) > CACHE_TOKENS:
+            cache.clear()
+        base = i * dim
+        for tok in _SEP.split(t.lower()):
+            if tok:
+                k = cache.get(tok)
+                if k is None:
+                    k = cache[tok] = _bucket(tok, dim)
+                flat.append(base + k)
+    mat = np.bincount(np.asarray(flat, dtype=np.int64),
+                      minlength=n * dim).astype(np.float64).reshape(n, dim)
+    norms = np.sqrt((mat * mat).sum(axis=1))
+    nz = norms > 0
+    mat[nz] /= norms[nz, None]
+    return mat
+
+
 def _embed_batches(dim: int, text_col: str, out_col: str, keep: list[str]):
     """Tokenise, bucket, count and L2-normalise one Arrow batch at a time.
     Token → bucket is cached per task (word frequencies are skewed, so most
@@ -44,24 +70,8 @@ def _embed_batches(dim: int, text_col: str, out_col: str, keep: list[str]):
     def run(batches):
         cache: dict[str, int] = {}
         for b in batches:
-            texts = b.column(text_col).to_pylist()
-            n = len(texts)
-            flat: list[int] = []
-            for i, t in enumerate(texts):
-                if not t:
-                    continue
-                base = i * dim
-                for tok in _SEP.split(t.lower()):
-                    if tok:
-                        k = cache.get(tok)
-                        if k is None:
-                            k = cache[tok] = _bucket(tok, dim)
-                        flat.append(base + k)
-            mat = np.bincount(np.asarray(flat, dtype=np.int64),
-                              minlength=n * dim).astype(np.float64).reshape(n, dim)
-            norms = np.sqrt((mat * mat).sum(axis=1))
-            nz = norms > 0
-            mat[nz] /= norms[nz, None]
+            mat = _unit_rows(b.column(text_col).to_pylist(), dim, cache)
+            n = len(mat)
             offs = pa.array(np.arange(0, (n + 1) * dim, dim, dtype=np.int32))
             vec = pa.ListArray.from_arrays(offs, pa.array(mat.ravel()))
             cols = [b.column(c) for c in keep] + [vec]
@@ -80,6 +90,37 @@ def hashing_embed(df: DataFrame, text_col: str, out_col: str = "embedding",
     return spread(df).mapInArrow(_embed_batches(dim, text_col, out_col, keep), schema)
 
 
+def hashing_terms(df: DataFrame, text_col: str, dim: int = DEFAULT_DIM) -> DataFrame:
+    """``df`` without the text, with its vector as ``terms array<int>`` (buckets in
+    order) and ``weights array<double>``: the non-zero part of ``hashing_embed``."""
+    from ..session import spread
+    keep = [c for c in df.columns if c != text_col]
+    schema = T.StructType([df.schema[c] for c in keep] +
+                          [T.StructField("terms", T.ArrayType(T.IntegerType())),
+                           T.StructField("weights", T.ArrayType(T.DoubleType()))])
+
+    def run(batches):
+        cache: dict[str, int] = {}
+        for whole in batches:
+            for at in range(0, whole.num_rows, 1000):
+                b = whole.slice(at, 1000)
+                mat = _unit_rows(b.column(text_col).to_pylist(), dim, cache)
+                rows, terms = np.nonzero(mat)
+                cuts = pa.array(np.searchsorted(rows, np.arange(len(mat) + 1)).astype(np.int32))
+                yield pa.RecordBatch.from_arrays(
+                    [*[b.column(c) for c in keep],
+                     pa.ListArray.from_arrays(cuts, pa.array(terms.astype(np.int32))),
+                     pa.ListArray.from_arrays(cuts, pa.array(mat[rows, terms]))],
+                    names=[*keep, "terms", "weights"])
+
+    return spread(df).mapInArrow(run, schema)
+
+
+def is_sparse(embed: Callable) -> bool:
+    """Whether ``hashing_terms`` gives the vectors of ``embed`` in sparse form."""
+    return embed is hashing_embed
+
+
 def model_embed(df: DataFrame, text_col: str, out_col: str = "embedding", *,
                 make_predict: Callable, batch_size: int = 256) -> DataFrame:
     """Any model behind ``make_predict() -> (np.ndarray[str]) -> np.ndarray``.

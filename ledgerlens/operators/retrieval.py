@@ -11,8 +11,9 @@ from pyspark.sql import functions as F
 
 from ..constants import (DEFAULT_TOP_K, DOC_SEPARATOR, K_VALUES, MISSING_META,
                          PREVIEW_CHARS, PROMPT_TEMPLATE)
-from ..functions.embed import hashing_embed
+from ..functions.embed import hashing_embed, hashing_terms, is_sparse
 from .knn import knn
+from .postings import build_postings, search_postings
 
 
 def index_documents(docs: DataFrame, embed: Callable = hashing_embed) -> DataFrame:
@@ -22,8 +23,13 @@ def index_documents(docs: DataFrame, embed: Callable = hashing_embed) -> DataFra
 
 def retrieve(questions: DataFrame, index: DataFrame, k: int = DEFAULT_TOP_K,
              embed: Callable = hashing_embed, qid: str = "question_id", qtext: str = "question",
-             did: str = "row_id", n_corpus: int | None = None) -> DataFrame:
-    """(question_id, row_id, score, rank) — top-k documents per question."""
+             did: str = "row_id", n_corpus: int | None = None,
+             postings: DataFrame | None = None) -> DataFrame:
+    """(question_id, row_id, score, rank) — top-k documents per question. With the
+    ``postings`` of a sparse embedder the documents are not touched."""
+    if postings is not None and is_sparse(embed):
+        return search_postings(hashing_terms(questions.select(qid, qtext), qtext), qid,
+                               postings, did, k)
     n_q = questions.count()
     n_c = index.select(did).count() if n_corpus is None else n_corpus
     q = embed(questions.select(qid, qtext), qtext, "q_emb")
@@ -31,6 +37,14 @@ def retrieve(questions: DataFrame, index: DataFrame, k: int = DEFAULT_TOP_K,
                n_queries=n_q, n_corpus=n_c)
 
 
+def search_texts(questions: DataFrame, qid: str, qtext: str, docs: DataFrame, did: str,
+                 dtext: str, k: int, n_docs: int) -> DataFrame:
+    """Top-k of texts among texts that have no index yet, by their hashed terms."""
+    postings = build_postings(hashing_terms(docs.select(did, dtext), dtext), did, n_docs)
+    return search_postings(hashing_terms(questions.select(qid, qtext), qtext), qid, postings,
+                           did, k)
+
+
 def depth_sweep(hits: DataFrame, ks: list[int] = K_VALUES) -> DataFrame:
     """Retrieve once at max k, then one row per (k, kept hit)."""
     return (hits.select("*", F.explode(F.array(*[F.lit(k) for k in ks])).alias("k"))

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..constants import DEFAULT_TOP_K
-from ..functions.embed import hashing_embed
+from ..functions.embed import hashing_embed, is_sparse
 from ..operators import retrieval
 from ..operators.charts import route
 from ..operators.render import render_documents
@@ -26,10 +26,15 @@ def text_questions(questions: DataFrame) -> DataFrame:
 def retrieval_hits(questions: DataFrame, companies: DataFrame, k: int = DEFAULT_TOP_K,
                    embed: Callable = hashing_embed):
     docs = render_documents(companies)
-    index = retrieval.index_documents(docs, embed)
     tq = text_questions(questions)
     # count before embedding: the embedder is not run just to size blocks
-    hits = retrieval.retrieve(tq, index, k, embed, n_corpus=docs.count())
+    n_docs = docs.count()
+    if is_sparse(embed):
+        hits = retrieval.search_texts(tq, "question_id", "question", docs, "row_id", "content",
+                                      k, n_docs)
+    else:
+        hits = retrieval.retrieve(tq, retrieval.index_documents(docs, embed), k, embed,
+                                  n_corpus=n_docs)
     return tq, docs, retrieval.with_documents(hits, docs)
 
 
@@ -43,10 +48,12 @@ def rag_answers(questions: DataFrame, companies: DataFrame, k: int = DEFAULT_TOP
 
 
 def rag_answers_from_index(questions: DataFrame, index: DataFrame, k: int = DEFAULT_TOP_K,
-                           generator=None, embed: Callable = hashing_embed) -> DataFrame:
-    """As ``rag_answers`` against a persisted index."""
+                           generator=None, embed: Callable = hashing_embed,
+                           postings: DataFrame | None = None) -> DataFrame:
+    """As ``rag_answers`` against a persisted index (S10), with its ``postings`` if
+    the embedder is sparse."""
     tq = text_questions(questions)
-    hits = retrieval.retrieve(tq, index, k, embed)
+    hits = retrieval.retrieve(tq, index, k, embed, postings=postings)
     return _answer(tq, retrieval.with_documents(hits, index), generator)
 
 

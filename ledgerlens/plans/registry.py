@@ -98,7 +98,6 @@ QUERIES.update({
 
 
 # ---- retrieval (J2, W1, W4, A10, P2/P3, Q1, Q7) -----------------------------
-from ..functions.embed import hashing_embed  # noqa: E402
 from ..operators import knn as knn_op  # noqa: E402
 from ..operators import render, retrieval  # noqa: E402
 from ..sources.tables import Tables  # noqa: E402
@@ -114,11 +113,8 @@ def _knn_dense(spark, sf_dir):
 
 def _doc_search(spark, sf_dir):
     t = Tables(spark, sf_dir)
-    q = hashing_embed(t.benchmark, "text", "q_vec")
-    d = hashing_embed(t.documents.select("doc_id", "text"), "text", "d_vec")
-    return knn_op.knn(q.select("item_id", "q_vec"), "item_id", "q_vec",
-                      d.select("doc_id", "d_vec"), "doc_id", "d_vec", 5,
-                      n_queries=t.benchmark.count(), n_corpus=t.documents.count())
+    return retrieval.search_texts(t.benchmark, "item_id", "text", t.documents, "doc_id", "text",
+                                  5, t.documents.count())
 
 
 def _hits(spark, sf_dir):
@@ -255,7 +251,8 @@ def _stream_run(spark, sf_dir):
      .write.parquet(source))
     answers, chat = scratch_path(spark, "answers"), scratch_path(spark, "chat")
     st.run_question_stream(spark, source, companies, index, answers, chat,
-                           scratch_path(spark, "stream-ckpt"))
+                           scratch_path(spark, "stream-ckpt"),
+                           postings=idx.open_postings(spark, index_path))
     return answers, chat
 
 

@@ -36,11 +36,12 @@ QUESTION_SCHEMA = T.StructType([
 
 
 def answer_batch(batch: DataFrame, companies: DataFrame, index: DataFrame, generator=None,
-                 embed: Callable = hashing_embed) -> DataFrame:
+                 embed: Callable = hashing_embed,
+                 postings: DataFrame | None = None) -> DataFrame:
     """(question_id, session_id, turn, question, is_chart, answer)."""
     routed = route(batch).select("question_id", "is_chart")
-    text = rag_answers_from_index(batch, index, generator=generator, embed=embed).select(
-        "question_id", F.col("answer"))
+    text = rag_answers_from_index(batch, index, generator=generator, embed=embed,
+                                  postings=postings).select("question_id", F.col("answer"))
     charts, _ = chart_answers(batch, companies)
     chart_msg = charts.select("question_id", F.col("message").alias("answer"))
     answers = text.unionByName(chart_msg)
@@ -68,13 +69,14 @@ def _write_partition(df: DataFrame, path: str) -> None:
 def run_question_stream(spark: SparkSession, source_dir: str, companies: DataFrame,
                         index: DataFrame, answers_path: str, chat_path: str,
                         checkpoint: str, files_per_trigger: int = 1, generator=None,
-                        embed: Callable = hashing_embed) -> None:
+                        embed: Callable = hashing_embed,
+                        postings: DataFrame | None = None) -> None:
     """Process every question file present now (``availableNow``), then stop."""
     stream = (spark.readStream.schema(QUESTION_SCHEMA)
               .option("maxFilesPerTrigger", files_per_trigger).parquet(source_dir))
 
     def process(batch: DataFrame, batch_id: int) -> None:
-        answered = answer_batch(batch, companies, index, generator, embed).withColumn(
+        answered = answer_batch(batch, companies, index, generator, embed, postings).withColumn(
             "batch_id", F.lit(batch_id))
         answered = answered.persist()
         _write_partition(answered, answers_path)
