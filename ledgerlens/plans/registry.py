@@ -329,3 +329,19 @@ def _knn_ivf(spark, sf_dir):
 
 
 QUERIES["knn_ivf"] = _knn_ivf
+
+
+def _knn_approx(spark, sf_dir):
+    """J2 approximate over residual-coded cells, beside the exact way: one row per hit
+    and whether its score is among the exact five."""
+    from ..operators import approx
+    emb = Tables(spark, sf_dir).embeddings
+    q = emb.select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q_vec"))
+    cells = approx.build_cells(emb, "vec_id", "embedding")
+    found = approx.search_cells(q, "query_id", "q_vec", cells, "vec_id", 5)
+    least = _knn_dense(spark, sf_dir).groupBy("query_id").agg(F.min("score").alias("least"))
+    return found.join(least, "query_id").select(
+        "query_id", "rank", "vec_id", "score", (F.col("score") >= F.col("least")).alias("exact"))
+
+
+QUERIES["knn_approx"] = _knn_approx
