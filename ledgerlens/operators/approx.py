@@ -100,9 +100,10 @@ def build_cells(corpus: DataFrame, did: str, dvec: str, n_cells: int | None = No
         return None
     sample = cut_lineage(vectors.orderBy(F.xxhash64("_did"), "_did").limit(SAMPLE_ROWS))
     cells = min(n, SAMPLE_ROWS, n_cells or max(1, round(math.sqrt(n))))
-    _, centres = _train_cells(sample, cells, seed, 10)
     few = np.array([r["_v"] for r in sample.orderBy(F.xxhash64("_did"), "_did")
                     .limit(CODE_ROWS).collect()])
+    centres = _train_cells(sample, cells, seed, 10)[1] if cells > 1 else few.mean(
+        axis=0, keepdims=True)
     books = fit_codes(few - centres[_nearest(few, centres)], subspaces,
                       np.random.default_rng(seed))
 
