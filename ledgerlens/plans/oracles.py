@@ -402,6 +402,7 @@ FROM textq q LEFT JOIN ctx c ON q.question_id = c.question_id""",
 
 
 # ---- evaluation ----------------------------------------------------------------
+from .stem_sql import stem_ctes  # noqa: E402
 from ..constants import (ALIASES_INFERRED, ALIASES_KNOWN, ALIASES_OUT_OF_KB,  # noqa: E402
                          REFUSAL_PATTERNS)
 
@@ -492,7 +493,33 @@ per_query AS (
 
 _EV = f"WITH {EVAL_CTE}"
 
+# the same with every word replaced by its stem
+_STEMMED = f"""vocabulary AS (
+  SELECT DISTINCT unnest(list_concat(tr, tp)) AS t FROM ki_tok),
+{stem_ctes('vocabulary')},
+ki_words AS (
+  SELECT cohort, row_id, k, side, list(stem ORDER BY place) AS words
+  FROM (SELECT cohort, row_id, k, 'r' AS side, unnest(tr) AS t,
+          unnest(generate_series(1, len(tr))) AS place FROM ki_tok
+        UNION ALL SELECT cohort, row_id, k, 'p', unnest(tp),
+          unnest(generate_series(1, len(tp))) FROM ki_tok)
+  JOIN stems USING (t) GROUP BY ALL),
+ki_stem AS (
+  SELECT k.* REPLACE (coalesce(r.words, []) AS tr, coalesce(p.words, []) AS tp)
+  FROM ki_tok k
+  LEFT JOIN ki_words r ON r.side = 'r' AND r.cohort = k.cohort AND r.row_id = k.row_id AND r.k = k.k
+  LEFT JOIN ki_words p ON p.side = 'p' AND p.cohort = k.cohort AND p.row_id = k.row_id AND p.k = k.k),
+ki_lcs AS (SELECT *, {_lcs_sql('tr', 'tp')} AS lcs FROM ki_stem),"""
+_EV_STEMMED = "WITH " + EVAL_CTE.replace(
+    f"ki_lcs AS (SELECT *, {_lcs_sql('tr', 'tp')} AS lcs FROM ki_tok),", _STEMMED)
+_COHORT_MEANS = """
+SELECT cohort, k, avg(rougeL) AS rougeL, avg(semantic_cosine) AS semantic_cosine,
+  avg(good_refusal) AS good_refusal, avg(hallucination_rate) AS hallucination_rate
+FROM per_query GROUP BY cohort, k ORDER BY cohort, k"""
+
 ORACLES.update({
+    "rouge_l": f"{_EV_STEMMED} SELECT row_id, CAST(k AS INTEGER) AS k, rougeL FROM ki_rouge",
+    "metrics_by_cohort_stemmed": _EV_STEMMED + _COHORT_MEANS,
     "cohort_alias": f"{_EV} SELECT sheet, cohort FROM resolved",
     "eval_unpivot": f"{_EV} SELECT sheet, row_id, query, expected_company, gold, cohort, "
                     "CAST(k AS INTEGER) AS k, pred FROM elong",
@@ -502,10 +529,7 @@ ORACLES.update({
     "semantic_cosine": f"{_EV} SELECT row_id, CAST(k AS INTEGER) AS k, semantic_cosine FROM ki_scored",
     "score_outkb": f"{_EV} SELECT * FROM per_query WHERE cohort = 'Out of KB'",
     "eval_union": f"{_EV} SELECT * FROM per_query",
-    "metrics_by_cohort": f"""{_EV}
-SELECT cohort, k, avg(rougeL) AS rougeL, avg(semantic_cosine) AS semantic_cosine,
-  avg(good_refusal) AS good_refusal, avg(hallucination_rate) AS hallucination_rate
-FROM per_query GROUP BY cohort, k ORDER BY cohort, k""",
+    "metrics_by_cohort": _EV + _COHORT_MEANS,
 })
 
 
