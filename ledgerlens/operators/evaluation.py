@@ -20,9 +20,10 @@ from pyspark.sql import functions as F
 from ..constants import (ALIASES_INFERRED, ALIASES_KNOWN, ALIASES_OUT_OF_KB, COHORT_INFERRED,
                          COHORT_KNOWN, COHORT_OUT_OF_KB, K_VALUES, METRIC_COLUMNS)
 from ..functions.embed import DEFAULT_DIM, hashing_embed
-from ..functions.rouge import pair_scores_col
+from ..functions.rouge import pair_scores_col, rouge_l_col
 from ..functions.text import clean, looks_like_refusal, norm_label
 from ..session import cut_lineage
+from ..sources.embeddings import EmbeddingStore, text_hash
 
 ALIASES = [(COHORT_KNOWN, ALIASES_KNOWN), (COHORT_INFERRED, ALIASES_INFERRED),
            (COHORT_OUT_OF_KB, ALIASES_OUT_OF_KB)]
@@ -81,23 +82,33 @@ def dot(a: Column, b: Column) -> Column:
 
 
 def with_text_cosine(df: DataFrame, a: str, b: str, out: str,
-                     embed: Callable = hashing_embed) -> DataFrame:
+                     embed: Callable = hashing_embed,
+                     store: EmbeddingStore | None = None) -> DataFrame:
     """F8 with any embedder: cosine of the unit vectors of two text columns (a null
-    text counts as empty). Each distinct text is embedded once."""
-    pairs = df.withColumn("_a", F.coalesce(a, F.lit(""))).withColumn("_b", F.coalesce(b, F.lit("")))
-    texts = pairs.select(F.col("_a").alias("_t")).union(pairs.select("_b")).distinct()
-    vectors = cut_lineage(embed(texts, "_t", "_e"))
-    both = (pairs.join(vectors.select(F.col("_t").alias("_a"), F.col("_e").alias("_ea")), "_a")
-            .join(vectors.select(F.col("_t").alias("_b"), F.col("_e").alias("_eb")), "_b"))
+    text counts as empty). Each distinct text is embedded once, and with a
+    ``store`` only if no earlier run has embedded it. Texts are joined by hash."""
+    pairs = df.withColumn("_a", text_hash(F.col(a))).withColumn("_b", text_hash(F.col(b)))
+    texts = df.select(F.coalesce(a, F.lit("")).alias("_t")).union(
+        df.select(F.coalesce(b, F.lit("")))).distinct()
+    if store is None:
+        vectors = cut_lineage(embed(texts, "_t", "_e").select(
+            text_hash(F.col("_t")).alias("_h"), "_e"))
+    else:
+        vectors = store.vectors(cut_lineage(texts), "_t", embed).toDF("_h", "_e")
+    both = (pairs.join(vectors.select(F.col("_h").alias("_a"), F.col("_e").alias("_ea")), "_a")
+            .join(vectors.select(F.col("_h").alias("_b"), F.col("_e").alias("_eb")), "_b"))
     return both.select(*df.columns, F.round(dot(F.col("_ea"), F.col("_eb")), 9).alias(out))
 
 
 def score_known_inferred(df: DataFrame, cohort: str | None = None,
-                         stem: bool = True, dim: int = DEFAULT_DIM) -> DataFrame:
+                         stem: bool = True, dim: int = DEFAULT_DIM,
+                         embed: Callable | None = None,
+                         store: EmbeddingStore | None = None) -> DataFrame:
     """F9 on unpivoted rows: ROUGE-L and cosine; reliability metrics null.
     The cohort label comes from ``cohort`` or else the ``cohort`` column.
-    With the default hashing embedder both scores come from one Arrow pass
-    (``pair_scores_col``); ``with_text_cosine`` is the general route."""
+    Without ``embed`` the cosine is that of the hashing embedder and both scores come
+    from one Arrow pass (``pair_scores_col``); with it, from ``with_text_cosine``, over
+    ``store`` if given."""
     gold, pred = clean("gold"), clean("pred")
     out = df.select(
         (F.lit(cohort) if cohort else F.col("cohort")).alias("cohort"),
@@ -106,8 +117,14 @@ def score_known_inferred(df: DataFrame, cohort: str | None = None,
         clean(_text(df, "expected_company")).alias("expected_company"),
         gold.alias("gold"), pred.alias("pred"))
     empty = (F.col("gold") == "") | (F.col("pred") == "")
-    scored = out.withColumn("_s", F.when(~empty, pair_scores_col(F.col("pred"), F.col("gold"),
-                                                                 stem, dim)))
+    if embed is None:
+        scored = out.withColumn("_s", F.when(~empty, pair_scores_col(
+            F.col("pred"), F.col("gold"), stem, dim)))
+    else:
+        both = with_text_cosine(out, "pred", "gold", "_c", embed, store)
+        scored = both.withColumn("_s", F.when(~empty, F.struct(
+            rouge_l_col(F.col("pred"), F.col("gold"), stem).alias("rougeL"),
+            F.col("_c").alias("cosine"))))
     return scored.select(
         F.coalesce(F.col("_s.rougeL"), F.lit(0.0)).alias("rougeL"),
         F.coalesce(F.col("_s.cosine"), F.lit(0.0)).alias("semantic_cosine"),
@@ -141,8 +158,10 @@ def union_cohorts(frames: list[DataFrame]) -> DataFrame:
     return out.select(*PER_QUERY_COLUMNS)
 
 
-def per_query_metrics(sheets: DataFrame, stem: bool = True) -> DataFrame:
-    """S3 → S4 → U2 → F9/F10 → U1: the per-query metrics frame."""
+def per_query_metrics(sheets: DataFrame, stem: bool = True, embed: Callable | None = None,
+                      store: EmbeddingStore | None = None) -> DataFrame:
+    """S3 → S4 → U2 → F9/F10 → U1: the per-query metrics frame; ``embed`` and
+    ``store`` as in ``score_known_inferred``."""
     # the (sheet, cohort) map feeds the guard and the join: written once
     resolved = cut_lineage(resolve_sheets(sheets))
     require_sheets(sheets, resolved)
@@ -151,7 +170,7 @@ def per_query_metrics(sheets: DataFrame, stem: bool = True) -> DataFrame:
     # Known and Inferred share one scoring pass (same metrics)
     frames = [
         score_known_inferred(long.where(F.col("cohort").isin(COHORT_KNOWN, COHORT_INFERRED)),
-                             stem=stem),
+                             stem=stem, embed=embed, store=store),
         score_out_of_kb(long.where(F.col("cohort") == COHORT_OUT_OF_KB)),
     ]
     return union_cohorts(frames)

@@ -518,6 +518,7 @@ SELECT cohort, k, avg(rougeL) AS rougeL, avg(semantic_cosine) AS semantic_cosine
 FROM per_query GROUP BY cohort, k ORDER BY cohort, k"""
 
 ORACLES.update({
+    "eval_embedding_store": f"{_EV} SELECT * FROM per_query",
     "rouge_l": f"{_EV_STEMMED} SELECT row_id, CAST(k AS INTEGER) AS k, rougeL FROM ki_rouge",
     "metrics_by_cohort_stemmed": _EV_STEMMED + _COHORT_MEANS,
     "cohort_alias": f"{_EV} SELECT sheet, cohort FROM resolved",

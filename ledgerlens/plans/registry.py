@@ -98,6 +98,7 @@ QUERIES.update({
 
 
 # ---- retrieval (J2, W1, W4, A10, P2/P3, Q1, Q7) -----------------------------
+from ..functions.embed import hashing_embed  # noqa: E402
 from ..operators import knn as knn_op  # noqa: E402
 from ..operators import render, retrieval  # noqa: E402
 from ..sources.tables import Tables  # noqa: E402
@@ -345,3 +346,21 @@ def _knn_approx(spark, sf_dir):
 
 
 QUERIES["knn_approx"] = _knn_approx
+
+
+def _eval_with_store(spark, sf_dir):
+    """Q4 with an embedder and its store: the report of a second run, for which the
+    first has stored the vector of every text."""
+    from ..sources.embeddings import EmbeddingStore
+    store = EmbeddingStore(spark, scratch_path(spark, "vectors"), idx.HASHING)
+    sheets = standins.eval_sheets(spark, sf_dir)
+    first = ev.per_query_metrics(sheets, stem=False, embed=hashing_embed, store=store)
+    first.write.format("noop").mode("overwrite").save()
+
+    def refuse(*args):
+        raise AssertionError("the store lacks a text of the first run")
+
+    return ev.per_query_metrics(sheets, stem=False, embed=refuse, store=store)
+
+
+QUERIES["eval_embedding_store"] = _eval_with_store

@@ -53,6 +53,12 @@ class Folder:
         finally:
             stream.close()
 
+    def names(self) -> list[str]:
+        return [s.getPath().getName() for s in self.fs.listStatus(self.at)]
+
+    def remove(self, name: str) -> None:
+        self.fs.delete(self.file(name), True)
+
     def commit(self, name: str, text: str) -> bool:
         """Writes ``name`` whole, by a rename; False if there is one already."""
         temporary = self.file(f".{name}-{uuid.uuid4().hex}")
