@@ -149,6 +149,26 @@ def _series(df: DataFrame, kind: str, keys: list[str]) -> DataFrame:
     return long.where(shown).select(*keys, "_s.series", "_s.value")
 
 
+def half_year_answers(questions: DataFrame, companies: DataFrame) -> DataFrame:
+    """Q3 by question: ``question_id, company, show_2024, show_2025, n_companies, status,
+    message`` of every chart question, where (company, show_2024, show_2025) names its
+    chart in ``half_year_charts``. Companies are counted once per distinct name, not
+    per question."""
+    req = cut_lineage(chart_requests(questions, companies))
+    named = _company_matches(req, companies).groupBy("company").agg(F.count("*").alias("n"))
+    every = companies.agg(F.count("row_id").alias("all")).select("all")
+    counted = (req.join(named, "company", "left").join(F.broadcast(every), F.lit(True))
+               .withColumn("n_companies", F.when(F.col("company").isNull(), F.col("all"))
+                           .otherwise(F.coalesce("n", F.lit(0)))))
+    some = F.col("n_companies") > 0
+    return counted.select(
+        "question_id", "company", "show_2024", "show_2025",
+        F.col("n_companies").cast("long").alias("n_companies"),
+        F.when(some, F.lit("ok")).otherwise(F.lit("no_data")).alias("status"),
+        F.when(some, F.lit(CHART_OK_MESSAGE)).otherwise(F.lit(CHART_FAIL_MESSAGE))
+         .alias("message"))
+
+
 def half_year_charts(questions: DataFrame, companies: DataFrame) -> DataFrame:
     """Q3: half-year revenue of every matching company in table order (no
     top-n). One chart per distinct (company, years) spec; questions refer to

@@ -41,11 +41,12 @@ def apply_overrides(df: DataFrame, overrides: DataFrame,
                     fallback: str = "description") -> DataFrame:
     """``short_description`` = override for the key, else ``description``.
     Only when both columns exist. The override table is broadcast only
-    behind a row-count check; above it the join shuffles."""
+    behind a row-count check; above it the join shuffles. Of several overrides for a
+    key the least text counts."""
     if key not in df.columns or fallback not in df.columns:
         return df
     ov = overrides.select(F.col(key).alias("_ov_key"), F.col(text).alias("_ov_text"))
-    ov = bounded_broadcast(ov.dropDuplicates(["_ov_key"]))
+    ov = bounded_broadcast(ov.groupBy("_ov_key").agg(F.min("_ov_text").alias("_ov_text")))
     out = df.join(ov, df[key] == ov["_ov_key"], "left")
     return (out.withColumn(text, F.coalesce(F.col("_ov_text"), F.col(fallback)))
                .drop("_ov_key", "_ov_text"))

@@ -166,6 +166,12 @@ def per_query_metrics(sheets: DataFrame, stem: bool = True, embed: Callable | No
     resolved = cut_lineage(resolve_sheets(sheets))
     require_sheets(sheets, resolved)
     tagged = sheets.join(F.broadcast(resolved), "sheet")  # ≤ 3 rows
+    return metrics_of_cohorts(tagged, stem, embed, store)
+
+
+def metrics_of_cohorts(tagged: DataFrame, stem: bool = True, embed: Callable | None = None,
+                       store: EmbeddingStore | None = None) -> DataFrame:
+    """U2 → F9/F10 → U1 of rows that carry their ``cohort``."""
     long = unpivot_answers(tagged)
     # Known and Inferred share one scoring pass (same metrics)
     frames = [

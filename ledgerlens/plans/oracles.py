@@ -267,6 +267,16 @@ FROM bars b JOIN req q ON b.question_id = q.question_id WHERE q.show_2024
 UNION ALL
 SELECT b.question_id, b.rank, b.row_id, b.company_name, 'Revenue in 2025' AS series, b.rev_fy_2025 AS value
 FROM bars b JOIN req q ON b.question_id = q.question_id WHERE q.show_2025""",
+    "chart_half_year_answers": f"""{_Q_ALL},
+counted AS (
+  SELECT question_id, company, show_2024, show_2025,
+    (SELECT count(*) FROM companies c
+     WHERE req.company IS NULL OR contains(lower(c.company_name), lower(req.company))) AS n_companies
+  FROM req)
+SELECT *, CASE WHEN n_companies > 0 THEN 'ok' ELSE 'no_data' END AS status,
+  CASE WHEN n_companies > 0 THEN 'Here is the bar chart you requested 📊'
+       ELSE 'Sorry, I couldn’t generate a chart for that query.' END AS message
+FROM counted""",
     "chart_half_year": f"""{_Q_ALL},
 specs AS (SELECT DISTINCT company, show_2024, show_2025 FROM req),
 hrows AS (
@@ -519,6 +529,7 @@ FROM per_query GROUP BY cohort, k ORDER BY cohort, k"""
 
 ORACLES.update({
     "eval_embedding_store": f"{_EV} SELECT * FROM per_query",
+    "eval_workbook": f"{_EV} SELECT * FROM per_query",
     "rouge_l": f"{_EV_STEMMED} SELECT row_id, CAST(k AS INTEGER) AS k, rougeL FROM ki_rouge",
     "metrics_by_cohort_stemmed": _EV_STEMMED + _COHORT_MEANS,
     "cohort_alias": f"{_EV} SELECT sheet, cohort FROM resolved",
@@ -557,8 +568,8 @@ tci AS (
 _TR = f"WITH {TREND_CTE}"
 
 ORACLES.update({
-    "label_fix": f"{_EV} SELECT CASE WHEN cohort = 'Infered' THEN 'Inferred' ELSE cohort END AS cohort, "
-                 "row_id, k FROM per_query",
+    "label_fix": f"WITH {SHEETS_CTE} SELECT CASE WHEN sheet = 'Infered' THEN 'Inferred' ELSE sheet END "
+                 "AS cohort, row_id, unnest([1, 3, 5])::INTEGER AS k FROM sheets",
     "trend_stats": f"{_TR} SELECT metric, cohort, k, mean, std, n, ci95, mean - ci95 AS lo, "
                    "mean + ci95 AS hi FROM tci",
     "panel_order": f"""{_TR},

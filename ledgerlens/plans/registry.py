@@ -92,6 +92,8 @@ QUERIES.update({
     "distinct_companies": lambda s, d: entity.first_seen_names(standins.companies(s, d)),
     "chart_answer": _chart("answers"),
     "chart_series": _chart("series"),
+    "chart_half_year_answers": lambda s, d: charts.half_year_answers(
+        standins.questions(s, d), _companies(s, d)),
     "chart_half_year": lambda s, d: charts.half_year_charts(standins.questions(s, d),
                                                             _companies(s, d)),
 })
@@ -189,7 +191,9 @@ def _mlong(spark, sf_dir):
 
 
 QUERIES.update({
-    "label_fix": lambda s, d: trends.fix_labels(_per_query(False)(s, d)).select(
+    # the sheets' own names as cohorts, as they come before any is resolved
+    "label_fix": lambda s, d: trends.fix_labels(ev.unpivot_answers(
+        standins.eval_sheets(s, d).withColumnRenamed("sheet", "cohort"))).select(
         "cohort", "row_id", "k"),
     "trend_stats": lambda s, d: trends.trend_stats(_mlong(s, d)),
     "panel_order": lambda s, d: trends.panel_order(_mlong(s, d)),
@@ -364,3 +368,18 @@ def _eval_with_store(spark, sf_dir):
 
 
 QUERIES["eval_embedding_store"] = _eval_with_store
+
+
+def _eval_workbook(spark, sf_dir):
+    """Q4 from a workbook: cohorts from the sheet names alone, one scan of their sheets.
+    The workbook holds a sheet that belongs to no cohort."""
+    from ..sources import workbook
+    root = scratch_path(spark, "workbook")
+    sheets = standins.eval_sheets(spark, sf_dir)
+    notes = sheets.withColumn("sheet", F.lit("Notes"))
+    workbook.write_workbook(notes.unionByName(sheets), root,
+                            ["Notes", "Known", "Infered", "Out-of-KB"])
+    return ev.metrics_of_cohorts(workbook.read_cohorts(spark, root), stem=False)
+
+
+QUERIES["eval_workbook"] = _eval_workbook
