@@ -3,9 +3,11 @@
 A workbook is a folder with one Parquet file set per sheet and a listing, written last,
 that names the sheets in their order with their files. As a data source (format
 ``workbook``) every file of a sheet is a partition of its own, so a sheet that holds
-most rows is read by many tasks; filters on ``sheet`` (equal, in) are pushed to the
-listing, and the files of other sheets are never opened; only the columns
-asked for by the schema are read, in Arrow batches.
+most rows is read by many tasks; of other sheets than those asked for (``sheets=``) no
+file is opened; only the columns of the schema are read, in Arrow batches. The choice of
+sheets is an argument and not a pushed filter, because Spark 4.1 keeps the partitions of
+the first filter for later queries on the same frame (found by a test that
+still stands).
 
 Which sheet belongs to which cohort, and whether there is any at all, follows from the
 names alone: ``resolve_names`` and ``sheet_names`` read the listing and no rows. Of
@@ -28,8 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.datasource import (DataSource, DataSourceReader, EqualTo, Filter, In,
-                                    InputPartition)
+from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from ..constants import (ALIASES_INFERRED, ALIASES_KNOWN, ALIASES_OUT_OF_KB, COHORT_INFERRED,
                          COHORT_KNOWN, COHORT_OUT_OF_KB)
@@ -37,7 +38,6 @@ from .index import Folder
 from .sheets import SHEET_SCHEMA
 
 LISTING = "sheets.json"
-PUSHDOWN = "spark.sql.python.filterPushdown.enabled"
 
 
 def write_workbook(df: DataFrame, root: str, order: list[str]) -> None:
@@ -98,25 +98,13 @@ class SheetFile(InputPartition):
 
 
 class WorkbookReader(DataSourceReader):
+    """``listing``: the sheets to be read, with their files."""
+
     def __init__(self, root: str, listing: list[dict], schema: T.StructType):
         self.root, self.listing, self.schema = root, listing, schema
-        self.wanted: set[str] | None = None
-
-    def pushFilters(self, filters: list[Filter]) -> Iterator[Filter]:
-        for f in filters:
-            if isinstance(f, EqualTo) and f.attribute == ("sheet",):
-                self._keep({f.value})
-            elif isinstance(f, In) and f.attribute == ("sheet",):
-                self._keep(set(f.value))
-            else:
-                yield f                                # Spark applies the others
-
-    def _keep(self, names: set) -> None:
-        self.wanted = names if self.wanted is None else self.wanted & names
 
     def partitions(self) -> list[SheetFile]:
         return [SheetFile(entry["sheet"], f"{self.root}/{file}") for entry in self.listing
-                if self.wanted is None or entry["sheet"] in self.wanted
                 for file in entry["files"]] or [SheetFile("", "")]
 
     def read(self, partition: SheetFile) -> Iterator[pa.RecordBatch]:
@@ -163,14 +151,15 @@ class WorkbookSource(DataSource):
         return WorkbookReader(self.options["root"], json.loads(self.options["listing"]), schema)
 
 
-def read_workbook(spark: SparkSession, root: str,
-                  schema: T.StructType = SHEET_SCHEMA) -> DataFrame:
-    """All sheets, with a column ``sheet``."""
+def read_workbook(spark: SparkSession, root: str, schema: T.StructType = SHEET_SCHEMA,
+                  sheets: list[str] | None = None) -> DataFrame:
+    """All sheets, or those named, with a column ``sheet``."""
     spark.dataSource.register(WorkbookSource)
-    spark.conf.set(PUSHDOWN, "true")
+    listing = [entry for entry in _listing(spark, root)
+               if sheets is None or entry["sheet"] in sheets]
     full = T.StructType([T.StructField("sheet", T.StringType()), *schema.fields])
     return (spark.read.format("workbook").schema(full).option("root", root.rstrip("/"))
-            .option("listing", json.dumps(_listing(spark, root))).load())
+            .option("listing", json.dumps(listing)).load())
 
 
 def read_cohorts(spark: SparkSession, root: str) -> DataFrame:
@@ -178,5 +167,5 @@ def read_cohorts(spark: SparkSession, root: str) -> DataFrame:
     sheets are not opened."""
     found = resolve_names(sheet_names(spark, root))
     cohort = F.create_map(*[x for c, s in found.items() for x in (F.lit(s), F.lit(c))])
-    rows = read_workbook(spark, root).where(F.col("sheet").isin(list(found.values())))
+    rows = read_workbook(spark, root, sheets=list(found.values()))
     return rows.withColumn("cohort", cohort[F.col("sheet")])
