@@ -572,6 +572,8 @@ ORACLES.update({
                  "AS cohort, row_id, unnest([1, 3, 5])::INTEGER AS k FROM sheets",
     "trend_stats": f"{_TR} SELECT metric, cohort, k, mean, std, n, ci95, mean - ci95 AS lo, "
                    "mean + ci95 AS hi FROM tci",
+    "trend_stats_merged": f"{_TR} SELECT metric, cohort, k, mean, std, n, ci95, mean - ci95 AS lo, "
+                          "mean + ci95 AS hi FROM tci",
     "panel_order": f"""{_TR},
 base AS (SELECT metric, cohort, avg(CASE WHEN k = 1 THEN value END) AS baseline
          FROM mlong GROUP BY metric, cohort)
@@ -605,6 +607,18 @@ wide AS (
 SELECT metric, q_lo, q_hi,
   greatest(CAST(0.0 AS DOUBLE), q_lo - CAST(0.08 AS DOUBLE) * CASE WHEN q_hi > q_lo THEN q_hi - q_lo ELSE 1.0 END) AS y_min,
   least(CAST(1.0 AS DOUBLE), q_hi + CAST(0.08 AS DOUBLE) * CASE WHEN q_hi > q_lo THEN q_hi - q_lo ELSE 1.0 END) AS y_max
+FROM wide""",
+    # up to 4096 values a sketch holds them all: the least value whose rank reaches q * n
+    "axis_range_sketch": f"""{_TR},
+placed AS (
+  SELECT metric, value, row_number() OVER (PARTITION BY metric ORDER BY value) AS rnk,
+    count(*) OVER (PARTITION BY metric) AS n FROM mlong),
+wide AS (
+  SELECT metric, min(value) FILTER (rnk >= n * 0.02::DOUBLE) AS q_lo,
+    min(value) FILTER (rnk >= n * 0.98::DOUBLE) AS q_hi FROM placed GROUP BY metric)
+SELECT metric, q_lo, q_hi,
+  greatest(0.0::DOUBLE, q_lo - 0.08::DOUBLE * CASE WHEN q_hi > q_lo THEN q_hi - q_lo ELSE 1 END) AS y_min,
+  least(1.0::DOUBLE, q_hi + 0.08::DOUBLE * CASE WHEN q_hi > q_lo THEN q_hi - q_lo ELSE 1 END) AS y_max
 FROM wide""",
     "delta_k": f"""{_TR},
 d AS (

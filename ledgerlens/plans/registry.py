@@ -383,3 +383,20 @@ def _eval_workbook(spark, sf_dir):
 
 
 QUERIES["eval_workbook"] = _eval_workbook
+
+
+def _summaries(report):
+    """Two half deliveries, the second delivered twice, reported from their summaries."""
+    def run(spark, sf_dir):
+        from ..operators import summaries
+        from ..session import cut_lineage
+        long = cut_lineage(_mlong(spark, sf_dir))
+        store = summaries.SummaryStore(spark, scratch_path(spark, "summaries"))
+        for half in (0, 1, 1):
+            store.put(long.where(F.col("row_id") % 2 == half), f"half-{half}")
+        return getattr(store, report)()
+    return run
+
+
+QUERIES.update({"trend_stats_merged": _summaries("stats"),
+                "axis_range_sketch": _summaries("axis_range")})
