@@ -240,6 +240,7 @@ ORACLES.update({
     "directory_sorted": f"WITH {DIRECTORY_CTE} SELECT * FROM directory "
                         "ORDER BY company_name NULLS LAST, company_code NULLS LAST, row_id",
     "directory_search": f"WITH {DIRECTORY_CTE} SELECT * FROM dsearch",
+    "directory_search_indexed": f"WITH {DIRECTORY_CTE} SELECT * FROM dsearch",
     "directory_count": f"WITH {DIRECTORY_CTE} SELECT count(*) AS n_records FROM dsearch",
     "directory_cards": f"""WITH {DIRECTORY_CTE}
 SELECT row_id,

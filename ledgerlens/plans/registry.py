@@ -398,5 +398,14 @@ def _summaries(report):
     return run
 
 
+def _directory_search_indexed(spark, sf_dir):
+    """P6 through the trigram index of the whole directory."""
+    from ..operators import grams
+    path = scratch_path(spark, "grams")
+    grams.build_gram_index(_directory(spark, sf_dir), path)
+    return grams.search_index(spark, path, DIRECTORY_SEARCH)
+
+
+QUERIES["directory_search_indexed"] = _directory_search_indexed
 QUERIES.update({"trend_stats_merged": _summaries("stats"),
                 "axis_range_sketch": _summaries("axis_range")})

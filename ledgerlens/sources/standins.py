@@ -20,7 +20,7 @@ from pyspark.sql.window import Window
 
 from ..operators.financials import (COMPANY_COLUMNS, finish_financials, fiscal_periods,
                                     period_aggregates)
-from ..session import bounded_broadcast, shuffle_partitions
+from ..session import shuffle_partitions
 from .tables import Tables
 
 # heading label → data year on the synthetic facts (1995–2001)
@@ -46,8 +46,9 @@ REFUSAL_PHRASES = [
 
 def companies(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = Tables(spark, sf_dir)
-    nation = bounded_broadcast(t.nation.select("n_nationkey", "n_name", "n_regionkey"))
-    region = bounded_broadcast(t.region.select("r_regionkey", "r_name"))
+    # read from files, so Spark knows their size and broadcasts them only below its threshold
+    nation = t.nation.select("n_nationkey", "n_name", "n_regionkey")
+    region = t.region.select("r_regionkey", "r_name")
     dim = (t.supplier
            .join(nation, F.col("s_nationkey") == F.col("n_nationkey"), "left")
            .join(region, F.col("n_regionkey") == F.col("r_regionkey"), "left"))
