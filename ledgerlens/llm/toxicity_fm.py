@@ -8,9 +8,13 @@ both. All pairs of a text cost one pass over its terms, as half of (square of
 the sum minus sum of the squares) of the factors.
 
 It is trained by Adam on the log-likelihood over a bounded sample of labelled
-rows. Terms in fewer than ``MIN_TEXTS`` of its texts, and those whose share of texts
-differs between the labels by less than ``MIN_APART`` standard errors, keep zero
-weight: they would only be learnt by heart.
+rows. Terms in fewer than ``MIN_TEXTS`` of its texts keep zero weight, and so do those
+that show neither an effect of their own (share of texts that differs between the
+labels by ``MIN_APART`` standard errors) nor one together with another term: they would
+only be learnt by heart. Effects of pairs are looked for among the ``PAIR_TERMS`` most
+frequent terms: the toxic share with both, less that with either alone, plus that with
+neither, is 0 where two terms merely add up; pairs whose value is ``PAIR_APART`` standard
+errors off keep both terms, whatever each does alone.
 
 Defined cases: a null or empty text has no terms and gets the bias alone; rows
 that repeat are scored each; all terms of a long text count; without labelled rows
@@ -36,6 +40,8 @@ BUCKETS = 1 << 18
 FACTORS = 4
 #: Documents in the training sample; texts of it that a term must occur in; standard errors.
 SAMPLE_DOCS, MIN_TEXTS, MIN_APART = 12_000, 3, 4.0
+#: For pairs: most frequent terms looked at, texts in each of the four cases, standard errors.
+PAIR_TERMS, PAIR_TEXTS, PAIR_APART = 1000, 20, 8.0
 EPOCHS, RATE, RIDGE, FACTOR_RIDGE = 150, 0.05, 2e-5, 1e-3
 CACHE_PIECES = 400_000
 SIGNS = bytes(b for b in range(33, 127) if not chr(b).isalnum())
@@ -97,6 +103,33 @@ def _raw(terms, n, bias, weight, factor):
     return bias + _sum(weight[terms].astype(np.float64), n) + pairs, summed, own
 
 
+def paired_terms(sets: list[np.ndarray], y: np.ndarray, held: np.ndarray) -> np.ndarray:
+    """Terms of the pairs that count for other than the sum of both; ``held`` has the
+    number of texts of each term."""
+    common = np.argsort(-held, kind="stable")[:PAIR_TERMS]
+    common = common[held[common] >= 2 * PAIR_TEXTS]
+    place = np.full(BUCKETS, -1, np.int64)
+    place[common] = np.arange(len(common))
+    has = np.zeros((len(sets), len(common)), np.float32)
+    for row, own in zip(has, sets):
+        at = place[own]
+        row[at[at >= 0]] = 1
+
+    def cases(rows: np.ndarray) -> np.ndarray:
+        """Texts with both, with the first only, the second only, neither."""
+        both, one = rows.T @ rows, rows.sum(axis=0)
+        return np.stack([both, one[:, None] - both, one[None] - both,
+                         len(rows) - one[:, None] - one[None] + both])
+
+    texts, toxic = cases(has), cases(has[y == 1])
+    share = (toxic + 0.5) / (texts + 1)
+    off = share[0] - share[1] - share[2] + share[3]
+    error = np.sqrt((share * (1 - share) / (texts + 1)).sum(axis=0))
+    kept = (np.abs(off) >= PAIR_APART * error) & (texts.min(axis=0) >= PAIR_TEXTS)
+    np.fill_diagonal(kept, False)
+    return common[kept.any(axis=1)]
+
+
 def fit(sets: list[np.ndarray], y: np.ndarray) -> Machine:
     used = np.zeros(BUCKETS, bool)
     if len(y) == 0 or y.min() == y.max():
@@ -112,6 +145,7 @@ def fit(sets: list[np.ndarray], y: np.ndarray) -> Machine:
     spread = np.sqrt(np.maximum(share * (1 - share), 1e-9) * (1 / among + 1 / (len(y) - among)))
     apart = np.abs(with_label / among - (held - with_label) / (len(y) - among)) / spread
     used[(held >= MIN_TEXTS) & (apart >= MIN_APART)] = True
+    used[paired_terms(sets, y, held)] = True
     number = np.cumsum(used) - 1
     kept = [number[s[used[s]]] for s in sets]
     n = np.fromiter(map(len, kept), np.int64, len(kept))
