@@ -21,7 +21,8 @@ of blocks with chunks is an equi-join on the chunk.
 Defined cases: vectors that are null or hold a null or non-finite component take no
 part; an id is a key: of rows that repeat it, the least vector counts; rows without
 an id take no part; vectors are compared only with vectors of their own length;
-an empty table gives no rows; zero-length vectors score 0.
+an empty table gives no rows; zero-length vectors score 0; components or scores that do
+not fit a long end the query with an error.
 """
 
 from __future__ import annotations
@@ -34,6 +35,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import cut_lineage
+from . import vectors
+from .vectors import exact
 
 #: Rows of a chunk of candidates, of a block of queries, queries pruned together.
 CHUNK_ROWS, BLOCK_ROWS, TOGETHER = 4096, 2048, 64
@@ -44,10 +47,7 @@ LEVELS = (4, 16)
 def whole_numbers(vector: Column, scale: float = 64.0) -> Column:
     """``floor(scale * x)`` of every component, as longs; null if the vector
     cannot take part."""
-    finite = F.forall(vector, lambda x: x.isNotNull() & ~F.isnan(x)
-                      & (F.abs(x) != F.lit(float("inf"))))
-    return F.when(finite, F.transform(
-        vector, lambda x: F.floor(F.lit(scale) * x.cast("double")).cast("long")))
+    return vectors.whole_numbers(vector, scale)
 
 
 def segment_statistics(v: np.ndarray, segments: int) -> np.ndarray:
@@ -66,9 +66,7 @@ def search(q_ids: np.ndarray, q: np.ndarray, c_ids: np.ndarray, c: np.ndarray,
     query's own id excluded, and how many products were computed."""
     order = np.argsort(c_ids)
     c_ids, c = c_ids[order], c[order]
-    top = max(np.abs(q).max(initial=0), np.abs(c).max(initial=0))
-    exact = np.float64 if top * top * max(q.shape[1], 1) < 2 ** 52 else np.int64
-    qx, cx, work = q.astype(exact), c.astype(exact), 0
+    (qx, cx), work = exact(q, c), 0
     qf, cf = q.astype(np.float64), c.astype(np.float64)
     usable = q.shape[1] > 0
     levels = [(segment_statistics(qf, s), segment_statistics(cf, s)) for s in LEVELS] \
@@ -89,7 +87,10 @@ def search(q_ids: np.ndarray, q: np.ndarray, c_ids: np.ndarray, c: np.ndarray,
                 if level:
                     bound = qs[rows] @ cs[left].T
                 left = left[(bound >= (floor - slack)[:, None]).any(axis=0)]
-        scores = (qx[rows] @ cx[left].T).astype(np.int64)
+        scores = qx[rows] @ cx[left].T
+        if scores.dtype == object and np.abs(scores).max(initial=0) >= 1 << 61:
+            raise OverflowError("a score does not fit a long")
+        scores = scores.astype(np.int64)
         work += scores.size
         own = ids[:, None] == c_ids[left][None, :]
         low = -(1 << 62)
