@@ -70,20 +70,24 @@ def op5_toxicity_fm(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def page_outcomes(pages: DataFrame, labels: DataFrame) -> DataFrame:
     """``host, bad`` of the labelled pages. A page's path names its document
-    (``/en/123``); it is bad if that is labelled low quality or toxic."""
+    (``/en/123``); it is bad if that is labelled low quality or toxic (one known label is
+    enough)."""
     number = F.regexp_extract(url_filter.path_of(F.col("url")), r"^/[a-z]+/(\d{1,18})", 1)
     named = (pages.select(url_filter.host_of(F.col("url")).alias("host"), number.alias("number"))
              .where("number != ''").withColumn("doc_id", F.col("number").cast("long")))
-    judged = (labels.where("doc_id is not null and quality is not null and toxic is not null")
-              .groupBy("doc_id").agg(F.max(((F.col("quality") == 0) | (F.col("toxic") == 1))
-                                           .cast("int")).alias("bad")))
+    low = F.coalesce(F.col("quality") == 0, F.lit(False))
+    toxic = F.coalesce(F.col("toxic") == 1, F.lit(False))
+    judged = (labels.where("doc_id is not null and (quality is not null or toxic is not null)")
+              .groupBy("doc_id").agg(F.max((low | toxic).cast("int")).alias("bad")))
     return named.join(judged, "doc_id").select("host", "bad")
 
 
 def op6_url_reputation(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = read_table(spark, sf_dir, "pages").select("page_id", "url")
     outcomes = page_outcomes(pages, read_table(spark, sf_dir, "labels"))
-    return url_filter.judge(pages, outcomes).select("page_id", "host", "path", "rule", "verdict")
+    return url_filter.judge(pages, outcomes).select(
+        "page_id", "host", "path", "rule", "verdict",
+        F.round("bad_share", 9).alias("bad_share"), F.round("bound", 9).alias("bound"))
 
 
 def op7_quality_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -184,8 +188,10 @@ ORACLES: dict[str, str] = {
                  regexp_extract(coalesce(url, ''), '(?s)^.*?://[^/?#]*([^?#]*)', 1) AS path
           FROM pages),
         label AS (
-          SELECT doc_id, max((quality = 0 OR toxic = 1)::INT) AS bad FROM labels
-          WHERE doc_id IS NOT NULL AND quality IS NOT NULL AND toxic IS NOT NULL GROUP BY doc_id),
+          SELECT doc_id, max((coalesce(quality = 0, false) OR coalesce(toxic = 1, false))::INT)
+                   AS bad
+          FROM labels WHERE doc_id IS NOT NULL AND (quality IS NOT NULL OR toxic IS NOT NULL)
+          GROUP BY doc_id),
         seen AS (
           SELECT host, count(*) AS n, sum(bad) AS bad
           FROM cut JOIN label ON doc_id = try_cast(
@@ -234,7 +240,8 @@ ORACLES: dict[str, str] = {
                                   AND starts_with(path, rp)
           GROUP BY ALL)
         SELECT page_id, host, path, rule,
-               coalesce(says, CASE WHEN p - 1.645 * sqrt(p * (1 - p) / (mh + n + 1)) > 0.5
-                                   THEN 'block' ELSE 'allow' END) AS verdict
-        FROM ruled JOIN h USING (host)""",
+               coalesce(says, CASE WHEN bound > 0.5 THEN 'block' ELSE 'allow' END) AS verdict,
+               round(p, 9) AS bad_share, round(bound, 9) AS bound
+        FROM ruled JOIN (SELECT *, p - 1.645 * sqrt(p * (1 - p) / (mh + n + 1)) AS bound FROM h)
+          USING (host)""",
 } | vector_queries.ORACLES

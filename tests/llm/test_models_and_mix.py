@@ -187,6 +187,49 @@ def test_op2_ranks_follow_its_positions(spark):
     assert [at for _, at in passes] == sorted(at for _, at in passes)
 
 
+def test_machine_learns_pairs_without_effects_of_their_own():
+    # toxic with both terms or with neither, so that each term alone says nothing
+    rng = np.random.default_rng(8)
+    terms = rng.random((1600, 2)) < 0.5
+    y = (terms[:, 0] == terms[:, 1]).astype(float)
+    filler = [rng.choice(np.arange(100, 400), 12, replace=False) for _ in y]
+    sets = [np.unique(np.concatenate([np.flatnonzero(t) + 7, f])) for t, f in zip(terms, filler)]
+    machine = toxicity_fm.fit(sets[:1200], y[:1200])
+    assert machine.used[[7, 8]].all() and machine.used.sum() < 20
+    predicted = machine.scores([s.tolist() for s in sets[1200:]]) >= 0.5
+    assert (predicted == (y[1200:] == 1)).mean() > 0.97
+    # terms that merely add up are no pair
+    plain = (terms[:, 0] | (rng.random(1600) < 0.1)).astype(float)
+    held = np.bincount(np.concatenate(sets), minlength=toxicity_fm.BUCKETS)
+    assert len(toxicity_fm.paired_terms(sets, plain, held)) == 0
+
+
+def test_reputation_shrinks_and_blocks(spark):
+    hosts = [("a.bad.com", 1, 30), ("b.bad.com", 1, 25), ("new.bad.com", 0, 0),
+             ("x.good.com", 0, 40), ("y.good.org", 0, 35), ("one.good.org", 1, 1)]
+    outcomes = spark.createDataFrame([(h, bad) for h, bad, n in hosts for _ in range(n)],
+                                     "host string, bad int")
+    pages = spark.createDataFrame([(i, f"http://{h}/p") for i, (h, _, _) in enumerate(hosts)],
+                                  "page_id long, url string")
+    rows = {r.host: r for r in url_filter.judge(pages, outcomes, rules=()).collect()}
+    shares = {h: r.bad_share for h, r in rows.items()}
+    # a host without pages takes after its domain, one bad page is no proof
+    assert 0.5 < shares["new.bad.com"] < shares["b.bad.com"] < shares["a.bad.com"] < 1
+    assert shares["x.good.com"] < 0.2 and shares["y.good.org"] < shares["one.good.org"] < 0.9
+    assert all(r.bound < r.bad_share for r in rows.values())
+    assert {h for h, r in rows.items() if r.verdict == "block"} >= {"a.bad.com", "b.bad.com"}
+    assert rows["x.good.com"].verdict == rows["y.good.org"].verdict == "allow"
+
+
+def test_one_known_label_is_an_outcome(spark):
+    pages = spark.createDataFrame([(i, f"http://h/en/{i}") for i in range(4)],
+                                  "page_id long, url string")
+    labels = spark.createDataFrame([(0, 0, None), (1, None, 0), (2, None, None), (3, 1, 1)],
+                                   "doc_id long, quality int, toxic int")
+    got = queries.page_outcomes(pages, labels).collect()
+    assert sorted(r.bad for r in got) == [0, 1, 1]
+
+
 def brute_rule(host, path):
     best = None
     for h, p, says in url_filter.RULES:
