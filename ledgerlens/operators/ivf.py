@@ -35,7 +35,7 @@ from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from ..session import bounded_broadcast, cut_lineage
-from .knn import _arrow_type, _block_products
+from .knn import _arrow_type, _block_products, knn
 
 # bound slack: scores are rounded to 9 decimals before ranking
 SLACK = 1e-7
@@ -145,6 +145,8 @@ def knn_ivf(queries: DataFrame, qid: str, qvec: str, corpus: DataFrame, did: str
                                T.StructField("rank", T.IntegerType())])
     if n_c == 0:
         return spark.createDataFrame([], out_schema)
+    if n_c == 1:                                       # nothing to cluster
+        return knn(queries, qid, qvec, corpus, did, dvec, k, n_corpus=1)
     n_cells = min(n_cells or min(MAX_CELLS, max(1, round(math.sqrt(n_c)))), n_c)
 
     # 1. cells: centres, membership, radius and size per cell

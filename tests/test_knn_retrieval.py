@@ -73,3 +73,10 @@ def test_ivf_knn_small_corpus_and_random_vectors(spark):
     for r in got:
         order = sorted(range(400), key=lambda j: (-s[r.qid, j], j))
         assert order[r.rank - 1] == r.did
+
+
+def test_ivf_of_one_document(spark):
+    from ledgerlens.operators import ivf
+    c, _ = _vecs(spark, 1, 4, 3, "did")
+    got = ivf.knn_ivf(c.select(F.col("did").alias("qid"), "v"), "qid", "v", c, "did", "v", 3)
+    assert [(r.qid, r.did, r.rank) for r in got.collect()] == [(0, 0, 1)]
