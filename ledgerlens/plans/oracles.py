@@ -705,3 +705,18 @@ FROM textq q LEFT JOIN ctx c ON q.question_id = c.question_id""",
 # exact cell search returns the brute-force rows
 ORACLES["knn_ivf"] = ORACLES["knn_dense"]
 ORACLES["cohort_summary_csv"] = ORACLES["metrics_by_cohort"]
+
+# every pattern against every name
+ORACLES["filter_company_patterns"] = f"""{_Q_ALL},
+named AS (
+  SELECT DISTINCT c.row_id, c.company_code, c.company_name
+  FROM companies c JOIN detected d ON c.company_name = d.company),
+wanted AS (
+  SELECT row_id AS pattern_id, CASE row_id % 4
+    WHEN 0 THEN '^supplier[#-]0*' || company_code || '$'
+    WHEN 1 THEN '(0' || company_code || '|1' || company_code || ')$'
+    WHEN 2 THEN replace(company_name, '#', '.')
+    ELSE regexp_replace(lpad(company_code, 4, '0'), '(.)', '[\\1]', 'g') || '$' END AS pattern
+  FROM named)
+SELECT w.pattern_id, c.row_id
+FROM wanted w JOIN companies c ON regexp_matches(c.company_name, w.pattern, 'i')"""

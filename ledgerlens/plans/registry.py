@@ -409,3 +409,27 @@ def _directory_search_indexed(spark, sf_dir):
 QUERIES["directory_search_indexed"] = _directory_search_indexed
 QUERIES.update({"trend_stats_merged": _summaries("stats"),
                 "axis_range_sketch": _summaries("axis_range")})
+
+
+def _filter_company_patterns(spark, sf_dir):
+    """P4 by regular expressions, all at once: a pattern for every company named in a
+    question, of one of four forms by its number. Two hold text that must occur, one a
+    choice of texts, and one nothing but classes."""
+    from ..operators import patterns
+    companies = _companies(spark, sf_dir)
+    found = entity.detect_company(standins.questions(spark, sf_dir)
+                                  .select("question_id", "question"), companies)
+    named = companies.join(found.select("company").distinct(),
+                           F.col("company_name") == F.col("company"), "left_semi")
+    code, form = F.col("company_code"), F.col("row_id") % 4
+    wanted = named.select(F.col("row_id").alias("pattern_id"),
+        F.when(form == 0, F.concat(F.lit("^supplier[#-]0*"), code, F.lit("$")))
+         .when(form == 1, F.concat(F.lit("(0"), code, F.lit("|1"), code, F.lit(")$")))
+         .when(form == 2, F.regexp_replace("company_name", "#", "."))
+         .otherwise(F.concat(F.regexp_replace(F.lpad(code, 4, "0"), "(.)", "[$1]"), F.lit("$")))
+         .alias("pattern"))
+    return patterns.pattern_matches(companies, "row_id", "company_name", wanted,
+                                    "pattern_id", "pattern")
+
+
+QUERIES["filter_company_patterns"] = _filter_company_patterns
