@@ -9,7 +9,9 @@ Either text empty (after cleaning) or token-less → 0.0.
 LCS length uses the bit-parallel recurrence on Python integers (one
 machine-word operation per 64 positions), so a pair costs O(|b|·|a|/64).
 The per-pair work runs in an Arrow-batched pandas UDF: the pairs are a
-narrow map, nothing is shuffled or broadcast.
+narrow map, nothing is shuffled or broadcast. A worker stems a token once while its
+bounded dictionary holds it, and a text that stands in several pairs of a batch (the
+reference of several answers) is cut, stemmed and counted once (``PairScorer``).
 """
 
 from __future__ import annotations
@@ -23,6 +25,9 @@ from pyspark.sql import types as T
 
 from .porter import stem as porter_stem
 
+#: Distinct tokens whose stems a worker remembers.
+MAX_STEMS = 200_000
+_STEMS: dict[str, str] = {}
 _SEP = re.compile(r"[^a-z0-9]+")
 _WS = re.compile(r"\s+")
 
@@ -34,46 +39,104 @@ def clean_py(s) -> str:
     return _WS.sub(" ", s.strip())
 
 
+def _stemmed(token: str) -> str:
+    known = _STEMS.get(token)
+    if known is None:
+        if len(_STEMS) >= MAX_STEMS:
+            _STEMS.clear()
+        known = _STEMS[token] = porter_stem(token)
+    return known
+
+
 def tokens(text: str, stem: bool) -> list[str]:
-    toks = [t for t in _SEP.sub(" ", text.lower()).split() if t]
+    toks = _SEP.sub(" ", text.lower()).split()
     if stem:
-        toks = [porter_stem(t) if len(t) > 3 else t for t in toks]
+        toks = [_stemmed(t) if len(t) > 3 else t for t in toks]
     return toks
 
 
-def lcs_length(a: list[str], b: list[str]) -> int:
-    """Length of the longest common subsequence (bit-parallel)."""
-    if not a or not b:
-        return 0
+def _places(words: list[str]) -> dict[str, int]:
+    """Of each word, a bit for every place where it stands."""
     masks: dict[str, int] = {}
-    for i, tok in enumerate(a):
-        masks[tok] = masks.get(tok, 0) | (1 << i)
-    full = (1 << len(a)) - 1
-    v = full
-    for tok in b:
-        u = v & masks.get(tok, 0)
+    for i, word in enumerate(words):
+        masks[word] = masks.get(word, 0) | (1 << i)
+    return masks
+
+
+def _common(n: int, masks: dict[str, int], words: list[str]) -> int:
+    """Length of the longest common subsequence (bit-parallel) of ``words`` and
+    ``n`` words whose places are given."""
+    v = full = (1 << n) - 1
+    for word in words:
+        u = v & masks.get(word, 0)
         v = ((v + u) | (v - u)) & full
-    return len(a) - bin(v).count("1")
+    return n - v.bit_count()
+
+
+def lcs_length(a: list[str], b: list[str]) -> int:
+    """Length of the longest common subsequence."""
+    return _common(len(a), _places(a), b)
+
+
+class PairScorer:
+    """Scores the pairs of one batch; what depends on one text alone is kept for the
+    batch, so its memory is bounded by the batch."""
+
+    def __init__(self, stem: bool, dim: int = 0):
+        self.stem, self.dim = stem, dim
+        self.words: dict = {}
+        self.places: dict = {}
+        self.vectors: dict = {}
+        self.buckets: dict[str, int] = {}
+
+    def words_of(self, text) -> list[str]:
+        known = self.words.get(text)
+        if known is None:
+            known = self.words[text] = tokens(clean_py(text), self.stem)
+        return known
+
+    def rouge(self, pred, ref) -> float:
+        tp, tr = self.words_of(pred), self.words_of(ref)
+        if not tp or not tr:
+            return 0.0
+        if ref not in self.places:
+            self.places[ref] = _places(tr)
+        lcs = _common(len(tr), self.places[ref], tp)
+        if lcs == 0:
+            return 0.0
+        p, r = lcs / len(tp), lcs / len(tr)
+        return 2 * p * r / (p + r)
+
+    def vector_of(self, text) -> tuple[dict[int, int], float]:
+        """Counts by bucket of the hashing embedder, and their length."""
+        from .embed import _bucket
+
+        if text not in self.vectors:
+            counts: dict[int, int] = {}
+            for token in tokens(clean_py(text), False):
+                b = self.buckets.get(token)
+                if b is None:
+                    b = self.buckets[token] = _bucket(token, self.dim)
+                counts[b] = counts.get(b, 0) + 1
+            self.vectors[text] = counts, sum(v * v for v in counts.values()) ** 0.5
+        return self.vectors[text]
+
+    def cosine(self, pred, ref) -> float:
+        """Cosine of the hashing embedder's vectors, 0 when either has no token."""
+        (cp, np_), (cr, nr) = self.vector_of(pred), self.vector_of(ref)
+        if not cp or not cr:
+            return 0.0
+        return round(sum((v / np_) * (cr[b] / nr) for b, v in cp.items() if b in cr), 9)
 
 
 def rouge_l(pred, ref, stem: bool = True) -> float:
-    pred, ref = clean_py(pred), clean_py(ref)
-    if not pred or not ref:
-        return 0.0
-    tp, tr = tokens(pred, stem), tokens(ref, stem)
-    if not tp or not tr:
-        return 0.0
-    lcs = lcs_length(tr, tp)
-    if lcs == 0:
-        return 0.0
-    p, r = lcs / len(tp), lcs / len(tr)
-    return 2 * p * r / (p + r)
+    return PairScorer(stem).rouge(pred, ref)
 
 
 def _make_udf(stem: bool):
     @F.pandas_udf(T.DoubleType())
     def score(pred: pd.Series, ref: pd.Series) -> pd.Series:
-        return pd.Series([rouge_l(p, r, stem) for p, r in zip(pred, ref)], dtype="float64")
+        return pd.Series(list(map(PairScorer(stem).rouge, pred, ref)), dtype="float64")
     return score
 
 
@@ -91,28 +154,6 @@ def rouge_l_col(pred: Column, ref: Column, stem: bool = True) -> Column:
 
 
 # ---- ROUGE-L and the hashing-embedder cosine in one Arrow pass -----------------
-def hash_cosine(pred: str, ref: str, dim: int, cache: dict) -> float:
-    """Cosine of the hashing-embedder vectors of two texts (same tokens and
-    buckets as ``embed.hashing_embed``), 0 when either has no token."""
-    from .embed import _bucket
-
-    def counts(text):
-        out: dict[int, int] = {}
-        for tok in tokens(text, False):
-            b = cache.get(tok)
-            if b is None:
-                b = cache[tok] = _bucket(tok, dim)
-            out[b] = out.get(b, 0) + 1
-        return out
-    cp, cr = counts(pred), counts(ref)
-    if not cp or not cr:
-        return 0.0
-    npred = sum(v * v for v in cp.values()) ** 0.5
-    nref = sum(v * v for v in cr.values()) ** 0.5
-    dot = sum((v / npred) * (cr[b] / nref) for b, v in cp.items() if b in cr)
-    return round(dot, 9)
-
-
 PAIR_SCORES = T.StructType([T.StructField("rougeL", T.DoubleType()),
                             T.StructField("cosine", T.DoubleType())])
 _PAIR_UDFS: dict = {}
@@ -125,9 +166,8 @@ def pair_scores_col(pred: Column, ref: Column, stem: bool, dim: int) -> Column:
     if key not in _PAIR_UDFS:
         @F.pandas_udf(PAIR_SCORES)
         def scores(p: pd.Series, r: pd.Series) -> pd.DataFrame:
-            cache: dict = {}
-            rows = [(rouge_l(a, b, stem), hash_cosine(clean_py(a), clean_py(b), dim, cache))
-                    for a, b in zip(p, r)]
+            scorer = PairScorer(stem, dim)
+            rows = [(scorer.rouge(a, b), scorer.cosine(a, b)) for a, b in zip(p, r)]
             return pd.DataFrame(rows, columns=["rougeL", "cosine"], dtype="float64")
         _PAIR_UDFS[key] = scores
     return _PAIR_UDFS[key](pred, ref)

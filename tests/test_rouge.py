@@ -1,8 +1,9 @@
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
+from ledgerlens.functions import rouge
 from ledgerlens.functions.porter import stem
-from ledgerlens.functions.rouge import lcs_length, rouge_l, tokens
+from ledgerlens.functions.rouge import PairScorer, clean_py, lcs_length, rouge_l, tokens
 
 words = st.lists(st.sampled_from(list("abcdefg")), max_size=60)
 
@@ -49,3 +50,27 @@ def test_porter_paper_examples():
              "hopefulness": "hope", "generalizations": "gener", "adjustable": "adjust",
              "controll": "control", "sky": "sky", "dying": "die"}
     assert {w: stem(w) for w in cases} == cases
+
+
+texts = st.one_of(st.none(), st.text("ab sing.", max_size=20), st.just(float("nan")))
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.tuples(texts, texts), max_size=12), st.booleans())
+def test_scores_of_a_batch_equal_those_of_single_pairs(pairs, stemmed):
+    scorer = PairScorer(stemmed, 256)
+    for pred, ref in pairs:
+        tp, tr = ([stem(t) if stemmed and len(t) > 3 else t for t in tokens(clean_py(x), False)]
+                  for x in (pred, ref))
+        lcs = _dp(tr, tp)
+        want = 2 * lcs / (len(tp) + len(tr)) if lcs else 0.0
+        assert abs(scorer.rouge(pred, ref) - want) < 1e-12
+        assert scorer.cosine(pred, ref) == PairScorer(stemmed, 256).cosine(pred, ref)
+
+
+def test_stems_stay_bounded(monkeypatch):
+    monkeypatch.setattr(rouge, "MAX_STEMS", 3)
+    rouge._STEMS.clear()
+    words = "running runner jumped jumping walked walks talking".split()
+    assert tokens(" ".join(words), True) == [stem(w) for w in words]
+    assert len(rouge._STEMS) <= 3
