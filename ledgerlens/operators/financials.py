@@ -45,22 +45,28 @@ def _in_period(ts: Column, p: Period) -> Column:
 
 
 # Exact money sums on longs: every amount is an integer count of small units
-# (cents × hundredths …), split into a high and a low 24-bit part that are
-# summed separately. Each part stays far below 2**63 for up to ~10**12 rows
-# in one group, so a key holding a third of the facts cannot overflow, and
-# long sums run several times faster than DECIMAL sums.
+# (cents × ten-thousandths …), split into parts of 24 bits and a highest one that are
+# summed separately. At prices of up to a million each part stays far below 2**63 for
+# ~10**13 rows in one group, so a key holding a third of the facts cannot overflow (an
+# overflow would be an error, never a wrong sum), and long sums run several times
+# faster than DECIMAL sums.
 SPLIT_BITS = 24
 _LOW_MASK = (1 << SPLIT_BITS) - 1
+#: Decimals of a price and of a discount that count.
+PRICE_DECIMALS, DISCOUNT_DECIMALS = 2, 4
 
 
 def _ts_lit(t: dt.datetime) -> str:
     return f"TIMESTAMP_NTZ'{t.isoformat(sep=' ')}'"
 
 
-def _join_sql(hi: str, lo: str, decimals: int) -> str:
-    """hi·2^bits + lo as an exact decimal, scaled down by 10^decimals."""
-    return (f"(CAST({hi} AS DECIMAL(38,0)) * {1 << SPLIT_BITS} + CAST({lo} AS DECIMAL(38,0)))"
-            f" / {10 ** decimals}")
+def _join_sql(parts: list[str], decimals: int) -> str:
+    """The parts, lowest first, as one exact decimal with so many decimals."""
+    whole = " + ".join(f"CAST({part} AS DECIMAL(38,0)) * {1 << SPLIT_BITS * i}"
+                       for i, part in enumerate(parts))
+    unit = f"0.{1:0{decimals}d}"
+    return (f"CAST({whole} AS DECIMAL({37 - decimals},0))"
+            f" * CAST('{unit}' AS DECIMAL({decimals},{decimals}))")
 
 
 def period_aggregates(facts: DataFrame, key: str, ts: str, price: str, discount: str,
@@ -70,8 +76,8 @@ def period_aggregates(facts: DataFrame, key: str, ts: str, price: str, discount:
 
     revenue = price × (1 − discount); profit = revenue × discount (a proxy;
     the facts carry no cost column). Prices are taken to the nearest cent
-    and discounts to the nearest hundredth (``round(x·100)``, a compiled
-    ``Math.round`` — exact for two-decimal money), so the sums are exact.
+    and discounts to the nearest ten-thousandth (``round(x·10000)``, a compiled
+    ``Math.round``), so the sums are exact.
 
     The period boundaries cut the time line into disjoint slices; each fact
     falls in at most one, so the first aggregate needs only a few long sums
@@ -85,37 +91,41 @@ def period_aggregates(facts: DataFrame, key: str, ts: str, price: str, discount:
     cuts = sorted({p.start for p in periods} | {p.end for p in periods})
     slice_sql = "CASE " + " ".join(f"WHEN {ts} < {_ts_lit(cuts[i])} THEN {i - 1}"
                                    for i in range(1, len(cuts) - 1)) + f" ELSE {len(cuts) - 2} END"
-    price_u = f"CAST(round({price} * 100.0) AS BIGINT)"               # 1e-2
-    disc_u = f"CAST(round({discount} * 100.0) AS BIGINT)"             # 1e-2
-    amounts = {"_r": f"({price_u} * (100 - {disc_u}))",               # 1e-4
-               "_p": f"({price_u} * (100 - {disc_u}) * {disc_u})",    # 1e-6
-               "_x": price_u}                                        # 1e-2
-    split = []
-    for name, expr in amounts.items():
-        split += [f"shiftright({expr}, {SPLIT_BITS}) AS {name}_hi",
-                  f"{expr} & {_LOW_MASK} AS {name}_lo"]
-    parts = [f"{n}_{h}" for n in amounts for h in ("hi", "lo")]
+    one = 10 ** DISCOUNT_DECIMALS
+    price_u = f"CAST(round({price} * {10 ** PRICE_DECIMALS}D) AS BIGINT)"
+    disc_u = f"CAST(round({discount} * {one}D) AS BIGINT)"
+    revenue = f"({price_u} * ({one} - {disc_u}))"
+    low, high = f"({revenue} & {_LOW_MASK})", f"shiftright({revenue}, {SPLIT_BITS})"
+    # revenue × discount may not fit a long: each part times the discount, with its carry
+    carried = f"({high} * {disc_u} + shiftright({low} * {disc_u}, {SPLIT_BITS}))"
+    split = {"_r_0": low, "_r_1": high,
+             "_p_0": f"({low} * {disc_u}) & {_LOW_MASK}", "_p_1": f"{carried} & {_LOW_MASK}",
+             "_p_2": f"shiftright({carried}, {SPLIT_BITS})",
+             "_x_0": f"{price_u} & {_LOW_MASK}", "_x_1": f"shiftright({price_u}, {SPLIT_BITS})"}
+    revenue_parts, profit_parts, price_parts = (
+        [c for c in split if c.startswith(name)] for name in ("_r", "_p", "_x"))
     per_slice = (
         facts
         .where(f"{ts} >= {_ts_lit(lo)} AND {ts} < {_ts_lit(hi)}")
-        .selectExpr(key, f"{slice_sql} AS _slice", *split)
+        .selectExpr(key, f"{slice_sql} AS _slice", *[f"{e} AS {c}" for c, e in split.items()])
         .groupBy(key, "_slice")
-        .agg(*[F.expr(f"sum({c}) AS {c}") for c in parts], F.expr("count(1) AS _n"))
+        .agg(*[F.expr(f"sum({c}) AS {c}") for c in split], F.expr("count(1) AS _n"))
     )
     aggs = []
     for p in periods:
         members = ", ".join(str(i) for i in range(len(cuts) - 1)
                             if cuts[i] >= p.start and cuts[i + 1] <= p.end)
-        for c in ("_r_hi", "_r_lo", "_p_hi", "_p_lo"):
+        for c in revenue_parts + profit_parts:
             aggs.append(F.expr(f"sum(CASE WHEN _slice IN ({members}) THEN {c} END) AS {c}_{p.name}"))
-    aggs += [F.expr("sum(_x_hi) AS _x_hi"), F.expr("sum(_x_lo) AS _x_lo"),
-             F.expr("sum(_n) AS _price_n")]
+    aggs += [F.expr(f"sum({c}) AS {c}") for c in price_parts] + [F.expr("sum(_n) AS _price_n")]
     out = per_slice.groupBy(key).agg(*aggs)
     sums = []
+    places = PRICE_DECIMALS + DISCOUNT_DECIMALS
     for p in periods:
-        sums.append(_join_sql(f"_r_hi_{p.name}", f"_r_lo_{p.name}", 4) + f" AS _rev_{p.name}")
-        sums.append(_join_sql(f"_p_hi_{p.name}", f"_p_lo_{p.name}", 6) + f" AS _profit_{p.name}")
-    sums.append(_join_sql("_x_hi", "_x_lo", 2) + " AS _price_sum")
+        rev, profit = ([f"{c}_{p.name}" for c in parts] for parts in (revenue_parts, profit_parts))
+        sums.append(f"{_join_sql(rev, places)} AS _rev_{p.name}")
+        sums.append(f"{_join_sql(profit, places + DISCOUNT_DECIMALS)} AS _profit_{p.name}")
+    sums.append(f"{_join_sql(price_parts, PRICE_DECIMALS)} AS _price_sum")
     return out.selectExpr(key, *sums, "_price_n")
 
 

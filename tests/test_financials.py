@@ -14,7 +14,7 @@ def _expected(rows):
     for k, ts, price, disc in rows:
         for p in PERIODS:
             if p.start <= ts < p.end:
-                pc, dc = Decimal(f"{price:.2f}"), Decimal(f"{disc:.2f}")
+                pc, dc = Decimal(f"{price:.2f}"), Decimal(f"{disc:.4f}")
                 rev = pc * (1 - dc)
                 r = out.setdefault((k, p.name), [Decimal(0), Decimal(0)])
                 r[0] += rev
@@ -23,7 +23,7 @@ def _expected(rows):
 
 
 money = st.decimals(min_value=0, max_value=Decimal("9999999999.99"), places=2)
-rates = st.decimals(min_value=0, max_value=Decimal("1.00"), places=2)
+rates = st.decimals(min_value=0, max_value=Decimal("1.00"), places=4)
 days = st.integers(min_value=0, max_value=900)
 
 
@@ -49,3 +49,12 @@ def test_large_group_does_not_overflow(spark):
     r = fin.period_aggregates(df, "k", "ts", "price", "disc", PERIODS).collect()[0]
     assert r["_rev_h1_2025"] == Decimal("104949.50") * Decimal("0.90") * 200_000
     assert r["_profit_h1_2025"] == Decimal("104949.50") * Decimal("0.90") * Decimal("0.10") * 200_000
+
+
+def test_discount_of_more_than_two_decimals(spark):
+    df = spark.sql("SELECT 1L AS k, TIMESTAMP_NTZ'2000-02-01 00:00:00' AS ts, "
+                   "200.0D AS price, 0.055D AS disc")
+    r = fin.period_aggregates(df, "k", "ts", "price", "disc", PERIODS).collect()[0]
+    assert r["_rev_h1_2025"] == Decimal("189.00")
+    assert r["_profit_h1_2025"] == Decimal("10.395")
+    assert r["_rev_h1_2024"] is None
