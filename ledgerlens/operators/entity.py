@@ -4,8 +4,8 @@
 broadcast nested-loop join (every text × every pattern). Instead, decided by the
 measured bytes of the patterns:
 
-* **Patterns of at most ``MAX_AUTOMATON_BYTES``** are made into one Aho-Corasick
-  automaton per task, and one Arrow pass walks each text once. The texts are not
+* **Patterns of at most ``MAX_AUTOMATON_BYTES``** are broadcast and made into one
+  Aho-Corasick automaton per Python worker, and one Arrow pass walks each text once. The texts are not
   shuffled and not copied; the cost is linear in their length.
 * **More patterns**: every pattern of length ≥ g is keyed by its *rarest*
   g-gram (counted over all patterns), shorter ones by themselves; every text
@@ -21,9 +21,11 @@ with it, so nothing is joined on a pattern's name afterwards.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -63,19 +65,32 @@ def _pattern_keys(patterns: DataFrame, gram: int) -> DataFrame:
     return rare.unionByName(short)
 
 
+_BUILT: dict = {}       # of a Python worker: the automaton it used last, by name
+
+
+def _automaton(name: str, shared: Broadcast):
+    if name not in _BUILT:
+        import ahocorasick
+
+        automaton = ahocorasick.Automaton()
+        for text, places in shared.value.items():
+            automaton.add_word(text, places)
+        automaton.make_automaton()
+        _BUILT.clear()
+        _BUILT[name] = automaton
+    return _BUILT[name]
+
+
 def _automaton_pass(texts: DataFrame, patterns: DataFrame) -> DataFrame:
     """``_tid, _at``: which of the collected patterns (by place) each text holds."""
     by_text: dict[str, list[int]] = {}
     for at, row in enumerate(patterns):
         by_text.setdefault(row["_lpat"], []).append(at)
+    shared = texts.sparkSession.sparkContext.broadcast(by_text)
+    name = uuid.uuid4().hex
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import ahocorasick
-
-        automaton = ahocorasick.Automaton()
-        for text, places in by_text.items():
-            automaton.add_word(text, places)
-        automaton.make_automaton()
+        automaton = _automaton(name, shared)
         for batch in batches:
             rows, places = [], []
             for row, text in enumerate(batch.column(1)):

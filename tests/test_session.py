@@ -1,3 +1,7 @@
+import os
+
+import pytest
+
 from ledgerlens import session as S
 
 
@@ -27,3 +31,30 @@ def test_size_check_and_bounded_broadcast(spark):
     plan = S.bounded_broadcast(big, 5).join(small, "id")._jdf.queryExecution() \
         .logical().toString()
     assert "broadcast" not in plan.lower()
+
+
+def test_scratch_tables_go_with_their_scope(spark):
+    def there(df):
+        return os.path.exists(df.inputFiles()[0].replace("file://", ""))
+
+    before = S.cut_lineage(spark.range(3))
+    with S.scratch_scope(spark):
+        outer = S.cut_lineage(spark.range(4))
+        with S.scratch_scope(spark):
+            inner = S.cut_lineage(spark.range(5))
+            assert inner.count() == 5 and there(inner)
+            gone = inner.inputFiles()[0].replace("file://", "")
+        assert not os.path.exists(gone)
+        assert outer.count() == 4 and there(outer)
+        unused = S.scratch_path(spark, "never-written")
+        gone = outer.inputFiles()[0].replace("file://", "")
+    assert not os.path.exists(gone) and not os.path.exists(unused)
+    assert before.count() == 3
+
+
+def test_scratch_tables_go_after_an_error(spark):
+    with pytest.raises(ZeroDivisionError):
+        with S.scratch_scope(spark):
+            gone = S.cut_lineage(spark.range(4)).inputFiles()[0].replace("file://", "")
+            raise ZeroDivisionError
+    assert not os.path.exists(gone)
