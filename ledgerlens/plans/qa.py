@@ -17,6 +17,7 @@ from ..functions.embed import hashing_embed, is_sparse
 from ..operators import retrieval
 from ..operators.charts import route
 from ..operators.render import render_documents
+from ..session import cut_lineage
 
 
 def text_questions(questions: DataFrame) -> DataFrame:
@@ -25,7 +26,8 @@ def text_questions(questions: DataFrame) -> DataFrame:
 
 def retrieval_hits(questions: DataFrame, companies: DataFrame, k: int = DEFAULT_TOP_K,
                    embed: Callable = hashing_embed):
-    docs = render_documents(companies)
+    # rendered once: searched, counted and joined to the hits
+    docs = cut_lineage(render_documents(companies))
     tq = text_questions(questions)
     # count before embedding: the embedder is not run just to size blocks
     n_docs = docs.count()
