@@ -14,13 +14,13 @@ so the bound ``ub(q, cell)`` caps every score inside the cell.
    threshold cannot hold a better document, so the result is **exact** (same
    rows as the blocked brute force, ties to the smaller document id).
 
-Searching a set of (query, cell) pairs reuses the blocked products of
-``knn.py``: members of a cell are hashed into sub-chunks of ≈ ``chunk_rows``
-and the queries probing a cell into blocks of ≈ ``block_rows`` (sized per
-cell from the probe counts, so a cell probed by a third of all queries is
-spread over many tasks); block × sub-chunk pairs meet in an equi-join and a
-NumPy product keeps the k best per query. The centres (``n_cells × dim``) are
-the only thing shipped to tasks; their count is a parameter, not data-sized.
+Members of a cell are split into pieces of at most about ``chunk_rows``, and whole pieces are
+packed together into rows of about ``blocks.PACK_ROWS`` vectors. In both passes every pack
+of queries meets every pack of pieces (``blocks``: a cross join of two written tables, no
+(query, cell) rows with copies of the vectors); within a pair of packs only the products of
+queries that search the piece's cell are taken, and a query's k-th score so far is its
+threshold. The centres (``n_cells × dim``) are the only thing shipped to tasks; their
+count is a parameter, not data-sized.
 """
 
 from __future__ import annotations
@@ -34,8 +34,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from ..session import bounded_broadcast, cut_lineage
-from .knn import _arrow_type, _block_products, knn
+from ..session import bounded_broadcast, cut_lineage, spread
+from . import blocks
+from .blocks import Best, best_products, found_rows, ids_of, packed, unpacked
+from .knn import _arrow_type, knn
 
 # bound slack: scores are rounded to 9 decimals before ranking
 SLACK = 1e-7
@@ -57,68 +59,133 @@ def _bounds(qm: np.ndarray, centres: np.ndarray, radius: np.ndarray) -> np.ndarr
     return ub
 
 
-def _probe_fn(centres, radius, n_probe, qid_type):
+def _probed(queries: DataFrame, centres: np.ndarray, radius: np.ndarray,
+            n_probe: int) -> DataFrame:
+    """``_qid, _v, _probes``: the cells with the highest bounds of each query, -1 for
+    empty cells. Written once, so both passes go by the same probes."""
+    schema = T.StructType([*queries.schema.fields,
+                           T.StructField("_probes", T.ArrayType(T.IntegerType()))])
+
     def run(batches):
-        for b in batches:
-            n = b.num_rows
-            if n == 0:
-                continue
-            qm = np.asarray(b.column("_v").flatten().to_numpy(zero_copy_only=False),
-                            dtype=np.float64).reshape(n, -1)
-            ub = _bounds(qm, centres, radius)
-            order = np.argsort(-ub, axis=1, kind="stable")[:, :n_probe]
-            keep = [[int(c) for c in row if np.isfinite(ub[i, c])] for i, row in enumerate(order)]
-            yield pa.RecordBatch.from_arrays(
-                [b.column("_qid").cast(qid_type), b.column("_v"),
-                 pa.array(keep, type=pa.list_(pa.int32()))],
-                names=["_qid", "_v", "_probes"])
-    return run
+        for whole in batches:
+            for at in range(0, whole.num_rows, 1024):
+                b = whole.slice(at, 1024)
+                ub = _bounds(blocks.matrix(b.column(1)), centres, radius)
+                best = np.argsort(-ub, axis=1, kind="stable")[:, :n_probe]
+                best = np.where(np.isfinite(np.take_along_axis(ub, best, 1)), best, -1)
+                yield pa.RecordBatch.from_arrays(
+                    [*b.columns, pa.array(list(best.astype(np.int32)), pa.list_(pa.int32()))],
+                    names=schema.names)
+
+    return cut_lineage(spread(queries).mapInArrow(run, schema))
+
+
+def _probe_matrix(probes: pa.ListScalar) -> np.ndarray:
+    """Of the probes of a pack."""
+    return ids_of(probes.values.flatten()).reshape(len(probes.values), -1)
 
 
-def _extra_cells_fn(centres, radius, qid_type):
-    """Cells not probed whose bound reaches the query's k-th score (all
-    non-empty cells when fewer than k documents were found)."""
+def _assigned(corpus: DataFrame, centres: np.ndarray) -> DataFrame:
+    """``_did, _v, _cell, _r``: the nearest cell of each vector and the distance to it."""
+    schema = T.StructType([*corpus.schema.fields, T.StructField("_cell", T.IntegerType()),
+                           T.StructField("_r", T.DoubleType())])
+
+    def run(batches):
+        for whole in batches:
+            for at in range(0, whole.num_rows, 1024):
+                b = whole.slice(at, 1024)
+                v = blocks.matrix(b.column(1))
+                cell = ((centres * centres).sum(axis=1) - 2 * v @ centres.T).argmin(axis=1)
+                yield pa.RecordBatch.from_arrays(
+                    [*b.columns, pa.array(cell.astype(np.int32)),
+                     pa.array(np.linalg.norm(v - centres[cell], axis=1))], names=schema.names)
+
+    return cut_lineage(spread(corpus).mapInArrow(run, schema))
+
+
+def _cell_packs(assigned: DataFrame, subs: DataFrame, n_rows: int) -> DataFrame:
+    """``cells array<int>, starts array<int>, ids, v binary``: whole pieces of cells, the
+    members of a piece one after another. Written once; one shuffle of the corpus."""
+    n_packs = max(1, math.ceil(n_rows / blocks.PACK_ROWS))
+    dtype = assigned.schema["_did"].dataType
+    sub = F.pmod(F.xxhash64("_did"), F.col("_nsub")).cast("int")
+    rows = (assigned.join(bounded_broadcast(subs, MAX_CELLS), "_cell")
+            .select(F.pmod(F.xxhash64("_cell", sub), F.lit(n_packs)).alias("_pack"),
+                    F.struct(F.col("_cell").alias("cell"), F.col("_did").alias("id"),
+                             F.col("_v").alias("v")).alias("_s"))
+            .groupBy("_pack").agg(F.collect_list("_s").alias("_s")).select("_s"))
+    schema = T.StructType([T.StructField("cells", T.ArrayType(T.IntegerType())),
+                           T.StructField("starts", T.ArrayType(T.IntegerType())),
+                           T.StructField("ids", T.ArrayType(dtype)),
+                           T.StructField("v", T.BinaryType())])
+
     def run(batches):
         for b in batches:
-            n = b.num_rows
-            if n == 0:
-                continue
-            qm = np.asarray(b.column("_v").flatten().to_numpy(zero_copy_only=False),
-                            dtype=np.float64).reshape(n, -1)
-            ub = _bounds(qm, centres, radius)
-            thr = b.column("_thr").to_numpy(zero_copy_only=False)
-            thr = np.where(np.isnan(thr.astype(np.float64)), -np.inf, thr.astype(np.float64))
-            need = ub >= (thr[:, None] - SLACK)
-            probes = b.column("_probes").to_pylist()
-            for i, p in enumerate(probes):
-                need[i, p or []] = False
-            rows, cells = np.nonzero(need)
-            if len(rows):
+            for row in b.column(0):
+                held = row.values
+                cell = held.field("cell").to_numpy()
+                order = np.argsort(cell, kind="stable")
+                cells, starts = np.unique(cell[order], return_index=True)
+                ids = held.field("id").take(pa.array(order))
                 yield pa.RecordBatch.from_arrays(
-                    [b.column("_qid").take(pa.array(rows)).cast(qid_type),
-                     b.column("_v").take(pa.array(rows)),
-                     pa.array(cells.astype(np.int32))],
-                    names=["_qid", "_v", "_cell"])
+                    [pa.array([cells], pa.list_(pa.int32())),
+                     pa.array([np.append(starts, len(order))], pa.list_(pa.int32())),
+                     pa.ListArray.from_arrays(pa.array([0, len(ids)], pa.int32()), ids),
+                     pa.array([blocks.matrix(held.field("v"))[order].tobytes()])],
+                    names=schema.names)
+
+    return cut_lineage(rows.mapInArrow(run, schema))
+
+
+def _search_fn(centres: np.ndarray, radius: np.ndarray, k: int, block_rows: int, others: bool,
+               qid_type: pa.DataType, did_type: pa.DataType):
+    """Rows ``qpack, qids, thr, probes, qv, cells, starts, ids, v``: the best of the probed cells, or
+    of all ``others`` whose bound reaches the query's k-th score (all non-empty ones
+    when fewer than k documents were found)."""
+    def run(batches):
+        asked: dict[int, tuple[np.ndarray, Best]] = {}
+        probes: dict[int, np.ndarray] = {}
+        for b in batches:
+            for pack, qids, thr, probe, qv, cells, starts, ids, v in zip(*b.columns):
+                own, dids = ids_of(qids.values), ids_of(ids.values)
+                q, d = unpacked(qv, len(own)), unpacked(v, len(dids))
+                key = pack.as_py()
+                if key not in asked:
+                    floor = ids_of(thr.values).astype(np.float64)
+                    asked[key] = own, Best(len(own), k, np.where(np.isnan(floor), -np.inf, floor))
+                    probes[key] = _probe_matrix(probe)
+                best, cuts = asked[key][1], ids_of(starts.values)
+                names = ids_of(cells.values)
+                ub = _bounds(q, centres[names], radius[names]) if others else None
+                for i, cell in enumerate(names):
+                    mine = (probes[key] == cell).any(axis=1)
+                    if others:
+                        mine = ~mine & (ub[:, i] >= best.floor - SLACK)
+                    rows, part = np.flatnonzero(mine), slice(cuts[i], cuts[i + 1])
+                    for at in range(0, len(rows), block_rows):
+                        r = rows[at:at + block_rows]
+                        best_products(best, q[r], d[part], dids[part], r)
+        yield from found_rows(asked, qid_type, did_type)
     return run
 
 
-def _search(pairs: DataFrame, chunks: DataFrame, subs: DataFrame, k: int,
-            block_rows: int, qtype, dtype) -> DataFrame:
-    """Local winners (≤ k per query and sub-chunk) for (query, cell) pairs."""
-    probes_per_cell = (pairs.groupBy("_cell").agg(F.count(F.lit(1)).alias("_p"))
-                       .select("_cell", F.greatest(F.lit(1), F.ceil(F.col("_p") / block_rows))
-                               .cast("int").alias("_nqb")))
-    blocks = (pairs.join(bounded_broadcast(probes_per_cell, MAX_CELLS), "_cell")
-              .select("_cell", F.pmod(F.xxhash64("_qid"), F.col("_nqb")).alias("_qb"),
-                      F.struct(F.col("_qid").alias("id"), F.col("_v").alias("v")).alias("_s"))
-              .groupBy("_cell", "_qb").agg(F.collect_list("_s").alias("_q"))
-              .join(bounded_broadcast(subs, MAX_CELLS), "_cell")
-              .select("_cell", "_q", F.explode(F.sequence(F.lit(0), F.col("_nsub") - 1))
-                      .alias("_sub")))
-    joined = blocks.join(chunks, ["_cell", "_sub"]).select("_q", "_c")
-    schema = T.StructType([T.StructField("_qid", qtype), T.StructField("_did", dtype),
-                           T.StructField("score", T.DoubleType())])
-    return joined.mapInArrow(_block_products(k, _arrow_type(qtype), _arrow_type(dtype)), schema)
+def _pairs_fn(centres: np.ndarray, radius: np.ndarray):
+    """How many (query, cell) pairs each pass searches, of packs ``qids, thr, probes, qv``."""
+    def run(batches):
+        for b in batches:
+            for qids, thr, probe, qv in zip(*b.columns):
+                q = unpacked(qv, len(qids.values))
+                floor = ids_of(thr.values).astype(np.float64)
+                floor = np.where(np.isnan(floor), -np.inf, floor)
+                need = _bounds(q, centres, radius) >= floor[:, None] - SLACK
+                need[:, ~np.isfinite(radius)] = False
+                probes = _probe_matrix(probe)
+                for p in probes.T:
+                    need[np.flatnonzero(p >= 0), p[p >= 0]] = False
+                yield pa.RecordBatch.from_pydict(
+                    {"first": [int((probes >= 0).sum())], "second": [int(need.sum())],
+                     "n": [len(q)]})
+    return run
 
 
 def _top(hits: DataFrame, k: int) -> DataFrame:
@@ -132,7 +199,7 @@ def knn_ivf(queries: DataFrame, qid: str, qvec: str, corpus: DataFrame, did: str
             stats: dict | None = None) -> DataFrame:
     """Exact top-k (qid, did, score, rank) by inner product. ``stats``, if
     given, receives the number of cells and of (query, cell) pairs searched
-    in each pass."""
+    in each pass (of the second those that the first pass's scores leave)."""
     spark = queries.sparkSession
     qtype, dtype = queries.schema[qid].dataType, corpus.schema[did].dataType
     corp = corpus.where(F.col(dvec).isNotNull()).select(
@@ -146,21 +213,14 @@ def knn_ivf(queries: DataFrame, qid: str, qvec: str, corpus: DataFrame, did: str
     if n_c == 0:
         return spark.createDataFrame([], out_schema)
     if n_c == 1:                                       # nothing to cluster
-        return knn(queries, qid, qvec, corpus, did, dvec, k, n_corpus=1)
+        return knn(queries, qid, qvec, corpus, did, dvec, k)
     n_cells = min(n_cells or min(MAX_CELLS, max(1, round(math.sqrt(n_c)))), n_c)
 
     # 1. cells: centres, membership, radius and size per cell
-    model, centres = _train_cells(corp, n_cells, seed, max_iter)
-    from pyspark.ml.functions import array_to_vector
-    assigned = (model.transform(corp.withColumn("_f", array_to_vector("_v")))
-                .select("_did", "_v", F.col("_cell").cast("int").alias("_cell")))
-    cdf = spark.createDataFrame([(i, c.tolist()) for i, c in enumerate(centres)],
-                                "_cell int, _c array<double>")
-    dist = F.sqrt(F.aggregate(F.zip_with("_v", "_c", lambda a, b: (a - b) * (a - b)),
-                              F.lit(0.0), lambda s, x: s + x))
-    members = assigned.join(bounded_broadcast(cdf, MAX_CELLS), "_cell")
-    cell_rows = (members.groupBy("_cell")
-                 .agg(F.max(dist).alias("_r"), F.count(F.lit(1)).alias("_n")).collect())
+    _, centres = _train_cells(corp, n_cells, seed, max_iter)
+    assigned = _assigned(corp, centres)
+    cell_rows = (assigned.groupBy("_cell")
+                 .agg(F.max("_r").alias("_r"), F.count(F.lit(1)).alias("_n")).collect())
     # radius per cell; cells without members stay non-finite and are masked
     radius = np.full(len(centres), np.inf, dtype=np.float64)
     subs_rows = []
@@ -168,37 +228,33 @@ def knn_ivf(queries: DataFrame, qid: str, qvec: str, corpus: DataFrame, did: str
         radius[r["_cell"]] = r["_r"] * (1 + 1e-9) + 1e-12
         subs_rows.append((r["_cell"], max(1, math.ceil(r["_n"] / chunk_rows))))
     subs = spark.createDataFrame(subs_rows, "_cell int, _nsub int")
-    chunks = cut_lineage(
-        assigned.join(bounded_broadcast(subs, MAX_CELLS), "_cell")
-        .select("_cell", F.pmod(F.xxhash64("_did"), F.col("_nsub")).cast("int").alias("_sub"),
-                F.struct(F.col("_did").alias("id"), F.col("_v").alias("v")).alias("_s"))
-        .groupBy("_cell", "_sub").agg(F.collect_list("_s").alias("_c")))
-    qt = _arrow_type(qtype)
+    cells = _cell_packs(assigned, subs, n_c)
+    hit_schema = T.StructType([T.StructField("_qid", qtype), T.StructField("_did", dtype),
+                               T.StructField("score", T.DoubleType())])
+
+    def search(asked: DataFrame, others: bool) -> DataFrame:
+        packs = asked.select(F.col("pack").alias("qpack"), F.col("ids").alias("qids"),
+                             F.col("_thr").alias("thr"), F.col("_probes").alias("probes"),
+                             F.col("v").alias("qv"))
+        return packs.crossJoin(cells).mapInArrow(
+            _search_fn(centres, radius, k, block_rows, others, _arrow_type(qtype),
+                       _arrow_type(dtype)), hit_schema)
 
     # 2. pass 1: the n_probe best cells of every query
-    probe_schema = T.StructType([T.StructField("_qid", qtype),
-                                 T.StructField("_v", T.ArrayType(T.DoubleType())),
-                                 T.StructField("_probes", T.ArrayType(T.IntegerType()))])
-    probed = cut_lineage(qs.mapInArrow(_probe_fn(centres, radius, n_probe, qt),
-                                       probe_schema))
-    pairs1 = probed.select("_qid", "_v", F.explode("_probes").alias("_cell"))
-    top1 = cut_lineage(_top(_search(pairs1, chunks, subs, k, block_rows, qtype, dtype), k))
+    probed = _probed(qs, centres, radius, n_probe)
+    none = F.lit(None).cast("double")
+    first = packed(probed.withColumn("_thr", none), "_qid", "_v", "_thr", "_probes")
+    top1 = cut_lineage(_top(search(first, others=False), k))
 
     # 3. pass 2: other cells whose bound reaches the k-th score
     thr = top1.groupBy("_qid").agg(
         F.when(F.count(F.lit(1)) >= k, F.min("score")).alias("_thr"))
-    extra_schema = T.StructType([T.StructField("_qid", qtype),
-                                 T.StructField("_v", T.ArrayType(T.DoubleType())),
-                                 T.StructField("_cell", T.IntegerType())])
-    pairs2 = cut_lineage(probed.join(thr, "_qid", "left")
-                         .select("_qid", "_v", "_probes", F.col("_thr").cast("double"))
-                         .mapInArrow(_extra_cells_fn(centres, radius, qt),
-                                     extra_schema))
-    hits2 = _search(pairs2, chunks, subs, k, block_rows, qtype, dtype)
+    second = packed(probed.join(thr, "_qid", "left"), "_qid", "_v", "_thr", "_probes")
     if stats is not None:
-        stats.update(cells=len(centres), pairs_pass1=pairs1.count(), pairs_pass2=pairs2.count(),
-                     queries=probed.count())
-    merged = top1.select("_qid", "_did", "score").unionByName(hits2)
+        n = second.select("ids", "_thr", "_probes", "v").mapInArrow(
+            _pairs_fn(centres, radius), "first long, second long, n long").agg(
+            F.sum("first"), F.sum("second"), F.sum("n")).first()
+        stats.update(cells=len(centres), pairs_pass1=n[0], pairs_pass2=n[1], queries=n[2])
+    merged = top1.select("_qid", "_did", "score").unionByName(search(second, others=True))
     return _top(merged, k).select(F.col("_qid").alias(qid), F.col("_did").alias(did),
                                   "score", F.col("rank").cast("int").alias("rank"))
-

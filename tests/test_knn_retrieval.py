@@ -80,3 +80,49 @@ def test_ivf_of_one_document(spark):
     c, _ = _vecs(spark, 1, 4, 3, "did")
     got = ivf.knn_ivf(c.select(F.col("did").alias("qid"), "v"), "qid", "v", c, "did", "v", 3)
     assert [(r.qid, r.did, r.rank) for r in got.collect()] == [(0, 0, 1)]
+
+
+def test_knn_copies_no_side_in_a_shuffle(spark, monkeypatch):
+    from ledgerlens.operators import blocks
+    monkeypatch.setattr(blocks, "PAIRS", 50)
+    c, cm = _vecs(spark, 120, 8, 5, "did")
+    q, qm = _vecs(spark, 40, 8, 6, "qid")
+    hits = knn.knn(q, "qid", "v", c, "did", "v", 5, block_rows=7, chunk_rows=9)
+    plan = hits._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1                 # the merge by query
+    s = np.round(qm @ cm.T, 9)
+    want = [(i, j) for i in range(40) for j in sorted(range(120), key=lambda j: (-s[i, j], j))[:5]]
+    assert sorted((r.qid, r.did) for r in hits.collect()) == sorted(want)
+
+
+def test_best_products_are_those_of_double_products():
+    from ledgerlens.operators.blocks import Best, best_products
+    rng = np.random.default_rng(3)
+    for scale in (1.0, 1e-6, 1e18):               # beyond the range of single products as well
+        d = rng.normal(size=(200, 6)) * scale
+        d[50:90] = d[0]                           # ties
+        d[90:140] = d[1] + 1e-9 * scale * rng.normal(size=(50, 6))     # near ties
+        q = d[::7] / scale
+        best = Best(len(q), 4)
+        for at in range(0, 200, 64):
+            best_products(best, q, d[at:at + 64], np.arange(at, min(at + 64, 200)))
+        rows, ids, scores = best.settle()
+        s = np.round(q @ d.T, 9)
+        for i in range(len(q)):
+            top = sorted(s[i], reverse=True)[:4]
+            assert np.allclose(scores[rows == i], top, rtol=1e-12, atol=2e-9)
+            if scale == 1.0:
+                assert ids[rows == i].tolist() == sorted(range(200), key=lambda j: (-s[i, j], j))[:4]
+
+
+def test_ivf_makes_no_rows_of_query_and_cell(spark):
+    """The second pass pairs packs; rows with a copy of a vector for each (query, cell) pair
+    would pass through an exchange."""
+    from ledgerlens.operators import ivf
+    c, _ = _vecs(spark, 500, 8, 21, "did")
+    q, _ = _vecs(spark, 60, 8, 22, "qid")
+    hits = ivf.knn_ivf(q, "qid", "v", c, "did", "v", 5, n_cells=20, n_probe=1, chunk_rows=16)
+    plan = hits._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1                 # the merge by query
+    exact = knn.knn(q, "qid", "v", c, "did", "v", 5)
+    assert sorted(map(tuple, hits.collect())) == sorted(map(tuple, exact.collect()))
