@@ -1,18 +1,18 @@
 """Exact top-k nearest neighbours by inner product (= cosine on
 unit vectors), as blocked matrix products.
 
-Plan (no row-level cross join, no pair rows):
-
-1. corpus rows are hashed into ``n_chunks`` chunks (≈ ``chunk_rows`` each),
-   queries into ``n_blocks`` blocks (≈ ``block_rows`` each); each becomes one
-   row holding its vectors (bounded size by construction);
-2. every query block is paired with every chunk through an equi-join on the
-   chunk id (the query side is replicated once per chunk — the inherent cost
-   of exact search — and the join spreads the chunks over tasks);
-3. one NumPy product per (block, chunk) in ``mapInArrow`` emits only the
-   k best documents of that chunk per query;
+Plan (no row-level cross join, no pair rows, no copies in a shuffle):
+
+1. corpus rows and queries are packed (``blocks.packed``): one row holds the
+   vectors of up to ``blocks.PACK_ROWS`` rows, written once;
+2. a cross join of the two packed tables brings every pack of queries to every
+   pack of the corpus (the inherent cost of exact search): Spark pairs the
+   partitions of their scans;
+3. NumPy products of ``block_rows`` queries and ``chunk_rows`` documents in
+   ``mapInArrow``; a task keeps the k best of each query over all packs it
+   meets and emits them at its end;
 4. a ``row_number() <= k`` window per query (partial ``WindowGroupLimit``
-   before the shuffle) merges the per-chunk winners.
+   before the shuffle) merges the tasks' winners.
 
 Scores are rounded to 9 decimals before ranking and ties go to the smaller
 document id, so the ranking does not depend on summation order.
@@ -20,8 +20,6 @@ document id, so the ranking does not depend on summation order.
 
 from __future__ import annotations
 
-import math
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -29,65 +27,29 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-SCORE_DECIMALS = 9
-
-
-def _matrix(vectors: pa.Array) -> np.ndarray:
-    n = len(vectors)
-    flat = vectors.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
-    return flat.reshape(n, -1) if n else np.zeros((0, 0))
-
+from .blocks import (SCORE_DECIMALS, Best, best_products, found_rows, ids_of,  # noqa: F401
+                     matrix as _matrix, packed, unpacked)
 
-def _order_rank(ids: np.ndarray) -> np.ndarray:
-    """Position of each id in ascending id order (works for ints and strings)."""
-    order = np.argsort(ids, kind="stable")
-    rank = np.empty(len(ids), dtype=np.int64)
-    rank[order] = np.arange(len(ids))
-    return rank
 
-
-def _topk_rows(scores: np.ndarray, id_rank: np.ndarray, k: int):
-    """(row, col) of the k best columns per row: score desc, id asc."""
-    nq, nc = scores.shape
-    if nc > k:
-        kth = np.partition(scores, nc - k, axis=1)[:, nc - k]
-        rows, cols = np.nonzero(scores >= kth[:, None])
-    else:
-        rows, cols = np.nonzero(np.ones_like(scores, dtype=bool))
-    order = np.lexsort((id_rank[cols], -scores[rows, cols], rows))
-    rows, cols = rows[order], cols[order]
-    # keep the first k of each row
-    starts = np.searchsorted(rows, np.arange(nq))
-    pos = np.arange(len(rows)) - starts[rows]
-    keep = pos < k
-    return rows[keep], cols[keep]
-
-
-def _block_products(k: int, qid_type: pa.DataType, did_type: pa.DataType):
+def _pack_products(k: int, qid_type: pa.DataType, did_type: pa.DataType, block_rows: int,
+                   chunk_rows: int):
+    """Rows ``qpack, qids, qv, ids, v``: a pack of queries and one of documents."""
     def run(batches):
+        asked: dict[int, tuple[np.ndarray, Best]] = {}
         for b in batches:
-            q_ids, d_ids, scores = [], [], []
-            qcol, ccol = b.column("_q"), b.column("_c")
-            for i in range(b.num_rows):
-                q = qcol[i].values          # StructArray(id, vec)
-                c = ccol[i].values
-                if q is None or c is None or len(q) == 0 or len(c) == 0:
-                    continue
-                qm = _matrix(q.field("v"))
-                cm = _matrix(c.field("v"))
-                s = np.round(qm @ cm.T, SCORE_DECIMALS)
-                dids = c.field("id")
-                rank = _order_rank(dids.to_numpy(zero_copy_only=False))
-                r, cc = _topk_rows(s, rank, k)
-                q_ids.append(q.field("id").take(pa.array(r)))
-                d_ids.append(dids.take(pa.array(cc)))
-                scores.append(pa.array(s[r, cc]))
-            if q_ids:
-                yield pa.RecordBatch.from_arrays(
-                    [pa.concat_arrays(q_ids).cast(qid_type),
-                     pa.concat_arrays(d_ids).cast(did_type),
-                     pa.concat_arrays(scores)],
-                    names=["_qid", "_did", "score"])
+            for pack, qids, qv, ids, v in zip(*b.columns):
+                if pack.as_py() not in asked:
+                    own = ids_of(qids.values)
+                    asked[pack.as_py()] = own, Best(len(own), k)
+                own, best = asked[pack.as_py()]
+                q, dids = unpacked(qv, len(own)), ids_of(ids.values)
+                d = unpacked(v, len(dids))
+                for at in range(0, len(q), block_rows):
+                    rows = np.arange(at, min(at + block_rows, len(q)))
+                    for to in range(0, len(d), chunk_rows):
+                        best_products(best, q[rows], d[to:to + chunk_rows],
+                                      dids[to:to + chunk_rows], rows)
+        yield from found_rows(asked, qid_type, did_type)
     return run
 
 
@@ -97,44 +59,17 @@ def _arrow_type(dt: T.DataType) -> pa.DataType:
 
 
 def knn(queries: DataFrame, qid: str, qvec: str, corpus: DataFrame, did: str, dvec: str,
-        k: int, block_rows: int = 1024, chunk_rows: int = 4096,
-        min_chunks: int | None = None, n_queries: int | None = None,
-        n_corpus: int | None = None) -> DataFrame:
+        k: int, block_rows: int = 1024, chunk_rows: int = 4096) -> DataFrame:
     """Exact top-k: (qid, did, score, rank). Fewer than k rows per query
-    when the corpus is smaller than k. ``n_queries`` / ``n_corpus`` size the
-    blocks; pass counts taken before the embedding step so the embedder
-    does not run once more just to be counted."""
-    spark = queries.sparkSession
-    n_q = queries.count() if n_queries is None else n_queries
-    n_c = corpus.count() if n_corpus is None else n_corpus
-    if n_q == 0 or n_c == 0:
-        schema = T.StructType([queries.schema[qid], corpus.schema[did],
-                               T.StructField("score", T.DoubleType()),
-                               T.StructField("rank", T.IntegerType())])
-        return spark.createDataFrame([], schema)
-    par = min_chunks or spark.sparkContext.defaultParallelism
-    n_blocks = max(1, math.ceil(n_q / block_rows))
-    n_chunks = max(1, min(math.ceil(n_c / 64), max(math.ceil(n_c / chunk_rows), par)))
-
-    blocks = (queries.where(F.col(qvec).isNotNull())
-              .select(F.pmod(F.xxhash64(qid), F.lit(n_blocks)).alias("_blk"),
-                      F.struct(F.col(qid).alias("id"),
-                               F.col(qvec).cast("array<double>").alias("v")).alias("_s"))
-              .groupBy("_blk").agg(F.collect_list("_s").alias("_q"))
-              .select("_blk", "_q",
-                      F.explode(F.sequence(F.lit(0), F.lit(n_chunks - 1))).alias("_chunk")))
-    chunks = (corpus.where(F.col(dvec).isNotNull())
-              .select(F.pmod(F.xxhash64(did), F.lit(n_chunks)).alias("_chunk"),
-                      F.struct(F.col(did).alias("id"),
-                               F.col(dvec).cast("array<double>").alias("v")).alias("_s"))
-              .groupBy("_chunk").agg(F.collect_list("_s").alias("_c")))
-    pairs = blocks.join(chunks, "_chunk").select("_q", "_c")
-
+    when the corpus is smaller than k."""
+    asked = packed(queries, qid, qvec).select(
+        F.col("pack").alias("qpack"), F.col("ids").alias("qids"), F.col("v").alias("qv"))
+    pairs = asked.crossJoin(packed(corpus, did, dvec).select("ids", "v"))
     qtype, dtype = queries.schema[qid].dataType, corpus.schema[did].dataType
-    out_schema = T.StructType([T.StructField("_qid", qtype), T.StructField("_did", dtype),
-                               T.StructField("score", T.DoubleType())])
-    local = pairs.mapInArrow(_block_products(k, _arrow_type(qtype), _arrow_type(dtype)),
-                             out_schema)
+    local = pairs.mapInArrow(
+        _pack_products(k, _arrow_type(qtype), _arrow_type(dtype), block_rows, chunk_rows),
+        T.StructType([T.StructField("_qid", qtype), T.StructField("_did", dtype),
+                      T.StructField("score", T.DoubleType())]))
     w = Window.partitionBy("_qid").orderBy(F.col("score").desc(), F.col("_did").asc())
     return (local.withColumn("rank", F.row_number().over(w))
                  .where(F.col("rank") <= k)

@@ -23,18 +23,15 @@ def index_documents(docs: DataFrame, embed: Callable = hashing_embed) -> DataFra
 
 def retrieve(questions: DataFrame, index: DataFrame, k: int = DEFAULT_TOP_K,
              embed: Callable = hashing_embed, qid: str = "question_id", qtext: str = "question",
-             did: str = "row_id", n_corpus: int | None = None,
+             did: str = "row_id",
              postings: DataFrame | None = None) -> DataFrame:
     """(question_id, row_id, score, rank) — top-k documents per question. With the
     ``postings`` of a sparse embedder the documents are not touched."""
     if postings is not None and is_sparse(embed):
         return search_postings(hashing_terms(questions.select(qid, qtext), qtext), qid,
                                postings, did, k)
-    n_q = questions.count()
-    n_c = index.select(did).count() if n_corpus is None else n_corpus
     q = embed(questions.select(qid, qtext), qtext, "q_emb")
-    return knn(q, qid, "q_emb", index.select(did, "embedding"), did, "embedding", k,
-               n_queries=n_q, n_corpus=n_c)
+    return knn(q, qid, "q_emb", index.select(did, "embedding"), did, "embedding", k)
 
 
 def search_texts(questions: DataFrame, qid: str, qtext: str, docs: DataFrame, did: str,

@@ -35,8 +35,7 @@ def retrieval_hits(questions: DataFrame, companies: DataFrame, k: int = DEFAULT_
         hits = retrieval.search_texts(tq, "question_id", "question", docs, "row_id", "content",
                                       k, n_docs)
     else:
-        hits = retrieval.retrieve(tq, retrieval.index_documents(docs, embed), k, embed,
-                                  n_corpus=n_docs)
+        hits = retrieval.retrieve(tq, retrieval.index_documents(docs, embed), k, embed)
     return tq, docs, retrieval.with_documents(hits, docs)
 
 
