@@ -15,9 +15,14 @@ threshold, carried from chunk to chunk within a task:
 * the rest are only looked up for documents found so far, and a document whose score
   plus the bounds still to come stays below the threshold is dropped on the way.
 
+Where lists hold a good part of a chunk's documents (``DENSE``), as those of few hashed
+terms do, thresholds leave out little: then the lists of a chunk are laid out as a matrix, and
+blocks of questions are multiplied with it (``blocks.best_products``, exact as well).
+
 Documents that share no term score 0 and stand after all with positive scores, ties
-by id, as in the dense product; scores are rounded in the same way. Questions go to the
-tasks as a broadcast, ``SLICE`` questions at a time, and a task emits k rows a question.
+by id, as in the dense product; scores are rounded in the same way. Questions are packed,
+at most ``SLICE`` to a row, and written once; a cross join brings every pack to
+every chunk, and a task emits k rows a question.
 
 Defined cases: null vectors take no part; a vector without terms scores 0 with
 everything; fewer than k documents give fewer rows; an id that repeats counts as
@@ -36,11 +41,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..session import cut_lineage, scratch_path
-from .knn import SCORE_DECIMALS
+from ..session import cut_lineage
+from .blocks import SCORE_DECIMALS, Best, best_products
 
-#: Documents of a chunk; questions sent to the tasks at once.
-CHUNK_ROWS, SLICE = 1024, 20_000
+#: Documents of a chunk; questions of a pack.
+CHUNK_ROWS, SLICE = 1024, 4096
+#: Share of a chunk's (term, document) pairs in its lists from which they are a matrix;
+#: numbers that the matrix of a pack of questions may have.
+DENSE, LARGEST = 1 / 16, 1 << 24
 #: Below the threshold by this much, a score is below it after rounding as well.
 SLACK = 2 * 10.0 ** -SCORE_DECIMALS
 
@@ -74,6 +82,15 @@ class Chunk:
         names, starts = np.unique(flat[by_term], return_index=True)
         return cls(ids[order], names, np.append(starts, len(flat)), place[by_term], held[by_term])
 
+    def is_dense(self) -> bool:
+        return len(self.places) >= DENSE * len(self.terms) * len(self.ids) > 0
+
+    def matrix(self) -> np.ndarray:
+        """One row a document, one column for each of ``terms``."""
+        out = np.zeros((len(self.ids), len(self.terms)))
+        out[self.places, np.repeat(np.arange(len(self.terms)), np.diff(self.starts))] = self.weights
+        return out
+
     def search(self, terms: np.ndarray, weights: np.ndarray, k: int,
                floor: float) -> tuple[np.ndarray, np.ndarray, int]:
         """(places, rounded scores, postings read) of the documents that may be
@@ -166,69 +183,122 @@ class Searcher:
 
     def __init__(self, questions: list[tuple[np.ndarray, np.ndarray]], k: int):
         self.questions, self.k = questions, k
-        self.scores = [np.empty(0)] * len(questions)
-        self.ids = [np.empty(0, np.int64)] * len(questions)
+        self.best = Best(len(questions), k)
         self.read = 0
+        self._dense: np.ndarray | None = None
+        self.dim = 1 + max((int(t.max()) for t, _ in questions if len(t)), default=0)
 
     def add(self, chunk: Chunk) -> None:
+        if chunk.is_dense() and self.dim * len(self.questions) <= LARGEST:
+            self._products(chunk)
+            return
+        rows, ids, scores = [], [], []
         for q, (terms, weights) in enumerate(self.questions):
-            own = self.scores[q]
-            floor = own[-1] if len(own) == self.k else -np.inf
-            places, scores, read = chunk.search(terms, weights, self.k, floor)
+            places, own, read = chunk.search(terms, weights, self.k, self.best.floor[q])
             self.read += read
-            if len(places):
-                scores = np.concatenate([own, scores])
-                ids = np.concatenate([self.ids[q], chunk.ids[places]])
-                top = np.lexsort((ids, -scores))[:self.k]
-                self.scores[q], self.ids[q] = scores[top], ids[top]
+            rows.append(np.full(len(places), q))
+            ids.append(chunk.ids[places])
+            scores.append(own)
+        if rows:
+            self.best.add(np.concatenate(rows), np.concatenate(ids), np.concatenate(scores))
+            self.best.settle()
+
+    def _products(self, chunk: Chunk) -> None:
+        if self._dense is None:
+            self._dense = np.zeros((len(self.questions), self.dim))
+            for q, (terms, weights) in enumerate(self.questions):
+                self._dense[q, terms] = weights
+        held = np.flatnonzero(chunk.terms < self.dim)
+        names = chunk.terms[held]
+        if not len(names):                 # no question has any of the chunk's terms
+            held, names = np.zeros(1, np.int64), np.zeros(1, np.int64)
+            asked, docs = np.zeros((len(self.questions), 1)), np.zeros((len(chunk.ids), 1))
+        else:
+            whole = len(names) == self.dim
+            asked = self._dense if whole else self._dense[:, names]
+            docs = chunk.matrix()[:, held]
+        best_products(self.best, asked, docs, chunk.ids)
+        self.read += len(chunk.places) * len(self.questions)
+
+    def found(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(question, id, score) of the best, in order."""
+        return self.best.settle()
+
+    def _of(self, column: int) -> list[np.ndarray]:
+        found = self.found()
+        cuts = np.searchsorted(found[0], np.arange(1, len(self.questions)))
+        return np.split(found[column], cuts) if self.questions else []
+
+    @property
+    def ids(self) -> list[np.ndarray]:
+        return self._of(1)
+
+    @property
+    def scores(self) -> list[np.ndarray]:
+        return self._of(2)
+
+
+def _packed_questions(questions: DataFrame, qid: str) -> DataFrame:
+    """``pack long, q array<long>, starts array<int>, terms array<int>, weights
+    array<double>`` of at most ``SLICE`` questions each. Written once."""
+    most = SLICE
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        for batch in batches:
+            for at in range(0, batch.num_rows, most):
+                part = batch.slice(at, most)
+                if held and sum(b.num_rows for b in held) + part.num_rows > most:
+                    yield pack(held)
+                    held = []
+                held.append(part)
+        if held:
+            yield pack(held)
+
+    def pack(held: list[pa.RecordBatch]) -> pa.RecordBatch:
+        q, terms, weights = (c.combine_chunks() for c in pa.Table.from_batches(
+            held).combine_chunks().columns)
+        terms, weights = _lists(terms), _lists(weights)
+        starts = np.append(0, np.cumsum([len(t) for t in terms])).astype(np.int32)
+        columns = [(q.to_numpy(), pa.int64()), (starts, pa.int32()),
+                   (np.concatenate(terms), pa.int32()), (np.concatenate(weights), pa.float64())]
+        return pa.RecordBatch.from_arrays([pa.array([x], pa.list_(t)) for x, t in columns],
+                                          names=["q", "qstarts", "qterms", "qweights"])
 
-def search_postings(questions: DataFrame, qid: str, postings: DataFrame, did: str,
-                    k: int) -> DataFrame:
-    """Exact top-k: ``qid, did, score, rank`` for ``questions(qid, terms, weights)``
-    (ids are longs) in the index ``postings``."""
-    spark = questions.sparkSession
     asked = questions.where("terms is not null").select(
         F.col(qid).cast("long").alias("q"), "terms", "weights")
-    first = asked.limit(SLICE + 1).collect()
-    if len(first) <= SLICE:
-        slices = [first]
-    else:                                              # too many to send at once
-        written = cut_lineage(asked)
-        n = math.ceil(written.count() / (SLICE // 2))
-        slices = (written.where(F.pmod(F.xxhash64("q"), F.lit(n)) == i).collect()
-                  for i in range(n))
-    path = scratch_path(spark, "hits")
-    found = None
-    for rows in slices:
-        found = _search_slice(rows, postings, k)
-        if len(first) > SLICE:
-            found.write.mode("append").parquet(path)
-    if len(first) > SLICE:
-        found = spark.read.parquet(path)
-    order = Window.partitionBy("q").orderBy(F.desc("score"), "d")
-    return (found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
-            .select(F.col("q").alias(qid), F.col("d").alias(did), "score", "rank"))
+    return cut_lineage(asked.mapInArrow(run, "q array<long>, qstarts array<int>, "
+                                        "qterms array<int>, qweights array<double>")
+                       .withColumn("pack", F.monotonically_increasing_id()))
 
 
-def _search_slice(rows: list, postings: DataFrame, k: int) -> DataFrame:
-    shared = postings.sparkSession.sparkContext.broadcast(
-        ([r["q"] for r in rows],
-         [(np.array(r["terms"], np.int64), np.array(r["weights"], np.float64)) for r in rows]))
+def search_postings(questions: DataFrame, qid: str, postings: DataFrame, did: str,
+                    k: int) -> DataFrame:
+    """Exact top-k: ``qid, did, score, rank`` for ``questions(qid, terms, weights)``
+    (ids are longs) in the index ``postings``."""
+    packs = _packed_questions(questions, qid).select("pack", "q", "qstarts", "qterms", "qweights")
+    # always pairs of scans, whatever the sizes: nothing is collected or broadcast
+    pairs = packs.hint("shuffle_replicate_nl").crossJoin(
+        postings.select("ids", "terms", "starts", "places", "weights"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, questions = shared.value
-        found = Searcher(questions, k)
+        asked: dict[int, tuple[np.ndarray, Searcher]] = {}
         for batch in batches:
-            columns = [_lists(batch.column(i)) for i in range(5)]
-            for row in zip(*columns):
-                found.add(Chunk(*row))
-        sizes = [len(x) for x in found.ids]
-        if sum(sizes):
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(np.repeat(np.array(ids, np.int64), sizes)),
-                 pa.array(np.concatenate(found.ids)), pa.array(np.concatenate(found.scores))],
-                names=["q", "d", "score"])
-
-    return postings.select("ids", "terms", "starts", "places", "weights").mapInArrow(
-        run, "q long, d long, score double")
+            packs = batch.column(0).to_pylist()
+            columns = [_lists(batch.column(i)) for i in range(1, 10)]
+            for pack, q, cuts, terms, weights, *chunk in zip(packs, *columns):
+                if pack not in asked:
+                    asked[pack] = q.copy(), Searcher(
+                        [(terms[a:b].astype(np.int64), weights[a:b].copy())
+                         for a, b in zip(cuts[:-1], cuts[1:])], k)
+                asked[pack][1].add(Chunk(*chunk))
+        for q, searcher in asked.values():
+            rows, ids, scores = searcher.found()
+            if len(rows):
+                yield pa.RecordBatch.from_arrays([pa.array(q[rows]), pa.array(ids),
+                                                  pa.array(scores)], names=["q", "d", "score"])
+
+    found = pairs.mapInArrow(run, "q long, d long, score double")
+    order = Window.partitionBy("q").orderBy(F.desc("score"), "d")
+    return (found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+            .select(F.col("q").alias(qid), F.col("d").alias(did), "score", "rank"))

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from ..constants import (DEFAULT_TOP_K, DOC_SEPARATOR, K_VALUES, MISSING_META,
                          PREVIEW_CHARS, PROMPT_TEMPLATE)
 from ..functions.embed import hashing_embed, hashing_terms, is_sparse
+from ..session import cut_lineage
 from .knn import knn
 from .postings import build_postings, search_postings
 
@@ -37,7 +38,9 @@ def retrieve(questions: DataFrame, index: DataFrame, k: int = DEFAULT_TOP_K,
 def search_texts(questions: DataFrame, qid: str, qtext: str, docs: DataFrame, did: str,
                  dtext: str, k: int, n_docs: int) -> DataFrame:
     """Top-k of texts among texts that have no index yet, by their hashed terms."""
-    postings = build_postings(hashing_terms(docs.select(did, dtext), dtext), did, n_docs)
+    # written: each partition of it is read once for every partition of questions
+    postings = cut_lineage(build_postings(hashing_terms(docs.select(did, dtext), dtext), did,
+                                          n_docs))
     return search_postings(hashing_terms(questions.select(qid, qtext), qtext), qid, postings,
                            did, k)
 

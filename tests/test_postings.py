@@ -135,3 +135,21 @@ def test_answers_from_postings_move_no_documents(spark, tmp_path):
     both = [qa.rag_answers_from_index(asked, index, 3, postings=p).select(
         "question_id", F.md5("prompt")).collect() for p in (None, lists)]
     assert sorted(both[0]) == sorted(both[1])
+
+
+def test_dense_chunks_are_multiplied_by_blocks_of_questions(monkeypatch):
+    """Not searched question by question; exact with chunks that lack terms and with ties."""
+    rng = np.random.default_rng(4)
+    vectors = [{int(t): float(w) for t, w in zip(rng.choice(40, 15, replace=False),
+                                                 rng.choice([0.25, 0.5, 1.0], 15))}
+               for _ in range(120)]
+    asked = [*vectors[:30], {}, {77: 1.0}]
+    monkeypatch.setattr(ps.Chunk, "search", None)
+    found = ps.Searcher([parts(q) for q in asked], 4)
+    for at in range(0, 120, 25):
+        own = [parts(d) for d in vectors[at:at + 25]]
+        found.add(ps.Chunk.of(np.arange(at, min(at + 25, 120)), [t for t, _ in own],
+                              [w for _, w in own]))
+    for q, vector in enumerate(asked):
+        got = list(zip(found.ids[q].tolist(), found.scores[q].tolist()))
+        assert got == brute(vector, vectors, range(120), 4)
