@@ -7,10 +7,12 @@ part. A question's product with a vector is then about
 
     question · centre  +  sum over the parts of (question part · code vector),
 
-one look-up per part. The codes are a table with one row per chunk of a cell, which
-is scanned where it lies; only chunks of the ``probes`` cells with the greatest
-products are worked on for a question. The best ``rerank`` of each question by codes are
-joined with their whole vectors and scored exactly.
+the product with the vector that the codes stand for. The codes are a table with one row per
+chunk of a cell; only chunks of the ``probes`` cells with the greatest products are worked on
+for a question, all questions of a pack that probe the cell in one product. Chunks are packed
+for the search, and packs of questions are cross joined with them (``blocks``). The best
+``rerank`` of each question by codes stay with its pack, which is cross joined with the
+packed vectors to score them exactly: no row for a question and a candidate is shuffled.
 
 More probes and a longer rerank list find more of the true neighbours; all cells and a
 list as long as the corpus give the exact result. ``recall`` measures it against
@@ -34,25 +36,30 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..session import cut_lineage
+from ..session import bounded_broadcast, cut_lineage
+from . import blocks
+from .blocks import Best, SCORE_DECIMALS, found_rows, ids_of, matrix as _matrix, packed, unpacked
 from .ivf import _train_cells
-from .knn import SCORE_DECIMALS, _matrix
 
 #: Vectors for fitting the cells, and of them for the code vectors; rows of a chunk.
 SAMPLE_ROWS, CODE_ROWS, CHUNK_ROWS = 50_000, 10_000, 4096
-#: Rounds of the code vectors' fit; questions sent to the tasks at once.
-ROUNDS, SLICE = 8, 20_000
+#: Rounds of the code vectors' fit; questions of one product; codes that a task goes through.
+ROUNDS, SLICE, TASK_ROWS = 8, 1024, 2_000_000
 
 
 @dataclass
 class Cells:
     """Centres (cells, dim), code vectors of each part, and the coded corpus
-    ``cell int, ids array<long>, codes binary`` beside the vectors themselves."""
+    ``cell int, ids array<long>, code array<binary>`` beside the vectors themselves.
+    ``packs``: several rows of the codes in one (array ``d``); ``whole``: packed vectors."""
 
     centres: np.ndarray
     books: list[np.ndarray]
     codes: DataFrame
     vectors: DataFrame
+    packs: DataFrame
+    whole: DataFrame
+    n: int
 
 
 def _cuts(dim: int, parts: int) -> np.ndarray:
@@ -116,13 +123,20 @@ def build_cells(corpus: DataFrame, did: str, dvec: str, n_cells: int | None = No
                     names=["_did", "cell", "code"])
 
     coded = cut_lineage(vectors.mapInArrow(run, "_did long, cell int, code binary"))
-    n_chunks = max(1, math.ceil(n / CHUNK_ROWS))
     # a cell that holds most rows is spread over as many chunks as it needs
-    packed = (coded.withColumn("part", F.pmod(F.xxhash64("_did"), F.lit(n_chunks)))
+    parts = coded.groupBy("cell").agg(F.ceil(F.count("*") / CHUNK_ROWS).alias("parts"))
+    chunks = (coded.join(bounded_broadcast(cut_lineage(parts), SAMPLE_ROWS), "cell")
+              .withColumn("part", F.pmod(F.xxhash64("_did"), F.col("parts")))
               .groupBy("cell", "part")
               .agg(F.collect_list(F.struct("_did", "code")).alias("d"))
               .select("cell", F.col("d._did").alias("ids"), F.col("d.code").alias("code")))
-    return Cells(centres, books, cut_lineage(packed), vectors)
+    codes = cut_lineage(chunks)
+    n_packs = max(1, math.ceil(n / blocks.PACK_ROWS))
+    packs = cut_lineage(codes.groupBy(F.pmod(F.xxhash64("cell", F.get("ids", F.lit(0))),
+                                             F.lit(n_packs)).alias("pack"))
+                        .agg(F.collect_list(F.struct("cell", "ids", "code")).alias("d"))
+                        .select("d"))
+    return Cells(centres, books, codes, vectors, packs, packed(vectors, "_did", "_v"), n)
 
 
 class Lookup:
@@ -132,30 +146,26 @@ class Lookup:
                  probes: int, keep: int):
         near = q @ centres.T
         order = np.argsort(-near, axis=1, kind="stable")[:, :probes]
-        self.near, self.keep = near, keep
+        self.q, self.centres, self.books, self.keep = q, centres, books, keep
         self.probed = np.zeros(near.shape, bool)
         np.put_along_axis(self.probed, order, True, axis=1)
-        cuts = np.cumsum([0, *(b.shape[1] for b in books)])
-        self.tables = [q[:, a:b] @ book.T for a, b, book in zip(cuts[:-1], cuts[1:], books)]
-        self.scores = [np.empty(0)] * len(q)
-        self.ids = [np.empty(0, np.int64)] * len(q)
+        self.best = Best(len(q), keep)
         self.looked = 0
 
     def add(self, cell: int, ids: np.ndarray, codes: np.ndarray) -> None:
-        for q in np.flatnonzero(self.probed[:, cell]):
-            score = np.full(len(ids), self.near[q, cell])
-            for part, table in enumerate(self.tables):
-                score += table[q, codes[:, part]]
-            self.looked += len(ids)
-            own = self.scores[q]
-            if len(own) == self.keep:
-                good = score >= own[-1]
-                score, found = score[good], ids[good]
-            else:
-                found = ids
-            score, found = np.concatenate([own, score]), np.concatenate([self.ids[q], found])
-            top = np.lexsort((found, -score))[:self.keep]
-            self.scores[q], self.ids[q] = score[top], found[top]
+        asked = np.flatnonzero(self.probed[:, cell])
+        self.looked += len(asked) * len(ids)
+        coded = self.centres[cell] + np.column_stack(
+            [book[codes[:, part]] for part, book in enumerate(self.books)])
+        for at in range(0, len(asked), SLICE):
+            rows = asked[at:at + SLICE]
+            score = self.q[rows] @ coded.T
+            least = self.best.floor[rows]
+            if len(ids) > self.keep and not np.isfinite(least).all():
+                kth = np.partition(score, len(ids) - self.keep, axis=1)[:, len(ids) - self.keep]
+                least = np.maximum(least, kth)
+            r, c = np.divmod(np.flatnonzero(score >= least[:, None]), len(ids))
+            self.best.add(rows[r], ids[c], score[r, c])
 
 
 def search_cells(queries: DataFrame, qid: str, qvec: str, index: Cells | None, did: str, k: int,
@@ -167,48 +177,89 @@ def search_cells(queries: DataFrame, qid: str, qvec: str, index: Cells | None, d
     spark = queries.sparkSession
     if index is None:
         return spark.createDataFrame([], f"`{qid}` long, `{did}` long, score double, rank int")
-    asked = cut_lineage(queries.where(F.col(qvec).isNotNull()).select(
-        F.col(qid).cast("long").alias("_qid"), F.col(qvec).cast("array<double>").alias("_q")))
-    n_slices = max(1, math.ceil(asked.count() / SLICE))
+    asked = packed(queries.select(F.col(qid).cast("long").alias("_qid"), F.col(qvec).alias("_q")),
+                   "_qid", "_q")
     probes = probes or -(-2 * len(index.centres) // 3)
-    keep = rerank or 20 * k
-    found = None
-    for i in range(n_slices):
-        own = asked.where(F.pmod(F.xxhash64("_qid"), F.lit(n_slices)) == i)
-        got = _shortlist(own.collect(), index, probes, keep)
-        found = got if found is None else found.unionByName(cut_lineage(got))
-    by_code = Window.partitionBy("_qid").orderBy(F.desc("near"), "_did")
-    short = found.withColumn("_n", F.row_number().over(by_code)).where(F.col("_n") <= keep)
-    product = F.round(F.aggregate(F.zip_with("_q", "_v", lambda x, y: x * y), F.lit(0.0),
-                                  lambda s, x: s + x), SCORE_DECIMALS)
-    scored = (short.select("_qid", "_did").join(index.vectors, "_did").join(asked, "_qid")
-              .select("_qid", "_did", product.alias("score")))
+    short = _shortlists(asked, index, probes, rerank or 20 * k)
+    scored = short.crossJoin(index.whole.select(F.col("ids").alias("dids"),
+                                                F.col("v").alias("dv"))).mapInArrow(
+        _rerank_fn(k), "_qid long, _did long, score double")
     order = Window.partitionBy("_qid").orderBy(F.desc("score"), "_did")
     return (scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
             .select(F.col("_qid").alias(qid), F.col("_did").alias(did), "score", "rank"))
 
 
-def _shortlist(rows: list, index: Cells, probes: int, keep: int) -> DataFrame:
-    """The ``keep`` best by codes of each question that each task finds."""
-    shared = index.codes.sparkSession.sparkContext.broadcast(
-        (np.array([r["_qid"] for r in rows], np.int64),
-         np.array([r["_q"] for r in rows], np.float64), index.centres, index.books))
+def _shortlists(asked: DataFrame, index: Cells, probes: int, keep: int) -> DataFrame:
+    """``pack, ids, v`` of the packs of questions, with ``docs``, the ids of the ``keep``
+    best by codes of all its questions in order, and whose they are (``rows``)."""
+    shared = asked.sparkSession.sparkContext.broadcast((index.centres, index.books))
+    # few tasks share a question, each goes through many codes (24 bytes a row)
+    codes = index.packs.coalesce(max(1, math.ceil(index.n / TASK_ROWS)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, q, centres, books = shared.value
-        found = Lookup(q, centres, books, probes, keep) if len(q) else None
+        centres, books = shared.value
+        found: dict[int, Lookup] = {}
         for b in batches:
-            for cell, docs, codes in zip(*b.columns):
-                if found:
-                    found.add(cell.as_py(), docs.values.to_numpy(), np.frombuffer(
-                        b"".join(codes.as_py()), np.uint8).reshape(-1, len(books)))
-        sizes = [len(x) for x in found.ids] if found else []
-        if sum(sizes):
+            for pack, qids, v, d in zip(*b.columns):
+                key = pack.as_py()
+                if key not in found:
+                    found[key] = Lookup(unpacked(v, len(qids.values)), centres, books, probes,
+                                        keep)
+                held = d.values
+                for cell, docs, code in zip(held.field("cell").to_pylist(), held.field("ids"),
+                                            held.field("code")):
+                    found[key].add(cell, ids_of(docs.values), np.frombuffer(
+                        b"".join(code.as_py()), np.uint8).reshape(-1, len(books)))
+        for key, own in found.items():
+            rows, docs, near = own.best.settle()
             yield pa.RecordBatch.from_arrays(
-                [pa.array(np.repeat(ids, sizes)), pa.array(np.concatenate(found.ids)),
-                 pa.array(np.concatenate(found.scores))], names=["_qid", "_did", "near"])
+                [pa.array([key]), pa.array([rows.astype(np.int32)], pa.list_(pa.int32())),
+                 pa.array([docs], pa.list_(pa.int64())), pa.array([near], pa.list_(pa.float64()))],
+                names=["pack", "rows", "docs", "near"])
 
-    return index.codes.mapInArrow(run, "_qid long, _did long, near double")
+    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for i in range(b.num_rows):
+                best = Best(len(b.column(1)[i].values), keep)
+                for part in b.column(3)[i]:
+                    best.add(*(ids_of(part[c].values) for c in ("rows", "docs", "near")))
+                rows, docs, _ = best.settle()
+                order = np.argsort(docs, kind="stable")
+                yield pa.RecordBatch.from_arrays(
+                    [*(b.column(c).slice(i, 1) for c in range(3)),
+                     pa.array([rows[order].astype(np.int32)], pa.list_(pa.int32())),
+                     pa.array([docs[order]], pa.list_(pa.int64()))],
+                    names=["pack", "ids", "v", "rows", "docs"])
+
+    parts = asked.crossJoin(codes).mapInArrow(
+        run, "pack long, rows array<int>, docs array<long>, near array<double>")
+    lists = parts.groupBy("pack").agg(F.collect_list(F.struct("rows", "docs", "near")).alias("d"))
+    return cut_lineage(asked.join(lists, "pack").select("pack", "ids", "v", "d").mapInArrow(
+        merge, "pack long, ids array<long>, v binary, rows array<int>, docs array<long>"))
+
+
+def _rerank_fn(k: int):
+    """Rows ``pack, ids, v, rows, docs, dids, dv``: the k best of the shortlists by exact
+    products, of those in the packs of vectors that a task meets."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found: dict[int, tuple[np.ndarray, Best]] = {}
+        for b in batches:
+            for pack, qids, v, rows, docs, dids, dv in zip(*b.columns):
+                own, ids, listed = ids_of(qids.values), ids_of(dids.values), ids_of(docs.values)
+                q, d = unpacked(v, len(own)), unpacked(dv, len(ids))
+                best = found.setdefault(pack.as_py(), (own, Best(len(own), k)))[1]
+                first = np.searchsorted(listed, ids)
+                times = np.searchsorted(listed, ids, "right") - first
+                doc = np.repeat(np.arange(len(ids)), times)
+                place = np.arange(len(doc)) - np.repeat(np.cumsum(times) - times, times)
+                row = ids_of(rows.values)[np.repeat(first, times) + place]
+                some = max(1, blocks.EXACT // max(1, q.shape[1]))
+                for at in range(0, len(row), some):
+                    r, c = row[at:at + some], doc[at:at + some]
+                    best.add(r, ids[c], np.round(np.einsum("ij,ij->i", q[r], d[c]),
+                                                 SCORE_DECIMALS))
+        yield from found_rows(found, pa.int64(), pa.int64())
+    return run
 
 
 def recall(found: DataFrame, exact: DataFrame, qid: str, did: str) -> DataFrame:

@@ -66,3 +66,21 @@ def test_empty_sides(spark):
     cells = approx.build_cells(c, "did", "v")
     assert approx.search_cells(q.limit(0), "qid", "q", cells, "did", 3).isEmpty()
     assert approx.search_cells(q, "qid", "q", cells, "did", 3, probes=1).count() >= 2
+
+
+def test_chunks_hold_whole_cells_and_questions_share_a_product(spark, monkeypatch):
+    """A cell is cut only when it is larger than a chunk, and a shortlist crosses no shuffle
+    row by row."""
+    monkeypatch.setattr(approx, "CHUNK_ROWS", 50)
+    rng = np.random.default_rng(9)
+    q, c = _frames(spark, rng.normal(size=(300, 6)))
+    cells = approx.build_cells(c, "did", "v", n_cells=10, subspaces=3)
+    sizes = {}
+    for row in cells.codes.collect():
+        sizes.setdefault(row.cell, []).append(len(row.ids))
+    assert all(len(s) <= -(-sum(s) // 50) for s in sizes.values())
+    found = approx.search_cells(q, "qid", "q", cells, "did", 4, probes=10, rerank=300)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1                 # the merge by question
+    want = knn.knn(q, "qid", "q", c, "did", "v", 4)
+    assert sorted(map(tuple, found.collect())) == sorted(map(tuple, want.collect()))
