@@ -126,3 +126,18 @@ def test_ivf_makes_no_rows_of_query_and_cell(spark):
     assert plan.count("Exchange hashpartitioning") == 1                 # the merge by query
     exact = knn.knn(q, "qid", "v", c, "did", "v", 5)
     assert sorted(map(tuple, hits.collect())) == sorted(map(tuple, exact.collect()))
+
+
+def test_products_of_two_packs_take_little_memory():
+    """Also where all documents are alike, so that every pair ties."""
+    import tracemalloc
+
+    from ledgerlens.operators.blocks import PACK_ROWS, Best, best_products
+    rng = np.random.default_rng(6)
+    q = rng.normal(size=(PACK_ROWS, 16))
+    for d in (rng.normal(size=(PACK_ROWS, 16)), np.ones((PACK_ROWS, 16))):
+        tracemalloc.start()
+        best_products(Best(len(q), 5), q, d, np.arange(len(d)))
+        most = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        assert most < 64e6                # one matrix of 1024 by 4096 products alone takes 34 MB
