@@ -203,8 +203,8 @@ def _shortlists(asked: DataFrame, index: Cells, probes: int, keep: int) -> DataF
             for pack, qids, v, d in zip(*b.columns):
                 key = pack.as_py()
                 if key not in found:
-                    found[key] = Lookup(unpacked(v, len(qids.values)), centres, books, probes,
-                                        keep)
+                    q = unpacked(v, len(qids.values)).copy()    # a view would keep the batch
+                    found[key] = Lookup(q, centres, books, probes, keep)
                 held = d.values
                 for cell, docs, code in zip(held.field("cell").to_pylist(), held.field("ids"),
                                             held.field("code")):
@@ -247,7 +247,10 @@ def _rerank_fn(k: int):
             for pack, qids, v, rows, docs, dids, dv in zip(*b.columns):
                 own, ids, listed = ids_of(qids.values), ids_of(dids.values), ids_of(docs.values)
                 q, d = unpacked(v, len(own)), unpacked(dv, len(ids))
-                best = found.setdefault(pack.as_py(), (own, Best(len(own), k)))[1]
+                key = pack.as_py()
+                if key not in found:
+                    found[key] = own.copy(), Best(len(own), k)  # a view would keep the batch
+                best = found[key][1]
                 first = np.searchsorted(listed, ids)
                 times = np.searchsorted(listed, ids, "right") - first
                 doc = np.repeat(np.arange(len(ids)), times)

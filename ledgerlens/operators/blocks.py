@@ -40,6 +40,7 @@ def matrix(vectors: pa.Array) -> np.ndarray:
 
 
 def ids_of(ids: pa.Array) -> np.ndarray:
+    """Of numbers a view: as long as it is held, so is the whole batch it came with."""
     return ids.to_numpy(zero_copy_only=False)
 
 
@@ -80,6 +81,7 @@ def packed(df: DataFrame, id_col: str, vec_col: str, *keep: str) -> DataFrame:
 
 
 def unpacked(v: pa.BinaryScalar, n: int) -> np.ndarray:
+    """A view, like ``ids_of``."""
     return np.frombuffer(v.as_buffer(), np.float64).reshape(n, -1)
 
 

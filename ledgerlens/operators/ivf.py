@@ -152,8 +152,9 @@ def _search_fn(centres: np.ndarray, radius: np.ndarray, k: int, block_rows: int,
                 key = pack.as_py()
                 if key not in asked:
                     floor = ids_of(thr.values).astype(np.float64)
-                    asked[key] = own, Best(len(own), k, np.where(np.isnan(floor), -np.inf, floor))
-                    probes[key] = _probe_matrix(probe)
+                    asked[key] = own.copy(), Best(
+                        len(own), k, np.where(np.isnan(floor), -np.inf, floor))
+                    probes[key] = _probe_matrix(probe).copy()   # views would keep the batch
                 best, cuts = asked[key][1], ids_of(starts.values)
                 names = ids_of(cells.values)
                 ub = _bounds(q, centres[names], radius[names]) if others else None

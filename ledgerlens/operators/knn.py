@@ -39,7 +39,7 @@ def _pack_products(k: int, qid_type: pa.DataType, did_type: pa.DataType, block_r
         for b in batches:
             for pack, qids, qv, ids, v in zip(*b.columns):
                 if pack.as_py() not in asked:
-                    own = ids_of(qids.values)
+                    own = ids_of(qids.values).copy()        # a view would keep the batch
                     asked[pack.as_py()] = own, Best(len(own), k)
                 own, best = asked[pack.as_py()]
                 q, dids = unpacked(qv, len(own)), ids_of(ids.values)

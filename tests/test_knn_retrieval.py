@@ -141,3 +141,53 @@ def test_products_of_two_packs_take_little_memory():
         most = tracemalloc.get_traced_memory()[1]
         tracemalloc.stop()
         assert most < 64e6                # one matrix of 1024 by 4096 products alone takes 34 MB
+
+
+def test_packs_of_questions_keep_no_batch_in_memory():
+    """A task meets many batches, each with another pack of questions; what it keeps of a
+    pack (ids, the best) must not be views that hold the batches they came with."""
+    import io
+    import tracemalloc
+
+    import pyarrow as pa
+
+    from ledgerlens.operators import approx, ivf
+    n, dim, batches = 64, 256, 12
+    rng = np.random.default_rng(8)
+    ids = pa.array([list(range(n))], pa.list_(pa.int64()))
+    v = pa.array([rng.normal(size=(n, dim)).tobytes()])
+    pairs = {"ids": ids, "v": v}
+    cells = {"cells": pa.array([[0]], pa.list_(pa.int32())),
+             "starts": pa.array([[0, n]], pa.list_(pa.int32())), **pairs}
+    none = {"thr": pa.array([[None] * n], pa.list_(pa.float64())),
+            "probes": pa.array([[[0]] * n], pa.list_(pa.list_(pa.int32())))}
+    listed = {"rows": pa.array([list(range(n))], pa.list_(pa.int32())), "docs": ids}
+    centre, wide = np.zeros((1, dim)), np.full(1, 1e3)
+    for run, asked, rest in (
+            (knn._pack_products(5, pa.int64(), pa.int64(), 1024, 4096), {"ids": ids, "v": v}, pairs),
+            (ivf._search_fn(centre, wide, 5, 1024, False, pa.int64(), pa.int64()),
+             {"ids": ids, **none, "v": v}, cells),
+            (approx._rerank_fn(5), {"ids": ids, "v": v, **listed}, pairs)):
+        sink = io.BytesIO()
+        for i in range(batches):
+            columns = [pa.array([i]), *asked.values(), *rest.values()]
+            batch = pa.RecordBatch.from_arrays(columns, [f"c{j}" for j in range(len(columns))])
+            if not i:
+                writer = pa.ipc.new_stream(sink, batch.schema)
+            writer.write_batch(batch)
+        writer.close()
+        size = len(sink.getvalue()) / batches
+        sink.seek(0)
+        tracemalloc.start()
+        kept, found = [], 0
+
+        def stream():
+            for one in pa.ipc.open_stream(sink):       # read to bytes, as from a worker's socket
+                yield one
+                kept.append(tracemalloc.get_traced_memory()[0])
+
+        for out in run(stream()):
+            found += out.num_rows
+        tracemalloc.stop()
+        assert found >= n * batches                    # of every pack
+        assert kept[-1] - kept[1] < 3 * size           # the batch at hand, not all
