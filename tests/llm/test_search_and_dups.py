@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from ledgerlens.llm import near_dups, vector_search
+from ledgerlens.operators.blocks import Best
 
 
 def brute_topk(rows, k):
@@ -49,6 +50,47 @@ def test_topk_of_nothing(spark):
     assert run_topk(spark, [(20, [1.0], 0)], 3) == set()
 
 
+def test_topk_copies_no_block_for_its_chunks(spark, monkeypatch):
+    """Blocks copied for each chunk made a broadcast of 2.0 MiB here; no table is sent now."""
+    monkeypatch.setattr(vector_search, "CHUNK_ROWS", 16)
+    monkeypatch.setattr(vector_search, "BLOCK_ROWS", 25)
+    rng = np.random.default_rng(7)
+    rows = [(i, [float(x) for x in rng.integers(-9, 9, 16) / 64], 0) for i in range(2000)]
+    limit = "spark.sql.maxBroadcastTableSize"
+    spark.conf.set(limit, str(256 << 10))
+    try:
+        assert run_topk(spark, rows, 5) == brute_topk([r[:2] for r in rows], 5)
+    finally:
+        spark.conf.unset(limit)
+
+
+def test_thresholds_hold_for_the_next_chunk():
+    rng = np.random.default_rng(9)
+    q = np.repeat([[40] * 32 + [-40] * 32], 10, axis=0) + rng.integers(-3, 4, (10, 64))
+    near, far = (s * q[rng.integers(0, 10, 200)] + rng.integers(-3, 4, (200, 64)) for s in (1, -1))
+    best, ids = Best(10, 5), np.arange(10) + 1000
+    assert vector_search.scan(best, ids, q, np.arange(200), near) > 0
+    assert vector_search.scan(best, ids, q, np.arange(200, 400), far) == 0
+    assert vector_search.scan(best, ids, q, np.arange(400, 404), 2 * q[:4]) > 0
+    rows, found, scores = best.settle()
+    every = q @ np.vstack([near, 2 * q[:4]]).T
+    of = np.append(np.arange(200), np.arange(400, 404))
+    for i in range(10):
+        want = sorted(zip(-every[i], of))[:5]
+        assert [(-s, c) for s, c in zip(scores[rows == i], found[rows == i])] == want
+
+
+@pytest.mark.parametrize("dim", [13, 50, 64])
+def test_bounds_allow_for_the_rounding_of_large_components(dim):
+    sign = np.where(np.arange(dim) < dim // 2, 1, -1) * (np.arange(dim) < dim // 2 * 2)
+    for seed, large in enumerate([10 ** 8, 1 << 27, 3 * 10 ** 8] * 4):
+        rng = np.random.default_rng(seed)
+        q, c = large * sign + rng.integers(-1, 2, (1, dim)), large + rng.integers(-1, 2, (400, dim))
+        _, ids, scores, _ = vector_search.search(np.array([1000]), q, np.arange(400), c, 5)
+        want = sorted(zip((-q @ c.T)[0], range(400)))[:5]
+        assert sorted(zip(-scores, ids)) == want
+
+
 def test_segment_bounds_hold():
     rng = np.random.default_rng(1)
     q, c = rng.normal(size=(20, 64)), rng.normal(size=(50, 64))
